@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +36,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, as Arrow data that Python makes has it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 def slabs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges [lo, hi) whose sizes add up to `limit` at most; a larger single item is a range of its own."""
     lo, total = 0, 0

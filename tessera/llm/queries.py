@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, license_scan, token_count, url_filter
+from tessera.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, license_scan, source_mix, token_count, topk_search, toxicity, url_filter
 from tessera.llm.common import read
 
 
@@ -16,6 +16,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.default_ranks()
     encoded = byte_bpe.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
@@ -23,11 +28,36 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, spans = source_mix.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    taken = spans.groupBy("number", "place").agg(F.sum("words").alias("words"))
+    out = placed.drop("text").join(taken, ["number", "place"], "left")
+    words = F.when(F.col("size") > 0, F.coalesce("words", F.lit(0))).otherwise(0).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", words.alias("taken"))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_scan.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sized = texts.withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -35,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op3_byte_bpe, op5_license_scans, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_byte_bpe, op4_source_mix, op5_license_scans, op6_language_id, op7_embedding_dedup, op8_jaccard_join, op9_topk_search, op10_token_counts)}
 
 ORACLE: dict[str, str] = {
     "op1_url_filters": r"""
@@ -47,4 +77,18 @@ fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action
          FROM parts, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(host || path, '(?s)^[^/]*(casino|porn|viagra)[^/]*/|^[^/]*\.xxx/|/wp-login\.php|/cgi-bin/|\.exe$|\.torrent$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits USING (page_id)""",
+    "op7_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS len FROM v WHERE list_inner_product(e, e) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.len * b.len) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN n ON vec_id = n.a""",
+    "op9_topk_search": """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM c q JOIN c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
