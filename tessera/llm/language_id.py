@@ -14,12 +14,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chargrams import WordSums, grams, pieces
+from tessera.llm.common import written
+from tessera.llm.linear import fit_linear, flattened
 
 #: Families of languages by ISO 639-1 code; a language that is not named is a family of its own.
 FAMILIES = {
@@ -31,10 +31,10 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 #: The machines are fitted on about so many texts of each language (those of smallest hash), for so many languages at most (those with most texts).
-MAX_TEXTS, MAX_LANGUAGES = 1_000, 64
+MAX_TEXTS, MAX_LANGUAGES = 2_000, 64
 #: Tasks of one step of a fit.
 PARTS = 12
-SIZES, BITS, PENALTY, ITERATIONS = (1, 2, 3), 14, 1e-3, 20
+SIZES, BITS, PENALTY, STEPS = (1, 2, 3), 14, 1e-3, 80
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,10 +45,19 @@ def _words(text: str | None) -> list[str]:
     return pieces(_WORD.findall(text.lower()))
 
 
-@F.udf(VectorUDT())
-def _features(text: str | None) -> SparseVector:
-    codes, counts = np.unique(grams(_words(text), SIZES, BITS)[1], return_counts=True)
-    return SparseVector(1 << BITS, codes, counts / max(1, counts.sum()))
+def _features(texts: pd.Series) -> pd.DataFrame:
+    found = [np.unique(grams(_words(t), SIZES, BITS)[1], return_counts=True) for t in texts]
+    return pd.DataFrame({"codes": [c.astype(np.int32) for c, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
+
+
+def _machine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One machine from its bounded sample: a row for each weight that is not zero, and one for the intercept (code -1)."""
+    numbers, codes = flattened(rows["codes"].to_list())
+    counts = flattened(rows["counts"].to_list())[1]
+    share = 100 * counts / np.bincount(numbers, counts, len(rows))[numbers]
+    w, intercept = fit_linear(numbers, codes.astype(np.int64), share, rows["side"].to_numpy(float), 1 << BITS, "hinge", PENALTY, STEPS, 0.01)
+    used = np.flatnonzero(w)
+    return pd.DataFrame({"machine": np.int32(key[0]), "code": np.append(used, -1).astype(np.int32), "weight": np.append(100 * w[used], intercept)})
 
 
 @dataclass(frozen=True)
@@ -70,36 +79,31 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return None
     part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, max_texts / r["count"])))])
     sample = rows.where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < part[F.col("lang")])
-    sample = sample.repartition(PARTS, "h").select("lang", _features("text").alias("x")).persist()
-    try:
-        found = sorted(r["lang"] for r in sample.select("lang").distinct().collect()) or sorted(r["lang"] for r in counts)[:1]
-        family = {x: FAMILY_OF.get(x, x) for x in found}
-        families = tuple(sorted(set(family.values())))
-        languages = {f: tuple(x for x in found if family[x] == f) for f in families}
-        pairs = tuple(p for f in families for p in combinations(languages[f], 2))
-        columns, intercepts = [], []
-
-        def machine(positive: tuple[str, ...], negative: tuple[str, ...]) -> None:
-            y = sample.where(F.col("lang").isin(*positive, *negative)).select("x", F.col("lang").isin(*positive).cast("double").alias("y"))
-            got = LinearSVC(featuresCol="x", labelCol="y", regParam=PENALTY, maxIter=ITERATIONS).fit(y)
-            columns.append(got.coefficients.toArray())
-            intercepts.append(float(got.intercept))
-
-        for i, f in enumerate(families):
-            others = tuple(x for x in found if family[x] != f)
-            if len(families) == 2 and i == 1:  # the same plane, seen from the other side
-                columns.append(-columns[0])
-                intercepts.append(-intercepts[0])
-            elif others:
-                machine(languages[f], others)
-            else:
-                columns.append(np.zeros(1 << BITS))
-                intercepts.append(1.0)
-        for a, b in pairs:
-            machine((a,), (b,))
-        return Model(families, languages, pairs, np.stack(columns, 1), np.array(intercepts))
-    finally:
-        sample.unpersist()
+    sample = written(sample.repartition(PARTS, "h").select("lang", F.pandas_udf(_features, "codes array<int>, counts array<int>")("text").alias("x")).select("lang", "x.*"))
+    found = sorted(r["lang"] for r in sample.select("lang").distinct().collect()) or [min(r["lang"] for r in counts)]  # max_languages rows at most
+    family = {x: FAMILY_OF.get(x, x) for x in found}
+    families = tuple(sorted(set(family.values())))
+    languages = {f: tuple(x for x in found if family[x] == f) for f in families}
+    pairs = tuple(p for f in families for p in combinations(languages[f], 2))
+    n = len(families)
+    weights, intercepts = np.zeros((1 << BITS, n + len(pairs))), np.zeros(n + len(pairs))
+    if len(found) == 1:
+        return Model(families, languages, pairs, weights, intercepts + 1)
+    # Of two families the second is the first one's plane, seen from the other side.
+    sides = [(k, x, 1 if family[x] == f else -1) for k, f in enumerate(families) if n > 2 or n == 2 and k == 0 for x in found]
+    sides += [(n + k, x, side) for k, pair in enumerate(pairs) for x, side in zip(pair, (1, -1), strict=True)]
+    sides = F.broadcast(docs.sparkSession.createDataFrame(sides, "machine int, lang string, side int"))  # max_languages**2 rows at most
+    got = sample.join(sides, "lang").groupBy("machine").applyInPandas(_machine, "machine int, code int, weight double").toPandas()
+    for machine, code, weight in zip(got["machine"], got["code"], got["weight"], strict=True):
+        if code < 0:
+            intercepts[machine] = weight
+        else:
+            weights[code, machine] = weight
+    if n == 2:
+        weights[:, 1], intercepts[1] = -weights[:, 0], -intercepts[0]
+    if n == 1:
+        intercepts[0] = 1.0
+    return Model(families, languages, pairs, weights, intercepts)
 
 
 def _decide(model: Model, margins: np.ndarray) -> tuple[list[str], np.ndarray]:

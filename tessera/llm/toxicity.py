@@ -11,20 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chargrams import TextSums, grams, pieces
+from tessera.llm.common import written
+from tessera.llm.linear import fit_linear, flattened
 
 #: The classifier is fitted on so many labelled rows at most: those of smallest hash.
 MAX_ROWS = 10_000
 #: Tasks of one step of the fit.
 PARTS = 12
-SIZES, BITS, SMOOTHING, PENALTY, ITERATIONS = (3, 4, 5), 18, 1.0, 1e-2, 40
+SIZES, BITS, SMOOTHING, MIN_TEXTS, MIN_RATIO, PENALTY, STEPS = (3, 4, 5), 18, 1.0, 3, 0.5, 1e-2, 80
 
 
 @dataclass(frozen=True)
@@ -39,34 +37,60 @@ def _words(text: str | None) -> list[str]:
     return pieces(set((text or "").lower().split()))
 
 
-@F.udf(VectorUDT())
-def _features(text: str | None) -> SparseVector:
-    codes = np.unique(grams(_words(text), SIZES, BITS)[1])
-    return SparseVector(1 << BITS, codes, np.ones(len(codes)))
+def _codes(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(grams(_words(t), SIZES, BITS)[1]).astype(np.int32) for t in texts], dtype=object)
+
+
+def _strong(ratio: np.ndarray):
+    kept = ratio != 0
+
+    @F.pandas_udf("array<int>")
+    def strong(codes: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(c)[kept[np.asarray(c)]] for c in codes], dtype=object)
+
+    return strong
+
+
+def _weights(ratio: np.ndarray):
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        numbers, codes = flattened(rows["codes"].to_list())
+        used = np.flatnonzero(ratio)
+        place = np.zeros(len(ratio), np.int64)
+        place[used] = np.arange(len(used))
+        codes = codes.astype(np.int64)
+        w, intercept = fit_linear(numbers, place[codes], ratio[codes], 2 * rows["y"].to_numpy() - 1, len(used), "logistic", PENALTY, STEPS, 0.01)
+        return pd.DataFrame({"code": np.append(used, -1).astype(np.int32), "weight": np.append(w * ratio[used], intercept)})
+
+    return fitted
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
     """Learn from the texts that `labels` marks 1 or 0; rows with a null label, key or text teach nothing, and a key marked both ways counts as 1.
 
-    With one class alone, the model gives its share (smoothed) to every text.
+    N-grams in fewer than MIN_TEXTS texts or with a ratio below MIN_RATIO either way are left out. With one class alone, the
+    model gives its share (smoothed) to every text.
     """
-    marks = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("double").alias("__y"))
+    marks = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("y"))
     sample = marks.orderBy(F.xxhash64("__key"), "__key").limit(max_rows)
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    rows = texts.join(F.broadcast(sample), "__key").repartition(PARTS, "__key").select("__y", _features("__text").alias("x")).persist()  # the sample has max_rows rows of two numbers
-    try:
-        held = {r["__y"]: (r["n"], r["hold"].toArray()) for r in rows.groupBy("__y").agg(F.count("*").alias("n"), Summarizer.numNonZeros(F.col("x")).alias("hold")).collect()}  # two rows
-        if len(held) < 2:
-            n, ones = sum(n for n, _ in held.values()), held.get(1.0, (0, None))[0]
-            return Model(np.zeros(1 << BITS), float(np.log((ones + SMOOTHING) / (n - ones + SMOOTHING))))
-        share = {y: (hold + SMOOTHING) / (n + 2 * SMOOTHING) for y, (n, hold) in held.items()}
-        seen = held[0.0][1] + held[1.0][1] > 0
-        ratio = np.where(seen, np.log(share[1.0] / share[0.0]), 0.0)
-        scaled = ElementwiseProduct(scalingVec=DenseVector(ratio), inputCol="x", outputCol="scaled").transform(rows)
-        found = LogisticRegression(featuresCol="scaled", labelCol="__y", regParam=PENALTY, standardization=False, maxIter=ITERATIONS).fit(scaled)
-        return Model(found.coefficients.toArray() * ratio, float(found.intercept))
-    finally:
-        rows.unpersist()
+    found = texts.join(F.broadcast(sample), "__key").orderBy(F.xxhash64("__key"), F.xxhash64("__text")).limit(2 * max_rows)  # sample: max_rows rows of two numbers; rows that repeat a key count up to as many again
+    rows = written(found.repartition(PARTS, "__key", "__text").select("y", F.pandas_udf(_codes, "array<int>")("__text").alias("codes")))
+    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # two rows
+    ones, zeros = size.get(1, 0), size.get(0, 0)
+    if not ones or not zeros:
+        return Model(np.zeros(1 << BITS), float(np.log((ones + SMOOTHING) / (zeros + SMOOTHING))))
+    hold = rows.select("y", F.explode("codes").alias("code")).groupBy("code").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    share = lambda n, all_: (F.col(n) + SMOOTHING) / (all_ + 2 * SMOOTHING)
+    hold = hold.where(F.col("p") + F.col("q") >= MIN_TEXTS).select("code", F.log(share("p", ones) / share("q", zeros)).alias("r")).where(F.abs("r") >= MIN_RATIO)
+    ratio = np.zeros(1 << BITS)
+    kept = hold.toPandas()  # a row for each bucket at most
+    ratio[kept["code"].to_numpy(np.int64)] = kept["r"].to_numpy()
+    strong = _strong(ratio)
+    weights = rows.select("y", strong("codes").alias("codes")).groupBy().applyInPandas(_weights(ratio), "code int, weight double").toPandas()  # the bounded sample in one task
+    out = np.zeros(1 << BITS)
+    at = weights["code"].to_numpy(np.int64)
+    out[at[at >= 0]] = weights["weight"].to_numpy()[at >= 0]
+    return Model(out, float(weights["weight"][at < 0].sum()))
 
 
 def score(text: Column, model: Model) -> Column:
