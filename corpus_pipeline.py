@@ -1,3 +1,73 @@
-STAGES = []
+"""A training corpus from documents: toxic texts and texts of no sure language go, one of each near-duplicate group stays, sources are mixed, texts are encoded."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import byte_bpe, jaccard_join, language_id, source_mix, toxicity
+from tessera.llm.common import read, shared_folder
+
+#: Texts whose language is judged with less than this go.
+LEAST_LANGUAGE_SCORE = 0.3
+#: Near duplicates: runs of five words, a similarity of 0.8.
+WORDS, PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold; the labels of held-out documents teach nothing."""
+    return toxicity.score_toxicity(docs, read(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language is judged with some certainty."""
+    judged = language_id.identify_languages(docs)
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest doc_id; rows equal in doc_id and text are one. Documents without words stay."""
+    found = jaccard_join.jaccard_components(docs, words=WORDS, percent=PERCENT)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.withColumn("__first", first).where("__first = 1").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources by target weights: a row for each pass in which a document is taken, with the text taken."""
+    mixed = source_mix.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else mixed
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids (little-endian unsigned 32-bit integers) and n_tokens of every text, and whether decoding gives the text back."""
+    ranks = byte_bpe.default_ranks()
+    encoded = byte_bpe.encode_texts(docs.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), "text"), ranks)
+    same = F.sha2(byte_bpe.decode_ids(F.col("ids"), ranks), 256) == F.col("text_sha256")
+    return encoded.select("doc_id", "source", "ids", "n_tokens", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_known_languages),
+    ("jaccard_join", drop_near_copies),
+    ("source_mix", mix),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}.parquet"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs
+
+
+#: A trained classifier and pseudorandom draws: SQL can't express the stages; the tests hold them against plain versions.
 ORACLE_SQL = None
-run = None
