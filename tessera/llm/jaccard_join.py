@@ -3,7 +3,9 @@
 Two sets of sizes a and b that link differ in at most (a + b)(1 - t)/(1 + t) shingles. The hashes are cut into one segment
 more than that, so linked sets agree in a whole segment: texts are brought together where a segment's signature is equal.
 A segment that is empty in both proves nothing, so a set with too many empty segments is also cut twice as fine, and so
-on, until the non-empty ones outnumber the differences. Signatures meet packed, by ranges of hashes, and give candidate
+on, until the non-empty ones outnumber the differences. Very frequent shingles (marked in a sketch of fixed size that counts
+all texts) are first set aside as long lists: without them linked sets differ no more, and a passage that many texts share
+brings no two of them together; sets that have too little else are cut with them. Signatures meet packed, by ranges of hashes, and give candidate
 groups, as chains of texts rather than pairs. Each group is searched by itself: the T-occurrence search merges the short
 inverted lists of a text, keeps the texts found often enough, and probes the long lists by binary search (DivideSkip).
 Texts that are already joined are not compared again, so a group of near copies costs no square of its size.
@@ -26,9 +28,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import connected_components, cut, slabs, written
 
 #: Bytes of the texts of a piece, unless one text is longer.
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 #: Shingles that a task of the search holds, unless one text has more.
-TASK_SHINGLES = 2_000_000
+TASK_SHINGLES = 1_000_000
+#: Counters (2**bits) of the sketch of frequent shingles, and the blocks they are summed in.
+SKETCH_BITS, SKETCH_BLOCKS = 20, 16
+#: How often a set is cut finer without its frequent shingles before it is cut with them.
+_LIGHT = 3
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _HALF = np.uint64(32)
 
@@ -73,9 +79,10 @@ def _classes(largest: int) -> list[int]:
     return bounds
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of sets and keys: any two sets that link have a key in common."""
+def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of sets and keys: any two sets that link have a key in common. frequent: marks by the last SKETCH_BITS bits of a hash."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
+    light = sets if frequent is None else [s[~frequent[(s & np.uint64(len(frequent) - 1)).astype(np.int64)]] for s in sets]
     bounds = np.array(_classes(int(size.max(initial=0))))
     home = np.searchsorted(bounds, size, "right") - 1
     numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -83,18 +90,19 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         # A set is in the class of its size, and in the next one if that may hold a partner.
         members = np.flatnonzero((size > 0) & ((home == c) | ((home == c - 1) & (size * 100 >= bounds[c] * percent))))
         differ = int(2 * (bounds[c + 1] - 1) * (100 - percent) // (100 + percent))
-        level = 0
-        while len(members) and (segments := (differ + 1) << level) < 2**31:
-            h = np.concatenate([sets[i] for i in members])
-            doc = np.repeat(np.arange(len(members)), size[members])
+        for level in range(_LIGHT + 24):
+            if not len(members):
+                break
+            own, segments = (light, (differ + 1) << level) if level < _LIGHT else (sets, (differ + 1) << (level - _LIGHT))
+            h = np.concatenate([own[i] for i in members])
+            doc = np.repeat(np.arange(len(members)), [len(own[i]) for i in members])
             slot = doc * segments + (((h >> _HALF) * np.uint64(segments)) >> _HALF).astype(np.int64)
-            starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
             slot = slot[starts]
             tag = np.uint64(((c << 8) + level + 1) << 40) + (slot % segments).astype(np.uint64)
             numbers.append(members[slot // segments])
-            keys.append(_mix(np.add.reduceat(_mix(h), starts) + _mix(tag * _B)))
+            keys.append(_mix((np.add.reduceat(_mix(h), starts) if len(h) else h) + _mix(tag * _B)))
             members = members[np.bincount(slot // segments, minlength=len(members)) <= differ]
-            level += 1
     return np.concatenate(numbers), np.concatenate(keys)
 
 
@@ -122,7 +130,39 @@ _PIECES = """base long, docs array<struct<node: long, doc_id: long, n: long, dig
     parts array<struct<bucket: int, keys: binary, nodes: binary>>"""
 
 
-def _read_pieces(buckets: int, words: int, percent: int):
+def _counted(words: int):
+    """Counters of the shingles of one task's texts, by blocks."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            for lo, hi in slabs([len(t or b"") for t in texts], PIECE_BYTES):
+                h = np.concatenate(shingle_sets(texts[lo:hi], words))
+                counts += np.bincount((h & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+        blocks = counts.reshape(SKETCH_BLOCKS, -1)
+        task = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(SKETCH_BLOCKS), pa.int32()), "part": pa.array([task] * SKETCH_BLOCKS, pa.int32()), "counts": pa.array(map(_packed, blocks), pa.binary())})
+
+    return counted
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    total = sum(_unpacked(b) for b in rows["counts"].to_pylist())
+    return pa.table({"block": rows["block"][:1], "part": rows["part"][:1], "counts": pa.array([_packed(total)], pa.binary())})
+
+
+def frequent_shingles(texts: DataFrame, words: int) -> np.ndarray:
+    """Marks of the counters that hold far more than the median; the sketch covers all texts and has a fixed size."""
+    kind = "block int, part int, counts binary"
+    sums = texts.select("text").mapInArrow(_counted(words), kind).groupBy("block", "part").applyInArrow(_summed, kind)
+    blocks = sums.groupBy("block").applyInArrow(_summed, kind).orderBy("block").collect()  # SKETCH_BLOCKS rows of fixed size
+    counts = np.concatenate([_unpacked(r["counts"]) for r in blocks]).astype(float) if blocks else np.zeros(1 << SKETCH_BITS)
+    usual = np.median(counts)
+    return counts > usual + 8 * np.sqrt(usual) + 64
+
+
+def _read_pieces(buckets: int, words: int, percent: int, frequent: np.ndarray):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -131,7 +171,7 @@ def _read_pieces(buckets: int, words: int, percent: int):
                 sets = shingle_sets(texts[lo:hi], words)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 docs = [{"node": node + i, "doc_id": d, "n": len(s), "digest": x} for i, (d, s, x) in enumerate(zip(batch["doc_id"].slice(lo, hi - lo).to_pylist(), sets, digests, strict=True))]
-                number, keys = signatures(sets, percent)
+                number, keys = signatures(sets, percent, frequent)
                 keys, nodes, links = _first_of_runs(keys, number)
                 bucket = (((keys >> _HALF) * np.uint64(buckets)) >> _HALF).astype(np.int64)
                 at = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
@@ -311,7 +351,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    pieces = written(texts.mapInArrow(_read_pieces(buckets, words, percent), _PIECES))
+    frequent = frequent_shingles(texts, words)
+    pieces = written(texts.mapInArrow(_read_pieces(buckets, words, percent, frequent), _PIECES))
     nodes = pieces.select(F.explode("docs").alias("d")).select("d.*")
     parts = pieces.select("base", F.explode("parts").alias("p")).select("base", "p.*")
     met = parts.groupBy("bucket").applyInArrow(_meet, "u long, v long")
