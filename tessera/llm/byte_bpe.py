@@ -1,6 +1,6 @@
 """Byte-level BPE: texts to token ids by way of a table of distinct pre-tokens, and ids back to bytes.
 
-Texts are cut into pre-tokens and packed into pieces of some million pre-tokens, in which each position holds the code of
+Texts are cut into pre-tokens and packed into pieces of a million pre-tokens or so, in which each position holds the code of
 a word of that piece. The words are shuffled by a hash of the word, every distinct word is encoded once, and its ids go
 back to the pieces that hold it, where they are put in place by position. A word that fills half of all texts is one entry
 for each piece, and what moves is packed and compressed, so the shuffles stay below the size of the input.
@@ -28,7 +28,7 @@ from tessera.llm.pretokens import pretokens
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a piece, unless one text is longer.
-PIECE_CHARS = 24_000_000
+PIECE_CHARS = 8_000_000
 _END = b"\xff"  # no byte of UTF-8
 
 
