@@ -1,2 +1,7 @@
-QUERIES = {}
-ORACLE = {}
+"""Every query of the library and the SQL that it is held against."""
+
+from tessera.plans import metric_plans, overlap_plans
+
+MODULES = (overlap_plans, metric_plans)
+QUERIES = {name: f for m in MODULES for name, f in m.registry.queries.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.registry.oracle.items()}
