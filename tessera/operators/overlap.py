@@ -77,7 +77,7 @@ def nearest(probes: DataFrame, base: DataFrame, key: str, distance, k: int, tie:
 
     `distance`: a column of both prefixes' columns. Each block pair keeps k rows a probe before they are merged.
     """
-    deal = lambda df, prefix, own, other: df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.pmod(F.xxhash64(key), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias(other))
+    deal = lambda df, prefix, own, other: df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.pmod(F.xxhash64(key), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(other))
     both = deal(probes, "p_", "i", "j").join(deal(base, "b_", "j", "i"), ["i", "j"]).withColumn("distance", distance)
     order = [F.asc("distance"), *map(F.asc, tie)]
     part = both.withColumn("n", F.row_number().over(Window.partitionBy(f"p_{key}", "j").orderBy(*order))).where(F.col("n") <= k)
