@@ -28,8 +28,10 @@ def read_answers(df: DataFrame, labels: list[str], text: str = "answer", evidenc
     ids = evidence_ids if evidence_ids is not None else F.array().cast("array<string>")
     size = min(differential, len(labels))
     body = F.regexp_replace(F.regexp_replace(F.btrim(F.col(text), F.lit(" \t\r\n")), r"(?is)^```(?:json)?\s*(.*?)\s*```$", "$1"), r"^\s+|\s+$", "")
-    rows = df.withColumn("__body", body).withColumn("__v", F.try_parse_json("__body")).withColumn("__a", F.from_json("__body", _FORM))
-    v, a = F.col("__v"), F.col("__a")
+    rows = df.withColumn("__body", body).withColumn("__v", F.try_parse_json(F.concat(F.lit("["), "__body", F.lit("]")))).withColumn("__a", F.from_json("__body", _FORM))
+    # What follows the object, if anything does, breaks the list that holds it or makes it longer.
+    alone = F.try_variant_get(F.col("__v"), "$[1]", "variant").isNull()
+    v, a = F.when(alone, F.try_variant_get(F.col("__v"), "$[0]", "variant")), F.col("__a")
     keys = F.coalesce(F.json_object_keys("__body"), F.array().cast("array<string>"))
     missing, extra = F.array_sort(F.array_except(F.array(*map(F.lit, KEYS)), keys)), F.array_sort(F.array_except(keys, F.array(*map(F.lit, KEYS))))
     told = F.array_join(F.concat(F.transform(missing, lambda k: F.concat(F.lit("missing key "), k)), F.transform(extra, lambda k: F.concat(F.lit("key not asked for: "), k))), "; ")

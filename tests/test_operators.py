@@ -1,0 +1,231 @@
+"""Hand-worked values and plain recomputations."""
+
+import json
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import text as fn
+from tessera.functions import values
+from tessera.operators import answers, dictionary, graph, metrics, overlap, passages, profile, splits
+from tessera.sources import tables
+
+
+def one(spark, column, **cells):
+    names = list(cells)
+    schema = ", ".join(f"{n} string" for n in names)
+    return spark.createDataFrame([tuple(cells.values())], schema).select(column.alias("x")).first()["x"]
+
+
+TRUTH, ANSWER = list("aaaabbbccc"), ["a", "a", "b", None, "b", "b", "c", "c", "c", "d"]
+
+
+def test_confusion_and_scores(spark):
+    df = spark.createDataFrame(list(zip(TRUTH, ANSWER)), "truth string, answer string")
+    m = {(r.truth, r.answer): r.n for r in metrics.confusion(df, list("abcd")).collect()}
+    assert [[m[t, a] for a in [*"abcd", metrics.INVALID]] for t in "abcd"] == [[2, 1, 0, 0, 1], [0, 2, 1, 0, 0], [0, 0, 2, 1, 0], [0, 0, 0, 0, 0]]
+    s = metrics.summarize(df, list("abcd")).first()
+    assert (s.n, s.correct) == (10, 6)
+    assert math.isclose(s.balanced_accuracy, 11 / 18) and math.isclose(s.macro_f1, 2 / 3) and math.isclose(s.macro_precision, (1 + 2 / 3 + 2 / 3) / 3)
+
+
+def test_never_answered_class_and_unknown_answer(spark):
+    df = spark.createDataFrame(list(zip("aabb", "aaaa")), "truth string, answer string")
+    b = metrics.class_scores(metrics.confusion(df, ["a", "b"])).where("label = 'b'").first()
+    assert (b.precision, b.recall, b.f1) == (None, 0.0, 0.0)
+    with pytest.raises(Exception, match="not a class"):
+        metrics.confusion(df, ["a"]).collect()
+
+
+def test_rankings(spark):
+    hits = spark.createDataFrame([("q", i, r) for i, r in enumerate([1, 0, 1, 0, 0], 1)], "q string, rank int, rel int")
+    three = spark.createDataFrame([("q", 3), ("none", 0)], "q string, n_relevant int")
+    at5 = {r.q: r for r in metrics.ranking_scores(hits, three, "q", 5).collect()}
+    assert math.isclose(at5["q"].ndcg_at_k, 1.5 / (1 + 1 / math.log2(3) + 0.5)) and at5["q"].precision_at_k == 0.4 and at5["none"].ndcg_at_k is None
+    assert math.isclose({r.q: r for r in metrics.ranking_scores(hits, three, "q", 3).collect()}["q"].precision_at_k, 2 / 3)
+
+
+def test_wilson_kappa_holm_mcnemar_interval(spark):
+    lo, hi = metrics.wilson(F.lit(8), F.lit(10))
+    r = spark.range(1).select(lo.alias("lo"), hi.alias("hi")).first()
+    assert (round(r.lo, 4), round(r.hi, 4)) == (0.4902, 0.9433)
+    pairs = spark.createDataFrame([(True, True)] * 20 + [(True, False)] * 5 + [(False, True)] * 10 + [(False, False)] * 15, "a boolean, b boolean")
+    assert math.isclose(metrics.kappa(pairs).first().kappa, 0.4)
+    assert metrics.kappa(spark.createDataFrame([(True, True)], "a boolean, b boolean")).first().kappa is None
+    p = spark.createDataFrame([("x", 0.01), ("y", 0.04), ("z", 0.03)], "k string, p double")
+    assert {r.k: round(r.adjusted, 9) for r in metrics.holm(p, "k").collect()} == {"x": 0.03, "y": 0.06, "z": 0.06}
+    m = spark.createDataFrame([(1, 9), (0, 0), (5, 5), (400, 600)], "a int, b int").select(metrics.mcnemar(F.col("a"), F.col("b")).alias("p"))
+    got = [r.p for r in m.collect()]
+    assert math.isclose(got[0], 22 / 1024) and got[1:3] == [1.0, 1.0] and 0 < got[3] < 1e-8
+    v = spark.createDataFrame([("g", float(i)) for i in range(41)] + [("h", None), ("h", 1.0)], "g string, v double")
+    assert {r.g: (r.lo, r.hi) for r in metrics.interval(v, "v", ["g"]).collect()} == {"g": (1.0, 39.0), "h": (None, None)}
+
+
+def test_scores_agree_with_a_plain_version_on_random_runs(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice("abc"), rng.choice(["a", "b", "c", None])) for k in range(20) for _ in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(rows, "run int, truth string, answer string")
+    matrix = df.groupBy("run", "truth", F.coalesce("answer", F.lit(metrics.INVALID)).alias("answer")).agg(F.count("*").alias("n"))
+    got = {r.run: r.balanced_accuracy for r in metrics.macro_scores(metrics.class_scores(matrix, ["run"]), ["run"]).collect()}
+    for k in range(20):
+        own = [(t, a) for r, t, a in rows if r == k]
+        recalls = [sum(t == a for t, a in own if t == c) / n for c, n in Counter(t for t, _ in own).items()]
+        assert math.isclose(got[k], sum(recalls) / len(recalls))
+
+
+def test_bootstrap_is_the_same_on_any_partitioning(spark):
+    rows = spark.createDataFrame([("ab"[i % 2], f"g{i % 7}", "a" if i % 3 else "b") for i in range(60)], "truth string, grp string, answer string")
+    a, b = ({r.resample: round(r.balanced_accuracy, 9) for r in metrics.bootstrap(rows.repartition(n), 30).collect()} for n in (1, 8))
+    assert a == b and len(a) == 30 and len(set(a.values())) > 1
+
+
+def test_tokens_and_sentences(spark):
+    t = "The patient’s Naevi and haematomas; keratoses, biopsies, glass, virus."
+    assert one(spark, fn.tokens(F.col("t")), t=t) == ["the", "patient", "nevus", "and", "hematoma", "keratosis", "biopsy", "glass", "virus"]
+    s = "See Fig. 2 here. It (e.g. This) grew! Was it? \"No.\" 3 more"
+    assert one(spark, fn.sentences(F.col("t")), t=s) == ["See Fig. 2 here.", "It (e.g. This) grew!", "Was it?", "\"No.\" 3 more"]
+    assert one(spark, fn.shingles(fn.plain_words(F.col("t")), 12), t="a b") == []
+    assert one(spark, fn.first_year(F.col("t")), t="12019 in 1998 and 2001") == "1998"
+    assert one(spark, fn.cited_figures(F.col("t")), t="Figs. 3 and fig 12, figure 4") == ["3", "12", "4"]
+    assert one(spark, fn.normalised_answer(F.col("t")), t=" **Final  diagnosis:** `Basal  cell`. ") == "basal cell"
+    assert one(spark, fn.short_list(F.split("t", ","), 2), t="c,a,b,a") == "a, b, and 1 more"
+
+
+def test_cells(spark):
+    assert [one(spark, values.is_gap(F.col("t")), t=v) for v in (None, " n/a ", "Unk", "0", "nano")] == [True, True, True, False, False]
+    assert [one(spark, values.licence_kind(F.col("t")), t=v) for v in ("https://creativecommons.org/publicdomain/zero/1.0", "https://creativecommons.org/licenses/by-nc/4.0", "https://creativecommons.org/licenses/by/4.0", "", "X")] == ["CC0", "CC BY-NC (any)", "CC BY (any, no NC)", "not stated", "other: X"]
+    assert [one(spark, values.age_flag(F.col("t")), t=v) for v in ("34", "121", "x", "NA")] == [None, "outside 0 to 120", "not a whole number", None]
+    ids = spark.createDataFrame([("12-3",), ("2-10",), ("2-9",), ("a-1",)], "id string")
+    assert [r.id for r in ids.orderBy(values.natural_key(F.col("id"))).collect()] == ["2-9", "2-10", "12-3", "a-1"]
+
+
+def test_components_and_decisions(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (9, 9), (3, 1)], "u long, v long")
+    assert {r.id: r.component for r in graph.connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    assert {r.component for r in graph.connected_components(chain).collect()} == {0}
+    items = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "x"), (6, "a", "x"), (7, "b", "y")], "id long, label string, content string")
+    got = {r.id: (r.cluster, r.decision, r.reason) for r in graph.cluster_decisions(items, links).collect()}
+    assert got == {1: (1, "keep", "kept_one_of_cluster"), 2: (1, "drop", "identical_copy"), 3: (1, "drop", "identical_copy"), 6: (6, "drop", "conflicting_labels"), 7: (6, "drop", "conflicting_labels")}
+
+
+def test_hamming_pairs_against_all_pairs(spark):
+    rng = random.Random(3)
+    codes = [rng.getrandbits(64) for _ in range(40)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8))) for c in codes]
+    signed = [c - 2**64 if c >= 2**63 else c for c in codes]
+    df = spark.createDataFrame(list(enumerate(signed)), "k long, c long")
+    got = {(r.a, r.b): r.distance for r in overlap.hamming_pairs(df, "k", "c", 6).collect()}
+    assert got == {(i, j): d for i in range(80) for j in range(i + 1, 80) if (d := bin(codes[i] ^ codes[j]).count("1")) <= 6}
+
+
+def test_splits(spark):
+    rng = random.Random(1)
+    rows = [(f"g{rng.randint(0, 40)}", rng.choice("aab")) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, y string")
+    placed = {r.grp: r.split for r in splits.greedy_split(df, "g", "y", "7").collect()}
+    again = {r.grp: r.split for r in splits.greedy_split(df.repartition(7), "g", "y", "7").collect()}
+    assert placed == again and set(placed) == {g for g, _ in rows}
+    for y in "ab":
+        n = Counter(placed[g] for g, c in rows if c == y)
+        assert all(abs(n[s] / sum(n.values()) - share) < 0.06 for s, share in splits.FRACTIONS)
+    capped = {r.grp: r.split for r in splits.capped_split(df, "g", "y", "7", (0.6, 40), (0.2, 15)).collect()}
+    for y in "ab":
+        n = Counter(capped[g] for g, c in rows if c == y)
+        assert n["test"] <= 40 and n["val"] <= 15
+    torn = spark.createDataFrame([("g", "a", "train"), ("g", "a", "test"), ("h", "b", "test")], "g string, y string, s string")
+    assert {tuple(r) for r in splits.split_problems(torn, "g", "y", "s").collect()} == {("group in two splits", "g"), ("class without training rows", "b/train")}
+
+
+def test_dictionary_takes_the_longest_name_first(spark):
+    terms = spark.createDataFrame([("bcc", "basal cell carcinoma", "yes"), ("nev", "nevus", "yes"), ("nev", "sebaceous nevus", "yes"), ("syn", "basal cell nevus syndrome", "no")], "class string, term string, counts string")
+    df = spark.createDataFrame([("Basal cell nevus syndrome, naevus and nevus sebaceous: carcinoma of basal cells",), ("",), (None,)], "text string")
+    got = [r.named for r in dictionary.named(df, terms).collect()]
+    assert (got[0].classes, got[0].others) == ({"nev": 2}, ["basal cell nevus syndrome"]) and got[1].classes == {}
+    twice = spark.createDataFrame([("a", "nevi", "yes"), ("b", "nevus", "yes")], "class string, term string, counts string")
+    with pytest.raises(ValueError, match="nevus"):
+        dictionary.dictionary(twice)
+
+
+def test_prefix_cut_and_windows(spark):
+    df = spark.createDataFrame([(1, "A mole is common. A man came. He had a mole."), (2, "A man came. It grew. A mole was cut."), (3, "Nothing here.")], "k int, text string")
+    got = {r.k: r.question for r in passages.prefix_cut(df, "k", "text", lambda s: s.contains("mole"), lambda s: s.contains("man")).collect()}
+    assert got == {1: "A man came.", 2: "A man came. It grew.", 3: "Nothing here."}
+    rows = passages.sentence_rows(df, ["k"])
+    assert {r.k for r in passages.window_confirms(rows, "k", F.col("sentence").contains("came"), F.col("sentence").contains("mole"), 2).where("confirmed").collect()} == {1, 2}
+    assert {r.k for r in passages.neighbour_rule(rows, "k", F.col("sentence").contains("mole"), F.col("sentence").contains("grew")).where("holds").collect()} == {2}
+
+
+def test_passages_against_a_plain_version(spark):
+    rng = random.Random(9)
+    def paragraph(n):
+        return " ".join(("W" if i % 9 == 0 else "w") + str(i) + ("." if i % 9 == 8 else "") for i in range(n))
+    texts = ["\n".join(paragraph(rng.choice([5, 30, 120, 400])) for _ in range(rng.randint(1, 6))) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {}
+    for r in passages.passages(df, ["k"], most=100, shortest=20).orderBy("k", "pos").collect():
+        got.setdefault(r.k, []).append(r.passage)
+
+    def pack(parts, glue):
+        out = []
+        for p in parts:
+            if out and len(out[-1].split()) + len(p.split()) <= 100:
+                out[-1] += glue + p
+            else:
+                out.append(p)
+        return out
+
+    for k, t in enumerate(texts):
+        parts = [x for p in t.split("\n") for x in ([p] if len(p.split()) <= 100 else pack(re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", p), " "))]
+        assert got.get(k, []) == [p for p in pack(parts, "\n\n") if len(p.split()) >= 20]
+
+
+def test_profile(spark):
+    df = spark.createDataFrame([(i, "p" + str(i % 3), str(i), None if i % 4 == 0 else "x") for i in range(24)], "id int, owner string, n string, c string")
+    got = {r.column: r for r in profile.column_profile(df, ["n", "c"]).collect()}
+    assert (got["n"].kind, got["n"].low, got["n"].median, got["n"].high) == ("numbers", 0.0, 11.5, 23.0) and got["c"].empty == 6
+    assert {r.column: r.level for r in profile.column_levels(df.withColumn("o", F.col("owner")), [("owner", ["owner"])], ["o", "n"], "row").collect()} == {"o": "owner", "n": "row"}
+    q = profile.exclusive_quartiles(spark.createDataFrame([("a", v) for v in (1.0, 2.0, 4.0, 9.0)], "g string, v double"), "v", "g").first()
+    assert (q.q1, q.q2, q.q3) == (1.25, 3.0, 7.75)
+    a, b = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, h string"), spark.createDataFrame([(2, "y"), (3, "w"), (4, "v")], "k int, h string")
+    assert {r.k: r.state for r in profile.reconciled(a, b, "k", "h").collect()} == {1: "missing", 2: "same", 3: "changed", 4: "extra"}
+
+
+def test_answers(spark):
+    good = {"differential": ["Melanoma", " nevus ", "BASAL  cell"], "evidence_sufficient": "Yes", "reason": "r", "claims": [{"statement": "s", "evidence": ["p1"]}], "evidence": ["p1"]}
+    cases = [
+        (json.dumps(good), None), ("```json\n" + json.dumps(good) + "\n```", None), (json.dumps(good | {"claims": [{"statement": "s"}]}), None),
+        ("  ", "empty answer"), (None, "empty answer"), ("[1]", "not one JSON object"), (json.dumps(good) + "x", "not one JSON object"),
+        (json.dumps({k: v for k, v in good.items() if k != "reason"} | {"z": 1}), "missing key reason; key not asked for: z"),
+        (json.dumps(good | {"differential": ["Melanoma"]}), "the differential is not a list of 3 class names"),
+        (json.dumps(good | {"differential": ["Melanoma", "nevus", 3]}), "the differential is not a list of 3 class names"),
+        (json.dumps(good | {"differential": ["Melanoma", "nevus", "wart"]}), "not a class of the list: 'wart'"),
+        (json.dumps(good | {"differential": ["Melanoma", "nevus", "Nevus"]}), "the differential names a class twice"),
+        (json.dumps(good | {"evidence_sufficient": True}), "evidence_sufficient is not yes or no"),
+        (json.dumps(good | {"reason": " "}), "no reason given"), (json.dumps(good | {"claims": []}), "claims is not a list of 1 to 3 claims"),
+        (json.dumps(good | {"claims": [{"statement": "s", "x": 1}]}), "a claim must have the key statement, may have the key evidence, and no other"),
+        (json.dumps(good | {"claims": [{"statement": ""}]}), "a claim has no statement"),
+        (json.dumps(good | {"claims": [{"statement": "s", "evidence": "p1"}]}), "a claim's evidence is not a list of passage ids"),
+        (json.dumps(good | {"claims": [{"statement": "s", "evidence": ["p2"]}]}), "a claim relies on a passage the run did not give: 'p2'"),
+        (json.dumps(good | {"evidence": "p1"}), "evidence is not a list of passage ids"), (json.dumps(good | {"evidence": ["p9"]}), "evidence names a passage the run did not give: 'p9'"),
+    ]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, answer string")
+    got = {r.i: r for r in answers.read_answers(df, ["melanoma", "Nevus", "Basal cell"], evidence_ids=F.array(F.lit("p1"))).collect()}
+    assert [got[i].invalid for i in range(len(cases))] == [why for _, why in cases]
+    assert got[0].read.diagnosis == "melanoma" and got[0].read.differential == ["melanoma", "Nevus", "Basal cell"] and got[0].read.evidence_sufficient == "yes"
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n{"k": 2}\n{"k"')
+    assert sorted(r.k for r in tables.read_json_lines(spark, str(tmp_path / "a.jsonl"), "k int").collect()) == [1, 2]
+    (tmp_path / "b.jsonl").write_text('{"k": 1}\n{"k"\n{"k": 2}\n')
+    with pytest.raises(ValueError, match="not JSON"):
+        tables.read_json_lines(spark, str(tmp_path / "b.jsonl"), "k int")
+    (tmp_path / "c.csv").write_text("﻿a,b\n1,2\n")
+    assert tables.read_csv(spark, str(tmp_path / "c.csv"), ["a", "b"]).first().a == "1"
+    with pytest.raises(ValueError, match="header"):
+        tables.read_csv(spark, str(tmp_path / "c.csv"), ["a"])
