@@ -229,3 +229,29 @@ def test_sources(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "c.csv"), ["a", "b"]).first().a == "1"
     with pytest.raises(ValueError, match="header"):
         tables.read_csv(spark, str(tmp_path / "c.csv"), ["a"])
+
+
+def test_ordered_choices(spark):
+    from tessera.operators import selection
+
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 50), rng.sample("abcd", rng.randint(1, 3))) for i in range(120)]
+    count, kept = Counter(), set()
+    for i, _, topics in sorted(rows, key=lambda r: (r[1], r[0])):
+        if any(count[t] < 9 for t in topics):
+            count.update(topics)
+            kept.add(i)
+    df = spark.createDataFrame(rows, "id long, rank int, topics array<string>")
+    assert {r.id for r in selection.quota(df, 9).collect()} == kept
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = [(1, "a", base), (2, "b", base + " end"), (3, "a", base + " x"), (4, "a", " ".join(f"v{i}" for i in range(20))), (5, "b", " ".join(f"v{i}" for i in range(20)))]
+    told = selection.told_again(spark.createDataFrame(texts, "k long, g string, text string"), "k", "g")
+    assert {r.k for r in told.collect()} == {2, 5}  # 3 is near 2, but 2 is gone
+
+
+def test_contamination_and_clean(spark):
+    run = " ".join(f"r{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {run} b"), (2, "short"), (3, None), (4, run.upper())], "d long, text string")
+    items = spark.createDataFrame([(7, f"{run} z")], "q long, text string")
+    assert {(r.d, r.q, r.shared) for r in overlap.contamination(docs, items, "d", "q").collect()} == {(1, 7, 1), (4, 7, 1)}
+    assert {r.d for r in overlap.clean_of(docs, items, "d", "q").collect()} == {2, 3}
