@@ -2,8 +2,9 @@
 
 Two sets of sizes a and b that link differ in at most (a + b)(1 - t)/(1 + t) shingles. The hashes are cut into one segment
 more than that, so linked sets agree in a whole segment: texts are brought together where a segment's signature is equal.
-A segment that is empty in both proves nothing, so a set with too many empty segments is also cut twice as fine, and so
-on, until the non-empty ones outnumber the differences. Very frequent shingles (marked in a sketch of fixed size that counts
+A segment that is empty in both proves nothing, and one of a single shingle little, so more segments are cut than that and
+those of two shingles or more are used; a set in which these don't outnumber the differences is also cut otherwise, until
+its used segments do. Very frequent shingles (marked in a sketch of fixed size that counts
 all texts) are first set aside as long lists: without them linked sets differ no more, and a passage that many texts share
 brings no two of them together; sets that have too little else are cut with them. Signatures meet packed, by ranges of hashes, and give candidate
 groups, as chains of texts rather than pairs. Each group is searched by itself: the T-occurrence search merges the short
@@ -33,8 +34,10 @@ PIECE_BYTES = 4_000_000
 TASK_SHINGLES = 1_000_000
 #: Counters (2**bits) of the sketch of frequent shingles, and the blocks they are summed in.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-#: How often a set is cut finer without its frequent shingles before it is cut with them.
-_LIGHT = 3
+#: Ways to cut a set: segments by difference, and the least shingles of a segment that is used. All sets are cut without their
+#: frequent shingles first, by the ways in order until the used segments outnumber the differences, then with them.
+_WAYS = ((1.15, 2), (1.45, 2), (1.0, 1), (2.0, 1))
+_MORE_WAYS = tuple((2.0**k, 1) for k in range(2, 22))
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _HALF = np.uint64(32)
 
@@ -75,7 +78,7 @@ def _classes(largest: int) -> list[int]:
     """Bounds of the classes of sizes, up to two beyond the largest size."""
     bounds = [1, 2]
     while bounds[-2] <= largest:
-        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // 65)))
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // 75)))
     return bounds
 
 
@@ -84,24 +87,26 @@ def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray | None
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     light = sets if frequent is None else [s[~frequent[(s & np.uint64(len(frequent) - 1)).astype(np.int64)]] for s in sets]
     bounds = np.array(_classes(int(size.max(initial=0))))
-    home = np.searchsorted(bounds, size, "right") - 1
     numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    ways = [(light, *way) for way in _WAYS] + [(sets, *way) for way in (*_WAYS, *_MORE_WAYS)]
     for c in range(len(bounds) - 1):
-        # A set is in the class of its size, and in the next one if that may hold a partner.
-        members = np.flatnonzero((size > 0) & ((home == c) | ((home == c - 1) & (size * 100 >= bounds[c] * percent))))
+        # A set is in the class of its size and in those above that may hold a partner of it.
+        members = np.flatnonzero((size > 0) & (size < bounds[c + 1]) & (size * 100 >= bounds[c] * percent))
         differ = int(2 * (bounds[c + 1] - 1) * (100 - percent) // (100 + percent))
-        for level in range(_LIGHT + 24):
+        for number, (own, times, least) in enumerate(ways):
             if not len(members):
                 break
-            own, segments = (light, (differ + 1) << level) if level < _LIGHT else (sets, (differ + 1) << (level - _LIGHT))
+            segments = int((differ + 1) * times)
             h = np.concatenate([own[i] for i in members])
             doc = np.repeat(np.arange(len(members)), [len(own[i]) for i in members])
             slot = doc * segments + (((h >> _HALF) * np.uint64(segments)) >> _HALF).astype(np.int64)
             starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
-            slot = slot[starts]
-            tag = np.uint64(((c << 8) + level + 1) << 40) + (slot % segments).astype(np.uint64)
+            sums = np.add.reduceat(_mix(h), starts) if len(h) else h
+            used = np.diff(np.append(starts, len(h))) >= least
+            slot, sums = slot[starts][used], sums[used]
+            tag = np.uint64(((c << 8) + number + 1) << 40) + (slot % segments).astype(np.uint64)
             numbers.append(members[slot // segments])
-            keys.append(_mix((np.add.reduceat(_mix(h), starts) if len(h) else h) + _mix(tag * _B)))
+            keys.append(_mix(sums + _mix(tag * _B)))
             members = members[np.bincount(slot // segments, minlength=len(members)) <= differ]
     return np.concatenate(numbers), np.concatenate(keys)
 
@@ -255,8 +260,11 @@ def search(sets: list[np.ndarray], group: np.ndarray, start: np.ndarray, percent
         short, long = own[: n - least + enough], own[n - least + enough :]
         counts = length[short]
         at = np.repeat(begin[short] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        found, times = np.unique(posting[at], return_counts=True)
-        keep = (found < i) & (times >= enough) & (sizes[found] >= least)
+        times = np.bincount(posting[at], minlength=len(sets))[:i]  # the merge: how many short lists hold each smaller set
+        found = np.flatnonzero(times >= enough)
+        times = times[found]
+        most = times + len(long)  # what the long lists can still add
+        keep = (sizes[found] >= least) & (100 * most >= percent * (n + sizes[found] - most))
         found, times = found[keep], times[keep]
         while len(found):
             mine = forest.root(i)
