@@ -37,6 +37,8 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Ways to cut a set: segments by difference, and the least shingles of a segment that is used. All sets are cut without their
 #: frequent shingles first, by the ways in order until the used segments outnumber the differences, then with them.
 _WAYS = ((1.15, 2), (1.45, 2), (1.0, 1), (2.0, 1))
+#: The same where sets may differ in more than an eighth or so, and segments are too small for two shingles.
+_WAYS_FAR, _FAR_PERCENT = ((1.3, 1), (2.0, 1)), 87
 _MORE_WAYS = tuple((2.0**k, 1) for k in range(2, 22))
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _HALF = np.uint64(32)
@@ -88,7 +90,8 @@ def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray | None
     light = sets if frequent is None else [s[~frequent[(s & np.uint64(len(frequent) - 1)).astype(np.int64)]] for s in sets]
     bounds = np.array(_classes(int(size.max(initial=0))))
     numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    ways = [(light, *way) for way in _WAYS] + [(sets, *way) for way in (*_WAYS, *_MORE_WAYS)]
+    first = _WAYS if percent >= _FAR_PERCENT else _WAYS_FAR
+    ways = [(light, *way) for way in first] + [(sets, *way) for way in (*first, *_MORE_WAYS)]
     for c in range(len(bounds) - 1):
         # A set is in the class of its size and in those above that may hold a partner of it.
         members = np.flatnonzero((size > 0) & (size < bounds[c + 1]) & (size * 100 >= bounds[c] * percent))
