@@ -108,28 +108,43 @@ def _taken(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     return ids[shift + np.arange(len(shift))], n
 
 
-def _assemble(pieces: pa.Table, words: pa.Table) -> pa.Table:
-    words = words.sort_by("bucket")
-    join = lambda column: np.concatenate([_grown(b) for b in words[column].to_pylist()] or [np.zeros(0, np.uint32)])
-    sizes, ids, out = join("sizes"), join("ids"), []
-    for i in range(pieces.num_rows):
-        counts, codes = _grown(pieces["counts"][i].as_py()), _grown(pieces["codes"][i].as_py())
-        flat, n = _taken(ids, sizes, codes)
-        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
-        raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
-        rows = pieces["rows"].chunk(0) if pieces["rows"].num_chunks == 1 else pieces["rows"].combine_chunks()
-        own = pa.array([raw[4 * a : 4 * b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.large_binary() if flat.nbytes > 2**30 else pa.binary())
-        out.append(pa.table({"row": rows[i].values, "ids": own.cast(pa.binary()), "n_tokens": pa.array(np.diff(ends).astype(np.int64))}))
-    return pa.concat_tables(out)
-
-
-def encode_texts(df: DataFrame, ranks_file: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
+@cache
+def _decoder(ranks_file: str):
+    """ids -> bytes, by the token-byte table laid out in one run."""
+    tokens = sorted((rank, token) for token, rank in token_bytes(ranks_file).items())
+    size, body = np.zeros(tokens[-1][0] + 1, np.int64), np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+    for rank, token in tokens:
+        size[rank] = len(token)
+    return lambda ids: None if ids is None else _taken(body, size, np.frombuffer(ids, "<u4"))[0].tobytes()
+
+
+def _assembler(ranks_file: str | None):
+    def assemble(pieces: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("bucket")
+        join = lambda column: np.concatenate([_grown(b) for b in words[column].to_pylist()] or [np.zeros(0, np.uint32)])
+        sizes, ids, out = join("sizes"), join("ids"), []
+        for i in range(pieces.num_rows):
+            counts, codes = _grown(pieces["counts"][i].as_py()), _grown(pieces["codes"][i].as_py())
+            flat, n = _taken(ids, sizes, codes)
+            ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
+            raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+            rows = pieces["rows"].chunk(0) if pieces["rows"].num_chunks == 1 else pieces["rows"].combine_chunks()
+            own = pa.array([raw[4 * a : 4 * b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.large_binary() if flat.nbytes > 2**30 else pa.binary())
+            table = {"row": rows[i].values, "ids": own.cast(pa.binary()), "n_tokens": pa.array(np.diff(ends).astype(np.int64))}
+            out.append(pa.table(table | ({"decoded": pa.array(map(_decoder(ranks_file), own.to_pylist()), pa.binary())} if ranks_file else {})))
+        return pa.concat_tables(out)
+
+    return assemble
+
+
+def encode_texts(df: DataFrame, ranks_file: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:
     """Replace `text` by its token ids (binary: little-endian unsigned 32-bit integers) and their number (long).
 
-    Null and empty texts have no ids. Other columns stay, but those named `ids` or `n_tokens` are replaced. The ranks file
-    must be at the same place on every executor.
+    decoded: a column for the bytes that the ids stand for, decoded in the tasks that put the ids together. Null and empty
+    texts have no ids. Other columns stay, but those named like an added one are replaced. The ranks file must be at the
+    same place on every executor.
     """
-    keep = [c for c in df.columns if c not in (text, ids, n_tokens)]
+    keep = [c for c in df.columns if c not in (text, ids, n_tokens, decoded)]
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.struct(F.lit(0).alias("__"), *keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -139,9 +154,10 @@ def encode_texts(df: DataFrame, ranks_file: str, text: str = "text", ids: str =
     pieces = written(rows.mapInArrow(_packer(buckets), schema))
     words = pieces.select("piece", F.explode("parts").alias("p")).select("piece", "p.bucket", "p.words").repartition(buckets, "bucket")
     encoded = words.mapInArrow(_encoder(ranks_file), "piece long, bucket int, sizes binary, ids binary")
-    out = T.StructType([T.StructField("row", row), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-    joined = pieces.drop("parts").groupBy("piece").cogroup(encoded.groupBy("piece")).applyInArrow(_assemble, out)
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("ids").alias(ids), F.col("n_tokens").alias(n_tokens))
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *([T.StructField("decoded", T.BinaryType())] if decoded else [])]
+    out = T.StructType([T.StructField("row", row), *added])
+    joined = pieces.drop("parts").groupBy("piece").cogroup(encoded.groupBy("piece")).applyInArrow(_assembler(ranks_file if decoded else None), out)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("ids").alias(ids), F.col("n_tokens").alias(n_tokens), *([F.col("decoded").alias(decoded)] if decoded else []))
 
 
 def decode_ids(ids: Column, ranks_file: str) -> Column:
@@ -149,12 +165,7 @@ def decode_ids(ids: Column, ranks_file: str) -> Column:
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = sorted((rank, token) for token, rank in token_bytes(ranks_file).items())
-        size, body = np.zeros(tokens[-1][0] + 1, np.int64), np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
-        for rank, token in tokens:
-            size[rank] = len(token)
         for batch in batches:
-            out = [None if b is None else _taken(body, size, np.frombuffer(b, "<u4"))[0].tobytes() for b in batch.to_pylist()]
-            yield pa.array(out, pa.binary())
+            yield pa.array(map(_decoder(ranks_file), batch.to_pylist()), pa.binary())
 
     return decoded(ids)

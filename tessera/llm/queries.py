@@ -23,9 +23,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.default_ranks()
-    encoded = byte_bpe.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
-    decoded = byte_bpe.decode_ids(F.col("ids"), ranks)
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, decoded="decoded")
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
