@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids (little-endian unsigned 32-bit integers) and n_tokens of every text, and whether decoding gives the text back."""
     ranks = byte_bpe.default_ranks()
-    encoded = byte_bpe.encode_texts(docs.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), "text"), ranks)
-    same = F.sha2(byte_bpe.decode_ids(F.col("ids"), ranks), 256) == F.col("text_sha256")
+    encoded = byte_bpe.encode_texts(docs.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), "text"), ranks, decoded="decoded")
+    same = F.sha2("decoded", 256) == F.col("text_sha256")
     return encoded.select("doc_id", "source", "ids", "n_tokens", same.alias("round_trip"))
 
 
