@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import nullable, slabs, written
+from tessera.llm.common import bucketed, nullable, slabs
 from tessera.llm.pretokens import pretokens
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -151,7 +151,7 @@ def encode_texts(df: DataFrame, ranks_file: str, text: str = "text", ids: str =
     row = nullable(rows.schema["row"].dataType)
     parts = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]))
     schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("parts", parts)])
-    pieces = written(rows.mapInArrow(_packer(buckets), schema))
+    pieces = bucketed(rows.mapInArrow(_packer(buckets), schema), "piece", buckets)  # so that codes are stored once and not shuffled
     words = pieces.select("piece", F.explode("parts").alias("p")).select("piece", "p.bucket", "p.words").repartition(buckets, "bucket")
     encoded = words.mapInArrow(_encoder(ranks_file), "piece long, bucket int, sizes binary, ids binary")
     added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), *([T.StructField("decoded", T.BinaryType())] if decoded else [])]

@@ -36,6 +36,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """`df` as a table in the warehouse, which all share, with the rows of a value of `column` in one of `buckets`: grouping by it needs no shuffle."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed everywhere, as Arrow data that Python makes has it."""
     if isinstance(kind, T.StructType):
