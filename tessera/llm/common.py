@@ -1,39 +1,17 @@
-"""What several operators of this subpackage share: the shared folder, lineage cuts and connected components."""
+"""What several operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.operators.graph import connected_components
+from tessera.sources.tables import cut, read, shared_folder, written
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Only where that is unset, as in tests, one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return named or spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read from the shared folder; for frames of few bytes."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Like cut(), but as a compressed table of columns."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bucketed", "connected_components", "cut", "nullable", "read", "shared_folder", "slabs", "written"]
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
@@ -64,27 +42,3 @@ def slabs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += n
     if lo < len(sizes):
         yield lo, len(sizes)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(u, v) links between long ids -> (id, component): the smallest id reachable, for every id that a link names.
-
-    Alternating large-star and small-star passes: each replaces links by links to the smallest neighbour, and partial
-    minima are taken before the shuffle, so that a hub with many links needs no task of its own. Self-links and repeated
-    links don't matter; rows with a null end are left out.
-    """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, state = cut(e), None
-    while True:
-        count, check = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if (count, check) == state or not count:
-            break
-        state = (count, check)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
-    roots = e.select(F.col("v").alias("id")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("id")))
