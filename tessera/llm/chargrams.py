@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 from tessera.llm.common import slabs
 
+#: Characters of the texts that are cut into words at a time.
+SLAB_CHARS = 1_000_000
 #: Longer words are cut into pieces of so many characters.
 WORD_CHARS = 64
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -45,6 +47,11 @@ def grams(words: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarr
     return np.concatenate(numbers), np.concatenate(codes)
 
 
+def text_slabs(texts: Iterable[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of SLAB_CHARS characters or so, as their words take many times the memory of the texts."""
+    return slabs([len(t or "") for t in texts], SLAB_CHARS)
+
+
 class WordSums:
     """Sums over words of the weights of their n-grams; words met before are remembered, up to `limit` of them."""
 
@@ -68,7 +75,7 @@ class WordSums:
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """A row for each list of words: the sums of the columns of the weights."""
         out = np.zeros((len(texts), self.weights.shape[1]))
-        for lo, hi in slabs([len(t) for t in texts], 1_000_000):
+        for lo, hi in slabs([len(t) for t in texts], 200_000):
             if len(self.known) > self.limit:
                 self._forget()
             known = self.known
@@ -105,7 +112,7 @@ class TextSums:
 
     def of(self, texts: list[list[str]]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for lo, hi in slabs([len(t) for t in texts], 1_000_000):
+        for lo, hi in slabs([len(t) for t in texts], 200_000):
             if len(self.known) > self.limit:
                 self._forget()
             known = self.known

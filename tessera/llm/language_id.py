@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chargrams import WordSums, grams, pieces
+from tessera.llm.chargrams import WordSums, grams, pieces, text_slabs
 from tessera.llm.common import written
 from tessera.llm.linear import fit_linear, flattened
 
@@ -140,11 +140,12 @@ def predict(text: Column, model: Model | None) -> Column:
         sums = WordSums(columns, SIZES, BITS) if model else None
         for texts in batches:
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            words = [_words(t) if model else [] for t in texts]
-            rows = [i for i, w in enumerate(words) if w]
-            if rows:
-                total = sums.of([words[i] for i in rows])
-                names[rows], scores[rows] = _decide(model, total[:, :-1] / total[:, -1:] + model.intercepts)
+            for lo, hi in text_slabs(texts) if model else ():
+                words = [_words(t) for t in texts[lo:hi]]
+                rows = [lo + i for i, w in enumerate(words) if w]
+                if rows:
+                    total = sums.of([w for w in words if w])
+                    names[rows], scores[rows] = _decide(model, total[:, :-1] / total[:, -1:] + model.intercepts)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predicted(text)

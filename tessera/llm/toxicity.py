@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chargrams import TextSums, grams, pieces
+from tessera.llm.chargrams import TextSums, grams, pieces, text_slabs
 from tessera.llm.common import written
 from tessera.llm.linear import fit_linear, flattened
 
@@ -101,7 +101,8 @@ def score(text: Column, model: Model) -> Column:
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sums = TextSums(weights, SIZES, BITS)
         for texts in batches:
-            margins = sums.of([_words(t) for t in texts]) + intercept
+            parts = [sums.of([_words(t) for t in texts[lo:hi]]) for lo, hi in text_slabs(texts)]
+            margins = np.concatenate([*parts, np.zeros(0)]) + intercept
             yield pd.Series(np.round(1 / (1 + np.exp(-np.clip(margins, -30, 30))), 6))
 
     return scored(text)
