@@ -10,6 +10,8 @@ from tessera.llm.common import slabs
 
 #: Characters of the texts that are cut into words at a time.
 SLAB_CHARS = 1_000_000
+#: Sums that are remembered for words at most, and words that are remembered in any case.
+TABLE_CELLS, LEAST_WORDS = 1 << 24, 20_000
 #: Longer words are cut into pieces of so many characters.
 WORD_CHARS = 64
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -56,7 +58,9 @@ class WordSums:
     """Sums over words of the weights of their n-grams; words met before are remembered, up to `limit` of them."""
 
     def __init__(self, weights: np.ndarray, sizes: tuple[int, ...], bits: int, limit: int = 300_000):
-        self.weights, self.sizes, self.bits, self.limit = np.ascontiguousarray(weights, np.float64), sizes, bits, limit
+        self.weights, self.sizes, self.bits = np.ascontiguousarray(weights, np.float64), sizes, bits
+        room = max(LEAST_WORDS, TABLE_CELLS // self.weights.shape[1])  # fewer words where there are many columns
+        self.limit, self.slab = min(limit, room), min(200_000, room)
         self._forget()
 
     def _forget(self) -> None:
@@ -75,7 +79,7 @@ class WordSums:
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """A row for each list of words: the sums of the columns of the weights."""
         out = np.zeros((len(texts), self.weights.shape[1]))
-        for lo, hi in slabs([len(t) for t in texts], 200_000):
+        for lo, hi in slabs([len(t) for t in texts], self.slab):
             if len(self.known) > self.limit:
                 self._forget()
             known = self.known

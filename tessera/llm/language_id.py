@@ -30,8 +30,10 @@ FAMILIES = {
     "uralic": ("et", "fi", "hu"),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-#: The machines are fitted on about so many texts of each language (those of smallest hash), for so many languages at most (those with most texts).
-MAX_TEXTS, MAX_LANGUAGES = 2_000, 64
+#: The machines are fitted on about so many texts of each language (those of smallest hash).
+MAX_TEXTS = 2_000
+#: With more languages than this, the machine of a family takes evenly fewer texts of each language outside it, some of every one, so that its sample stays bounded.
+MANY_LANGUAGES = 64
 #: Tasks of one step of a fit.
 PARTS = 12
 SIZES, BITS, PENALTY, STEPS = (1, 2, 3), 14, 1e-3, 80
@@ -71,16 +73,18 @@ class Model:
     intercepts: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_texts: int = MAX_TEXTS, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """Learn from the rows whose language is not null and whose text has a letter; None if there is no such row."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_texts: int = MAX_TEXTS) -> Model | None:
+    """Learn every language from the rows whose language is not null and whose text has a letter; None if there is no such row."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()  # max_languages rows at most
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
-    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, max_texts / r["count"])))])
-    sample = rows.where((F.pmod("h", F.lit(1 << 30)) / (1 << 30)) < part[F.col("lang")])
-    sample = written(sample.repartition(PARTS, "h").select("lang", F.pandas_udf(_features, "codes array<int>, counts array<int>")("text").alias("x")).select("lang", "x.*"))
-    found = sorted(r["lang"] for r in sample.select("lang").distinct().collect()) or [min(r["lang"] for r in counts)]  # max_languages rows at most
+    spark = docs.sparkSession
+    part = {x: min(1.0, max_texts / n) for x, n in counts.items()}
+    rows = rows.join(F.broadcast(spark.createDataFrame(list(part.items()), "lang string, part double")), "lang").withColumn("place", F.pmod("h", F.lit(1 << 30)) / (1 << 30))
+    sample = rows.where("place < part").repartition(PARTS, "h").select("lang", "place", F.pandas_udf(_features, "codes array<int>, counts array<int>")("text").alias("x"))
+    sample = written(sample.select("lang", "place", "x.*"))
+    found = sorted(r["lang"] for r in sample.select("lang").distinct().collect()) or [min(counts)]  # a row for each language
     family = {x: FAMILY_OF.get(x, x) for x in found}
     families = tuple(sorted(set(family.values())))
     languages = {f: tuple(x for x in found if family[x] == f) for f in families}
@@ -90,10 +94,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if len(found) == 1:
         return Model(families, languages, pairs, weights, intercepts + 1)
     # Of two families the second is the first one's plane, seen from the other side.
-    sides = [(k, x, 1 if family[x] == f else -1) for k, f in enumerate(families) if n > 2 or n == 2 and k == 0 for x in found]
-    sides += [(n + k, x, side) for k, pair in enumerate(pairs) for x, side in zip(pair, (1, -1), strict=True)]
-    sides = F.broadcast(docs.sparkSession.createDataFrame(sides, "machine int, lang string, side int"))  # max_languages**2 rows at most
-    got = sample.join(sides, "lang").groupBy("machine").applyInPandas(_machine, "machine int, code int, weight double").toPandas()
+    few = {x: part[x] * min(1.0, MANY_LANGUAGES * max_texts / (len(found) * min(counts[x], max_texts))) for x in found}
+    sides = [(k, x, 1, 1.0) if family[x] == f else (k, x, -1, few[x]) for k, f in enumerate(families) if n > 2 or n == 2 and k == 0 for x in found]
+    sides += [(n + k, x, side, 1.0) for k, pair in enumerate(pairs) for x, side in zip(pair, (1, -1), strict=True)]
+    sides = F.broadcast(spark.createDataFrame(sides, "machine int, lang string, side int, below double"))  # families times languages rows, and the pairs
+    got = sample.join(sides, "lang").where("place < below").select("machine", "side", "codes", "counts").groupBy("machine").applyInPandas(_machine, "machine int, code int, weight double").toPandas()
     for machine, code, weight in zip(got["machine"], got["code"], got["weight"], strict=True):
         if code < 0:
             intercepts[machine] = weight
@@ -114,6 +119,8 @@ def _decide(model: Model, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
     names, score = [""] * len(margins), sure(margins[np.arange(len(margins)), best])
     for f, family in enumerate(model.families):
         rows, own = np.flatnonzero(best == f), model.languages[family]
+        if not len(rows):
+            continue
         wins, total = np.zeros((len(rows), len(own))), np.zeros((len(rows), len(own)))
         least = np.full((len(rows), len(own)), np.inf)
         for p, (a, b) in enumerate(model.pairs):

@@ -134,6 +134,17 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.identify_languages(docs.withColumn("lang", F.lit("xx"))).collect()} == {"xx"}
 
 
+def test_language_id_learns_every_language(spark):
+    rng, rows = random.Random(5), []
+    for k in range(70):  # each has letters of its own; the last ones have fewest texts
+        letters = [chr(0x4E00 + 10 * k + i) for i in range(8)]
+        rows += [(1000 * k + i, " ".join("".join(rng.choices(letters, k=4)) for _ in range(30)), f"q{k:02}", "web", 1) for i in range(14 if k < 60 else 10)]
+    got = language_id.identify_languages(documents(spark, rows)).where("held_out").collect()
+    assert {r.lang for r in got} >= {f"q{k}" for k in range(60, 70)}
+    right = Counter(r.lang for r in got if r.lang_pred == r.lang)
+    assert all(right[x] for x in {r.lang for r in got}) and sum(right.values()) >= 0.95 * len(got)
+
+
 def plain_targets(sizes):
     total, names = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
