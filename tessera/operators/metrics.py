@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INVALID = "(invalid)"
+#: Resamples of a bootstrap, from which 2.5 and 97.5 percentiles are taken.
+RESAMPLES = 2_000
 
 
 def classes_of(df: DataFrame, *columns: str) -> DataFrame:
@@ -116,7 +118,7 @@ def interval(values: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.select(*by, F.when(F.col("__gaps") == 0, F.col("__ends")[0]).alias("lo"), F.when(F.col("__gaps") == 0, F.col("__ends")[1]).alias("hi"))
 
 
-def bootstrap(answers: DataFrame, resamples: int, seed: str = "0") -> DataFrame:
+def bootstrap(answers: DataFrame, resamples: int = RESAMPLES, seed: str = "0") -> DataFrame:
     """answers (truth, grp, answer) -> (resample, balanced_accuracy): within each true class as many groups are drawn, with repeats, as it has.
 
     Rows are first summed to one count pair for each class and group. The j-th draw of a class in a resample takes the group
@@ -133,6 +135,38 @@ def bootstrap(answers: DataFrame, resamples: int, seed: str = "0") -> DataFrame:
     return recall.groupBy("resample").agg(F.avg("recall").alias("balanced_accuracy"))
 
 
+def bootstrap_scores(answers: DataFrame, labels: list[str], resamples: int = RESAMPLES, seed: str = "0") -> DataFrame:
+    """answers (truth, grp, answer, ranked, flag) -> (resample, score, value) for every score that gets an interval, by the draws of bootstrap().
+
+    Scores: balanced_accuracy, macro_f1, top_k_balanced_accuracy, coverage, selective_risk (null where nothing is covered), and
+    `recall x` of each class x that occurs as truth. `interval(..., "value", ["score"])` gives the intervals. A truth or an answer
+    that is not one of `labels` is an error.
+    """
+    right = F.coalesce(F.col("truth") == F.col("answer"), F.lit(False))
+    covered = F.col("answer").isNotNull() & (F.col("flag") == "yes")
+    known = F.col("truth").isin(*labels) & F.coalesce(F.col("answer").isin(*labels), F.lit(True))
+    truth = F.when(known, F.col("truth")).otherwise(F.raise_error(F.concat_ws(" / ", F.lit("not a class"), "truth", "answer")).cast("string"))
+    counted = {"n": F.lit(True), "tp": right, "top": F.array_contains("ranked", F.col("truth")), "covered": covered, "wrong": covered & ~right}
+    counted |= {f"answered{i}": F.col("answer") == x for i, x in enumerate(labels)}
+    sums = answers.groupBy(truth.alias("truth"), "grp").agg(*[F.count_if(test).alias(c) for c, test in counted.items()])
+    units = sums.withColumn("j", F.row_number().over(Window.partitionBy("truth").orderBy("grp")) - 1).withColumn("groups", F.count("*").over(Window.partitionBy("truth")))
+    draws = units.select("truth", "j", "groups", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample")).repartition("resample")
+    name = F.concat_ws(":", F.lit(seed), "resample", "truth", "j")
+    picked = (F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long") % F.col("groups")).cast("int")
+    drawn = draws.select("truth", "resample", picked.alias("j")).join(units.select("truth", "j", *counted), ["truth", "j"])
+    of = lambda c, x: F.sum(F.when(F.col("truth") == x, F.col(c)).otherwise(0))
+    by_class = [of(c, x).alias(f"{c}_{i}") for i, x in enumerate(labels) for c in ("n", "tp", "top")]
+    r = drawn.groupBy("resample").agg(*by_class, *[F.sum(c).alias(c) for c in counted if c not in ("tp", "top")])
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    present = sum((F.col(f"n_{i}") > 0).cast("int") for i in range(len(labels)))
+    mean = lambda value: F.try_divide(sum(F.coalesce(value(i), F.lit(0.0)) for i in range(len(labels))), present)
+    f1 = lambda i: F.when(F.col(f"n_{i}") > 0, 2 * F.col(f"tp_{i}").cast("double") / (F.col(f"n_{i}") + F.col(f"answered{i}")))
+    values = {"balanced_accuracy": mean(lambda i: share(f"tp_{i}", f"n_{i}")), "macro_f1": mean(f1), "top_k_balanced_accuracy": mean(lambda i: share(f"top_{i}", f"n_{i}")), "coverage": share("covered", "n"), "selective_risk": share("wrong", "covered")}
+    values |= {f"recall {x}": share(f"tp_{i}", f"n_{i}") for i, x in enumerate(labels)}
+    rows = r.select("resample", F.explode(F.array(*[F.struct(F.lit(k).alias("score"), v.alias("value")) for k, v in values.items()])).alias("x")).select("resample", "x.*")
+    return rows.where(~F.startswith(F.col("score"), F.lit("recall ")) | F.col("value").isNotNull())
+
+
 def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Two runs (key, truth, answer) -> both_right, only_a, only_b, both_wrong over the questions that both have."""
     right = lambda df, name: df.select(key, F.coalesce(F.col("answer") == F.col("truth"), F.lit(False)).alias(name))

@@ -109,6 +109,26 @@ def M12_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.bootstrap(answers(spark, sf_dir), 200))
 
 
+ANSWERED = ", ".join(f"count(*) FILTER (answer = '{x}') AS a_{x}" for x in LABELS)
+DRAWN = ", ".join(f"sum(a_{x}) AS a_{x}" for x in LABELS)
+
+
+@query(f"""WITH {ANSWERS}, s AS (SELECT truth, grp, count(*) AS n, count(*) FILTER (answer = truth) AS tp, count(*) FILTER (answer IS NOT NULL AND truth IN (answer, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'fr' END, 'es')) AS top,
+    count(*) FILTER (answer IS NOT NULL AND flag = 'yes') AS covered, count(*) FILTER (answer IS NOT NULL AND flag = 'yes' AND answer <> truth) AS wrong, {ANSWERED} FROM answers GROUP BY ALL),
+u AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY grp) - 1 AS j, count(*) OVER (PARTITION BY truth) AS groups FROM s),
+d AS (SELECT truth, b, ('0x' || substr(sha256('0:' || b || ':' || truth || ':' || j), 1, 8))::BIGINT % groups AS j FROM u, range(1, 2001) t(b)),
+c AS (SELECT b, truth, sum(n) AS n, sum(tp) AS tp, sum(top) AS top FROM d JOIN u USING (truth, j) GROUP BY ALL),
+t AS (SELECT b, sum(n) AS n, sum(covered) AS covered, sum(wrong) AS wrong, {DRAWN} FROM d JOIN u USING (truth, j) GROUP BY ALL),
+f AS (SELECT b, c.truth, 2 * c.tp / (c.n + CASE c.truth {" ".join(f"WHEN '{x}' THEN a_{x}" for x in LABELS)} END) AS f1 FROM c JOIN t USING (b)),
+v AS (SELECT b, 'balanced_accuracy' AS score, avg(tp / n) AS value FROM c GROUP BY b UNION ALL SELECT b, 'top_k_balanced_accuracy', avg(top / n) FROM c GROUP BY b UNION ALL SELECT b, 'macro_f1', avg(f1) FROM f GROUP BY b
+    UNION ALL SELECT b, 'coverage', covered / n FROM t UNION ALL SELECT b, 'selective_risk', wrong / nullif(covered, 0) FROM t UNION ALL SELECT b, 'recall ' || truth, tp / n FROM c)
+SELECT b::INTEGER AS resample, score, round(value, 9) AS value FROM v""")
+def M12_bootstrap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr")
+    ranked = F.when(F.col("answer").isNotNull(), F.array_distinct(F.array(F.col("answer"), second, F.lit("es"))))
+    return rounded(metrics.bootstrap_scores(answers(spark, sf_dir).withColumn("ranked", ranked), LABELS))
+
+
 def two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = answers(spark, sf_dir).select("doc_id", "truth", "answer")
     return a, a.select("doc_id", "truth", F.when(F.col("doc_id") % 3 == 0, "en").otherwise(F.col("answer")).alias("answer"))

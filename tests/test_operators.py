@@ -1,5 +1,6 @@
 """Hand-worked values and plain recomputations."""
 
+import hashlib
 import json
 import math
 import random
@@ -83,6 +84,30 @@ def test_bootstrap_is_the_same_on_any_partitioning(spark):
     assert a == b and len(a) == 30 and len(set(a.values())) > 1
 
 
+def test_bootstrap_takes_2000_resamples_of_every_score(spark):
+    rows = [("ab"[i % 2], f"g{i % 7}", None if i % 11 == 0 else "a" if i % 3 else "b", ["a"] if i % 4 else None, "no" if i % 5 == 0 else "yes") for i in range(60)]
+    df = spark.createDataFrame(rows, "truth string, grp string, answer string, ranked array<string>, flag string")
+    got = {(r.resample, r.score): r.value for r in metrics.bootstrap_scores(df, list("abc")).collect()}
+    scores = {"balanced_accuracy", "macro_f1", "top_k_balanced_accuracy", "coverage", "selective_risk", "recall a", "recall b"}
+    assert set(got) == {(b, s) for b in range(1, 2001) for s in scores}
+    assert {r.resample: round(r.balanced_accuracy, 9) for r in metrics.bootstrap(df).collect()} == {b: round(got[b, "balanced_accuracy"], 9) for b in range(1, 2001)}
+    for b in (1, 7, 2000):  # drawn and scored anew from the rows
+        drawn = []
+        for t in "ab":
+            groups = sorted({r[1] for r in rows if r[0] == t})
+            for j in range(len(groups)):
+                k = int(hashlib.sha256(f"0:{b}:{t}:{j}".encode()).hexdigest()[:8], 16) % len(groups)
+                drawn += [r for r in rows if r[0] == t and r[1] == groups[k]]
+        of = {t: [r for r in drawn if r[0] == t] for t in "ab"}
+        right = {t: sum(r[2] == t for r in of[t]) for t in "ab"}
+        covered = [r for r in drawn if r[2] and r[4] == "yes"]
+        wanted = {f"recall {t}": right[t] / len(of[t]) for t in "ab"} | {"coverage": len(covered) / len(drawn), "selective_risk": sum(r[2] != r[0] for r in covered) / len(covered)}
+        wanted["balanced_accuracy"] = sum(right[t] / len(of[t]) for t in "ab") / 2
+        wanted["macro_f1"] = sum(2 * right[t] / (len(of[t]) + sum(r[2] == t for r in drawn)) for t in "ab") / 2
+        wanted["top_k_balanced_accuracy"] = sum(sum(t in (r[3] or []) for r in of[t]) / len(of[t]) for t in "ab") / 2
+        assert all(math.isclose(got[b, s], wanted[s]) for s in scores)
+
+
 def test_tokens_and_sentences(spark):
     t = "The patient’s Naevi and haematomas; keratoses, biopsies, glass, virus."
     assert one(spark, fn.tokens(F.col("t")), t=t) == ["the", "patient", "nevus", "and", "hematoma", "keratosis", "biopsy", "glass", "virus"]
