@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import short_list
 from tessera.plans.registry import Registry
-from tessera.sources.tables import read
+from tessera.sources.tables import placed, read
 
 registry = Registry()
 query = registry.query
@@ -72,6 +72,12 @@ def A31_hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", F.row_number().over(Window.orderBy("h")).alias("place"))
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('0:' || doc_id), doc_id) AS place FROM documents")
+def A31_hash_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.sha2(F.concat(F.lit("0:"), F.col("doc_id").cast("string")), 256)
+    return placed(read(spark, sf_dir, "documents").select("doc_id"), h, F.col("doc_id"))
+
+
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O')
 SELECT (SELECT count(*) FROM a SEMI JOIN b USING (k)) AS both, (SELECT count(*) FROM a ANTI JOIN b USING (k)) AS only_a, (SELECT count(*) FROM b ANTI JOIN a USING (k)) AS only_b""")
 def U03_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions import text as fn
 from tessera.functions.values import natural_key
 from tessera.operators import answers, dictionary, passages
 from tessera.plans.registry import Registry
-from tessera.sources.tables import read
+from tessera.sources.tables import placed, read
 
 registry = Registry()
 query = registry.query
@@ -103,6 +103,12 @@ def P18_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.orderBy(natural_key(F.col("id")), "doc_id").limit(40).select("id")
 
 
+@query("SELECT doc_id, id, row_number() OVER (ORDER BY n, source, doc_id) AS place FROM (SELECT doc_id, source, doc_id % 50 AS n, doc_id % 50 || '-' || source AS id FROM documents)")
+def P18_natural_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", (F.col("doc_id") % 50).cast("string"), "source").alias("id"))
+    return placed(ids, natural_key(F.col("id")), F.col("doc_id"))
+
+
 @query()
 def N09_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passages.passages(read(spark, sf_dir, "documents"), ["doc_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,18 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, *keys: Column, place: str = "place") -> DataFrame:
+    """`df` with the place (from 1) of every row in the order of `keys`, which should tell all rows apart.
+
+    Rows are dealt by ranges of the keys and numbered within each range; a range starts after the rows of those before it.
+    """
+    names = [f"__key{i}" for i in range(len(keys))]
+    dealt = df.select("*", *[k.alias(n) for k, n in zip(keys, names, strict=True)]).repartitionByRange(*names)
+    dealt = written(dealt.withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*names))
+    return dealt.join(F.broadcast(starts), "__range").withColumn(place, F.col("__start") + number).drop("__range", "__start", *names)

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.functions import values
 from tessera.operators import answers, dictionary, graph, metrics, overlap, passages, profile, splits
+from tessera.plans import catalog
 from tessera.sources import tables
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column, **cells):
     names = list(cells)
@@ -128,6 +132,22 @@ def test_cells(spark):
     assert [r.id for r in ids.orderBy(values.natural_key(F.col("id"))).collect()] == ["2-9", "2-10", "12-3", "a-1"]
 
 
+def test_every_row_has_its_place(spark):
+    rows = [(i, f"{i * 37 % 120}-{'ab'[i % 2]}") for i in range(500)]
+    ids = spark.createDataFrame(rows, "k int, id string").repartition(5)
+    got = {r.k: r.place for r in tables.placed(ids, values.natural_key(F.col("id")), F.col("k")).collect()}
+    wanted = sorted(rows, key=lambda r: (int(r[1][:-2]), r[1][-1], r[0]))
+    assert got == {k: n for n, (k, _) in enumerate(wanted, 1)}
+    assert tables.placed(ids.where("false"), F.col("k")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_places_of_all_documents(spark):
+    n = tables.read(spark, SF, "documents").count()
+    for name in ("P18_natural_places", "A31_hash_places"):
+        assert sorted(r.place for r in catalog.QUERIES[name](spark, SF).collect()) == list(range(1, n + 1))
+
+
 def test_components_and_decisions(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (9, 9), (3, 1)], "u long, v long")
     assert {r.id: r.component for r in graph.connected_components(links).collect()} == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6}
