@@ -56,15 +56,21 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def bands_of(code: Column, bands: int, bits: int = 64) -> list[Column]:
+    """The bits of a code in bands whose widths differ by one at most; none is empty unless there are more bands than bits."""
+    width, wider = divmod(bits, bands)
+    widths = [width + (i < wider) for i in range(bands)]
+    starts = [sum(widths[:i]) for i in range(bands)]
+    return [F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << w) - 1)) if w else F.lit(0).cast("long") for start, w in zip(starts, widths, strict=True)]
+
+
 def hamming_pairs(codes: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
     """(a, b, distance): all pairs a < b of at most `most` different bits.
 
     Exact by the pigeonhole rule: of most + 1 bands, one at least is equal in a near pair; bands are joined by value, and a
     pair is kept in the first band that it shares, so no pair comes twice.
     """
-    bands, width = most + 1, -(-bits // (most + 1))
-    band = lambda i: F.shiftrightunsigned(F.col(code), i * width).bitwiseAND(F.lit((1 << width) - 1)) if i * width < bits else F.lit(0).cast("long")
-    rows = codes.select(F.col(key).alias("k"), F.col(code).alias("c"), F.array(*[band(i) for i in range(bands)]).alias("bands"))
+    rows = codes.select(F.col(key).alias("k"), F.col(code).alias("c"), F.array(*bands_of(F.col(code), most + 1, bits)).alias("bands"))
     parts = rows.select("k", "c", "bands", F.posexplode("bands").alias("i", "v"))
     right = parts.select("i", "v", F.col("k").alias("b"), F.col("c").alias("c2"), F.col("bands").alias("bands2"))
     first = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) - 1

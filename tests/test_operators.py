@@ -158,6 +158,19 @@ def test_components_and_decisions(spark):
     assert got == {1: (1, "keep", "kept_one_of_cluster"), 2: (1, "drop", "identical_copy"), 3: (1, "drop", "identical_copy"), 6: (6, "drop", "conflicting_labels"), 7: (6, "drop", "conflicting_labels")}
 
 
+def test_no_band_of_codes_is_empty(spark):
+    rng = random.Random(4)
+    codes = [rng.getrandbits(64) - (1 << 63) for _ in range(120)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(63), 15)) for c in codes[:40]]
+    df = spark.createDataFrame(list(enumerate(codes)), "k int, c long")
+    for most in (16, 17, 18):
+        values_of = df.agg(*[F.count_distinct(b).alias(f"b{i}") for i, b in enumerate(overlap.bands_of(F.col("c"), most + 1))]).first()
+        assert len(values_of) == most + 1 and min(values_of) == 8
+    got = {(r.a, r.b): r.distance for r in overlap.hamming_pairs(df, "k", "c", 16).collect()}
+    apart = {(i, j): ((codes[i] ^ codes[j]) & (2**64 - 1)).bit_count() for i in range(len(codes)) for j in range(i + 1, len(codes))}
+    assert got == {k: d for k, d in apart.items() if d <= 16} and len(got) >= 40
+
+
 def test_hamming_pairs_against_all_pairs(spark):
     rng = random.Random(3)
     codes = [rng.getrandbits(64) for _ in range(40)]
