@@ -2,32 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import cut
 
+#: Links that a task contracts at once; as many or fewer are finished in one task.
+LINKS_AT_ONCE = 500_000
+#: Tasks that the links of one hub are dealt to.
+SALTS = 16
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links, every id that is not the smallest of its component, with the smallest."""
+    ids, number = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = number[: len(u)], number[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[below], ids[root[below]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of at most about LINKS_AT_ONCE at a time, replaced by links to the smallest id that these reach."""
+    held, rows, schema = [], 0, None
+    for batch in batches:
+        schema = batch.schema
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= LINKS_AT_ONCE:
+            yield _stars_of(held, schema)
+            held, rows = [], 0
+    if held:
+        yield _stars_of(held, schema)
+
+
+def _stars_of(held: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held)
+    u, v = _stars(table["u"].to_numpy(), table["v"].to_numpy())
+    return pa.RecordBatch.from_arrays([pa.array(u, schema.field("u").type), pa.array(v, schema.field("v").type)], names=["u", "v"])
+
+
+def _salt(of: str) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(SALTS)).cast("int")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """Every row once for each salt, so that the rows that it is joined with need not meet in one task."""
+    return df.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) links between ids -> (id, component): the smallest id reachable, for every id that a link names.
 
-    Alternating large-star and small-star passes: each replaces links by links to the smallest neighbour, and partial
-    minima are taken before the shuffle, so that a hub with many links needs no task of its own. Self-links and repeated
-    links don't matter; rows with a null end are left out.
+    Each task first contracts the links that it holds, so that a large cluster leaves it as one link for each id. Few
+    links left (LINKS_AT_ONCE) are finished by one task; else passes of alternating large and small stars replace links by
+    links to the smallest neighbour, with partial minima before the shuffle and the links of a hub dealt over SALTS tasks.
+    Self-links and repeated links don't matter; rows with a null end are left out.
     """
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, state = cut(e), None
+    kind = edges.schema["u"].dataType.simpleString()
+    contract = lambda df: df.mapInArrow(_contracted, f"u {kind}, v {kind}")
+    e = cut(contract(edges.select("u", "v").where("u <> v")).distinct())
+    state = None
     while True:
         count, check = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if (count, check) == state or not count:
+        if count <= LINKS_AT_ONCE:
+            e = cut(contract(e.coalesce(1)))
+            break
+        if (count, check) == state:
             break
         state = (count, check)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        centers = _salted(e.select("v").distinct().join(low.withColumnRenamed("u", "v"), "v").where("m < v"))
+        large = e.withColumn("salt", _salt("u")).join(centers, ["v", "salt"], "left").select("u", F.coalesce("m", "v").alias("v")).where("u <> v")
+        large = contract(large).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        small = large.withColumn("salt", _salt("v")).join(_salted(low.where("m < x")), ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(contract(small.unionByName(low.select("u", F.col("m").alias("v")))).distinct())
     roots = e.select(F.col("v").alias("id")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("id")))
 

@@ -158,6 +158,30 @@ def test_components_and_decisions(spark):
     assert got == {1: (1, "keep", "kept_one_of_cluster"), 2: (1, "drop", "identical_copy"), 3: (1, "drop", "identical_copy"), 6: (6, "drop", "conflicting_labels"), 7: (6, "drop", "conflicting_labels")}
 
 
+@pytest.mark.parametrize("at_once", [500_000, 20])
+def test_components_against_a_plain_version(spark, monkeypatch, at_once):
+    monkeypatch.setattr(graph, "LINKS_AT_ONCE", at_once)
+    rng = random.Random(9)
+    links = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)] + [(5000 + i, 5001 + i) for i in range(300)]
+    links += [(9999, 6000 + i) for i in range(200)] + [(7000, 7001 + i) for i in range(200)] + [(1, 1), (None, 4), (4, None), (5000, 5001)]
+    up = {x: x for link in links for x in link if None not in link}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for u, v in links:
+        if None not in (u, v):
+            a, b = sorted((root(u), root(v)))
+            up[b] = a
+    df = spark.createDataFrame(links, "u long, v long").repartition(6)
+    got = {r.id: r.component for r in graph.connected_components(df).collect()}
+    assert got == {i: root(i) for u, v in links if u != v and None not in (u, v) for i in (u, v)}
+    names = graph.connected_components(df.selectExpr("string(u) AS u", "string(v) AS v")).where("id = '5200'").first()
+    assert names.component == "5000" and graph.connected_components(df.where("false")).count() == 0
+
+
 def test_no_band_of_codes_is_empty(spark):
     rng = random.Random(4)
     codes = [rng.getrandbits(64) - (1 << 63) for _ in range(120)]
