@@ -1,25 +1,32 @@
 """N-gram Jaccard join of whole texts: exact links and their components.
 
-Two sets of sizes a and b that link differ in at most (a + b)(1 - t)/(1 + t) shingles. The hashes are cut into one segment
-more than that, so linked sets agree in a whole segment: texts are brought together where a segment's signature is equal.
-A segment that is empty in both proves nothing, and one of a single shingle little, so more segments are cut than that and
-those of two shingles or more are used; a set in which these don't outnumber the differences is also cut otherwise, until
-its used segments do. Very frequent shingles (marked in a sketch of fixed size that counts
-all texts) are first set aside as long lists: without them linked sets differ no more, and a passage that many texts share
-brings no two of them together; sets that have too little else are cut with them. Signatures meet packed, by ranges of hashes, and give candidate
-groups, as chains of texts rather than pairs. Each group is searched by itself: the T-occurrence search merges the short
-inverted lists of a text, keeps the texts found often enough, and probes the long lists by binary search (DivideSkip).
-Texts that are already joined are not compared again, so a group of near copies costs no square of its size.
-
-Hashes have 64 bits; a count is wrong only if two different shingles of the two texts compared share one.
+Shingles are ordered by the number of sets that hold them, rarest first. Two sets that link share one of their rarest
+n - ceil(t n) + 1 shingles, so only these are indexed, and of these only the ones that a second set holds. Most texts have
+enough shingles of their own to need no posting at all; what copies share is found wherever it stands in the corpus.
+
+Texts are cut into shingles once, in pieces. A piece sends its keys by ranges of hashes to be counted and gets back those
+that other sets hold too; keys that many texts of one piece hold travel as one count, so that a passage of a third of all
+texts weighs one posting a piece. What comes back is all that links can be made of: the inverted lists, joined as chains of
+texts of like size rather than as pairs, give candidate groups, and in each group the T-occurrence search (DivideSkip)
+merges the short inverted lists of a text by a heap, probes the long ones by binary search, and keeps the texts that reach
+the overlap asked for. A text is first searched among one text of each tree found so far, and among the others only while
+its group is in several trees. Groups too large for a task are searched in blocks.
+
+Hashes have 56 bits; a count is wrong only if two different shingles of the two texts compared share one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import zlib
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,18 +37,18 @@ from tessera.llm.common import connected_components, cut, slabs, written
 
 #: Bytes of the texts of a piece, unless one text is longer.
 PIECE_BYTES = 4_000_000
-#: Shingles that a task of the search holds, unless one text has more.
-TASK_SHINGLES = 1_000_000
-#: Counters (2**bits) of the sketch of frequent shingles, and the blocks they are summed in.
-SKETCH_BITS, SKETCH_BLOCKS = 20, 16
-#: Ways to cut a set: segments by difference, and the least shingles of a segment that is used. All sets are cut without their
-#: frequent shingles first, by the ways in order until the used segments outnumber the differences, then with them.
-_WAYS = ((1.15, 2), (1.45, 2), (1.0, 1), (2.0, 1))
-#: The same where sets may differ in more than an eighth or so, and segments are too small for two shingles.
-_WAYS_FAR, _FAR_PERCENT = ((1.3, 1), (2.0, 1)), 87
-_MORE_WAYS = tuple((2.0**k, 1) for k in range(2, 22))
+#: Bytes of the texts whose keys one range of hashes counts.
+RANGE_BYTES = 16_000_000
+#: From so many texts of a piece on, a key is sent as a count without its texts.
+LOCALLY_FREQUENT = 16
+#: Shingles that a task of the search holds, and those of a block of a group that is larger than a task.
+TASK_SHINGLES, BLOCK_SHINGLES = 1_000_000, 100_000
+#: From so many candidates on, the long lists are probed for all of them at once.
+MANY_FOUND = 16
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_HALF = np.uint64(32)
+_HALF, _DROPPED = np.uint64(32), np.uint64(8)
+#: Kinds of rows between pieces and ranges: postings, counts of locally frequent keys, their postings, and the piece's texts.
+POSTINGS, COUNTS, FREQUENT, TEXTS = range(4)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -61,7 +68,7 @@ def shingle_sets(texts: list[bytes | None], words: int = 3) -> list[np.ndarray]:
     runs = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for k in range(words):
         runs += hashes[k : k + len(runs)] * factors[k]
-    runs, out, at = _mix(runs), [], 0
+    runs, out, at = _mix(runs) >> _DROPPED, [], 0
     for n in sizes.tolist():
         if n >= words:
             out.append(np.unique(runs[at : at + n - words + 1]))
@@ -69,53 +76,15 @@ def shingle_sets(texts: list[bytes | None], words: int = 3) -> list[np.ndarray]:
             whole = np.array([n], np.uint64) * _C
             for k in range(n):
                 whole += hashes[at + k : at + k + 1] * factors[k]
-            out.append(_mix(whole))
+            out.append(_mix(whole) >> _DROPPED)
         else:
             out.append(np.zeros(0, np.uint64))
         at += n
     return out
 
 
-def _classes(largest: int) -> list[int]:
-    """Bounds of the classes of sizes, up to two beyond the largest size."""
-    bounds = [1, 2]
-    while bounds[-2] <= largest:
-        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // 75)))
-    return bounds
-
-
-def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of sets and keys: any two sets that link have a key in common. frequent: marks by the last SKETCH_BITS bits of a hash."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    light = sets if frequent is None else [s[~frequent[(s & np.uint64(len(frequent) - 1)).astype(np.int64)]] for s in sets]
-    bounds = np.array(_classes(int(size.max(initial=0))))
-    numbers, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    first = _WAYS if percent >= _FAR_PERCENT else _WAYS_FAR
-    ways = [(light, *way) for way in first] + [(sets, *way) for way in (*first, *_MORE_WAYS)]
-    for c in range(len(bounds) - 1):
-        # A set is in the class of its size and in those above that may hold a partner of it.
-        members = np.flatnonzero((size > 0) & (size < bounds[c + 1]) & (size * 100 >= bounds[c] * percent))
-        differ = int(2 * (bounds[c + 1] - 1) * (100 - percent) // (100 + percent))
-        for number, (own, times, least) in enumerate(ways):
-            if not len(members):
-                break
-            segments = int((differ + 1) * times)
-            h = np.concatenate([own[i] for i in members])
-            doc = np.repeat(np.arange(len(members)), [len(own[i]) for i in members])
-            slot = doc * segments + (((h >> _HALF) * np.uint64(segments)) >> _HALF).astype(np.int64)
-            starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])[: len(slot)])
-            sums = np.add.reduceat(_mix(h), starts) if len(h) else h
-            used = np.diff(np.append(starts, len(h))) >= least
-            slot, sums = slot[starts][used], sums[used]
-            tag = np.uint64(((c << 8) + number + 1) << 40) + (slot % segments).astype(np.uint64)
-            numbers.append(members[slot // segments])
-            keys.append(_mix(sums + _mix(tag * _B)))
-            members = members[np.bincount(slot // segments, minlength=len(members)) <= differ]
-    return np.concatenate(numbers), np.concatenate(keys)
-
-
 def _packed(a: np.ndarray) -> bytes:
-    """Byte planes of 64-bit numbers, compressed."""
+    """Byte planes of whole numbers, compressed."""
     return zstandard.compress(np.ascontiguousarray(a, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
@@ -124,94 +93,175 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def _first_of_runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, the smallest node of each, and the links of all other nodes to it, as columns u and v."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-    lead = nodes[first][np.cumsum(first) - 1] if len(keys) else nodes
-    links = np.unique(np.stack((nodes[~first], lead[~first]), 1), axis=0)
-    return keys[first], nodes[first], links[links[:, 0] != links[:, 1]]
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-_PIECES = """base long, docs array<struct<node: long, doc_id: long, n: long, digest: binary>>, links array<struct<u: long, v: long>>,
-    parts array<struct<bucket: int, keys: binary, nodes: binary>>"""
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(b), dtype=np.uint64)
 
 
-def _counted(words: int):
-    """Counters of the shingles of one task's texts, by blocks."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for lo, hi in slabs([len(t or b"") for t in texts], PIECE_BYTES):
-                h = np.concatenate(shingle_sets(texts[lo:hi], words))
-                counts += np.bincount((h & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
-        blocks = counts.reshape(SKETCH_BLOCKS, -1)
-        task = TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(SKETCH_BLOCKS), pa.int32()), "part": pa.array([task] * SKETCH_BLOCKS, pa.int32()), "counts": pa.array(map(_packed, blocks), pa.binary())})
+def _by_range(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """The ranges of hashes that sorted keys fall in, and their places."""
+    at = np.searchsorted(((keys >> np.uint64(24)) * np.uint64(ranges)) >> _HALF, np.arange(ranges + 1).astype(np.uint64)).tolist()
+    return ((r, slice(i, j)) for r, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j)
 
-    return counted
 
+_ROWS = pa.schema([("range", pa.int32()), ("piece", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("counts", pa.binary()), ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.binary())), ("digests", pa.list_(pa.binary()))])
+_ROWS_SQL = "range int, piece long, kind int, keys binary, values binary, counts binary, ids array<long>, marks array<binary>, digests array<binary>"
 
-def _summed(rows: pa.Table) -> pa.Table:
-    total = sum(_unpacked(b) for b in rows["counts"].to_pylist())
-    return pa.table({"block": rows["block"][:1], "part": rows["part"][:1], "counts": pa.array([_packed(total)], pa.binary())})
 
+def _first_of(digests: list[bytes | None]) -> np.ndarray:
+    """Of each text the number of the first text of the piece with an equal set."""
+    first: dict[bytes | None, int] = {}
+    return np.fromiter((i if d is None else first.setdefault(d, i) for i, d in enumerate(digests)), np.int64, len(digests))
 
-def frequent_shingles(texts: DataFrame, words: int) -> np.ndarray:
-    """Marks of the counters that hold far more than the median; the sketch covers all texts and has a fixed size."""
-    kind = "block int, part int, counts binary"
-    sums = texts.select("text").mapInArrow(_counted(words), kind).groupBy("block", "part").applyInArrow(_summed, kind)
-    blocks = sums.groupBy("block").applyInArrow(_summed, kind).orderBy("block").collect()  # SKETCH_BLOCKS rows of fixed size
-    counts = np.concatenate([_unpacked(r["counts"]) for r in blocks]).astype(float) if blocks else np.zeros(1 << SKETCH_BITS)
-    usual = np.median(counts)
-    return counts > usual + 8 * np.sqrt(usual) + 64
 
+def _read_pieces(ranges: int, words: int):
+    """Rows of (doc_id, mark, text) -> the keys of each piece by ranges, and what is known of its texts."""
 
-def _read_pieces(buckets: int, words: int, percent: int, frequent: np.ndarray):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = TaskContext.get().partitionId() << 40
+        piece = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch["text"].to_pylist()
             for lo, hi in slabs([len(t or b"") for t in texts], PIECE_BYTES):
                 sets = shingle_sets(texts[lo:hi], words)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                docs = [{"node": node + i, "doc_id": d, "n": len(s), "digest": x} for i, (d, s, x) in enumerate(zip(batch["doc_id"].slice(lo, hi - lo).to_pylist(), sets, digests, strict=True))]
-                number, keys = signatures(sets, percent, frequent)
-                keys, nodes, links = _first_of_runs(keys, number)
-                bucket = (((keys >> _HALF) * np.uint64(buckets)) >> _HALF).astype(np.int64)
-                at = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
-                parts = [{"bucket": b, "keys": _packed(np.diff(keys[i:j], prepend=np.uint64(0))), "nodes": _packed(nodes[i:j])} for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if i < j]
-                yield pa.RecordBatch.from_pydict({
-                    "base": pa.array([node], pa.int64()),
-                    "docs": pa.array([docs], pa.list_(pa.struct([("node", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())]))),
-                    "links": pa.array([[{"u": node + u, "v": node + v} for u, v in links.tolist()]], pa.list_(pa.struct([("u", pa.int64()), ("v", pa.int64())]))),
-                    "parts": pa.array([parts], pa.list_(pa.struct([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())]))),
-                })
-                node += hi - lo
+                first = _first_of(digests)
+                own = np.flatnonzero(first == np.arange(len(sets)))
+                keys = np.concatenate([sets[i] for i in own])
+                holders = np.repeat(own, [len(sets[i]) for i in own])
+                order = np.argsort(keys, kind="stable")
+                keys, holders = keys[order], holders[order].astype(np.uint64)
+                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+                counts = np.diff(np.append(starts, len(keys)))
+                many = counts >= LOCALLY_FREQUENT
+                in_many = np.repeat(many, counts)
+                rows = [(r, POSTINGS, _packed_keys(keys[~in_many][at]), _packed(holders[~in_many][at]), None) for r, at in _by_range(keys[~in_many], ranges)]
+                rows += [(r, COUNTS, _packed_keys(keys[starts][many][at]), None, _packed(counts[many][at])) for r, at in _by_range(keys[starts][many], ranges)]
+                at = zlib.crc32(str(piece).encode()) % ranges
+                rows.append((at, FREQUENT, _packed_keys(keys[in_many]), _packed(holders[in_many]), None))
+                rows.append((at, TEXTS, None, None, _packed(np.fromiter(map(len, sets), np.int64, len(sets)))))
+                lone = [None] * (len(rows) - 1)
+                part = batch.slice(lo, hi - lo)
+                r, kind, k, v, c = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip((r, [piece] * len(rows), kind, k, v, c, [*lone, part["doc_id"].to_pylist()], [*lone, part["mark"].to_pylist()], [*lone, digests]), _ROWS, strict=True)], schema=_ROWS)
+                piece += hi - lo
 
     return pieces
 
 
-def _meet(parts: pa.Table) -> pa.Table:
-    """Links between the nodes of one bucket that have a key in common."""
-    keys = [np.cumsum(_unpacked(b), dtype=np.uint64) for b in parts["keys"].to_pylist()]
-    nodes = [_unpacked(b).astype(np.int64) + base for b, base in zip(parts["nodes"].to_pylist(), parts["base"].to_pylist(), strict=True)]
-    links = _first_of_runs(np.concatenate(keys), np.concatenate(nodes))[2]
-    return pa.table({"u": links[:, 0], "v": links[:, 1]})
+def _counted(rows: pa.Table) -> pa.Table:
+    """Of one range: the postings whose key a second set holds, with the number of sets that do; all else as it is."""
+    kinds = rows["kind"].to_pylist()
+    asked = [i for i, k in enumerate(kinds) if k in (POSTINGS, COUNTS)]
+    cols = {c: rows[c].to_pylist() for c in ("piece", "keys", "values", "counts")}
+    keys = [_unpacked_keys(cols["keys"][i]) for i in asked]
+    weight = [np.ones(len(k), np.int64) if kinds[i] == POSTINGS else _unpacked(cols["counts"][i]).astype(np.int64) for i, k in zip(asked, keys, strict=True)]
+    ends = np.cumsum([0, *map(len, keys)]).tolist()
+    all_keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+    order = np.argsort(all_keys, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(all_keys[order]) != 0)[: len(order)])
+    held = np.zeros(len(order), np.int64)
+    if len(order):
+        held[order] = np.repeat(np.add.reduceat(np.concatenate(weight)[order], starts), np.diff(np.append(starts, len(order))))
+    out = []
+    for i, k, lo, hi in zip(asked, keys, ends[:-1], ends[1:], strict=True):
+        n = held[lo:hi]
+        if kinds[i] == COUNTS:
+            out.append((cols["piece"][i], COUNTS, cols["keys"][i], None, _packed(n)))
+        elif (n > 1).any():
+            out.append((cols["piece"][i], POSTINGS, _packed_keys(k[n > 1]), _packed(_unpacked(cols["values"][i])[n > 1]), _packed(n[n > 1])))
+    passed = rows.filter(pc.is_in(rows["kind"], pa.array([FREQUENT, TEXTS], pa.int32())))
+    done = list(zip(*out, strict=True)) or [()] * 5
+    none = [None] * len(out)
+    mine = pa.Table.from_arrays([pa.array(a, f.type) for a, f in zip((none, *done, none, none, none), _ROWS, strict=True)], schema=_ROWS)
+    return pa.concat_tables([mine, passed.cast(_ROWS)])
+
+
+_PIECES = """texts array<struct<node: long, doc_id: long, mark: binary, n: long, digest: binary>>, links array<struct<u: long, v: long>>,
+    sets array<struct<node: long, hashes: binary>>, parts array<struct<range: int, keys: binary, nodes: binary, low: binary, high: binary>>"""
+_LINK = pa.struct([("u", pa.int64()), ("v", pa.int64())])
+_PIECES_ARROW = pa.schema([
+    ("texts", pa.list_(pa.struct([("node", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("digest", pa.binary())]))),
+    ("links", pa.list_(_LINK)),
+    ("sets", pa.list_(pa.struct([("node", pa.int64()), ("hashes", pa.binary())]))),
+    ("parts", pa.list_(pa.struct([("range", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("low", pa.binary()), ("high", pa.binary())]))),
+])
+
+
+def _prefixes(ranges: int, percent: int):
+    """Of one piece: its texts, the sets that may link, and the runs of texts of like size in each inverted list of prefixes."""
+
+    def prefixes(rows: pa.Table) -> pa.Table:
+        kinds = rows["kind"].to_pylist()
+        cols = {c: rows[c].to_pylist() for c in ("keys", "values", "counts")}
+        of = lambda kind: [i for i, k in enumerate(kinds) if k == kind]
+        head = of(TEXTS)[0]
+        base = rows["piece"][head].as_py()
+        ids, marks, digests = (rows[c][head].as_py() for c in ("ids", "marks", "digests"))
+        n = _unpacked(cols["counts"][head]).astype(np.int64)
+        join = lambda arrays, kind: np.concatenate([np.zeros(0, kind), *arrays]).astype(kind)
+        known = join([_unpacked_keys(cols["keys"][i]) for i in of(COUNTS)], np.uint64)
+        known_held = join([_unpacked(cols["counts"][i]) for i in of(COUNTS)], np.int64)
+        order = np.argsort(known)
+        known, known_held = known[order], known_held[order]
+        frequent = join([_unpacked_keys(cols["keys"][i]) for i in of(FREQUENT)], np.uint64)
+        keys = join([*(_unpacked_keys(cols["keys"][i]) for i in of(POSTINGS)), frequent], np.uint64)
+        text = join([_unpacked(cols["values"][i]) for i in (*of(POSTINGS), *of(FREQUENT))], np.int64)
+        held = join([*(_unpacked(cols["counts"][i]) for i in of(POSTINGS)), known_held[np.searchsorted(known, frequent)]], np.int64)
+        order = np.lexsort((keys, held, text))
+        keys, text = keys[order], text[order]
+        shared = np.bincount(text, minlength=len(n))
+        begin = np.cumsum(shared) - shared
+        place = np.arange(len(text)) - begin[text]
+        # Shingles of the text alone come first in its order and take the first places of its prefix.
+        indexed = np.clip(n - -(-percent * n // 100) + 1 - (n - shared), 0, shared)
+        sets = [{"node": base + i, "hashes": keys[begin[i] : begin[i] + shared[i]].astype("<u8").tobytes()} for i in np.flatnonzero(indexed).tolist()]
+        chosen = place < indexed[text]
+        keys, text = keys[chosen], text[chosen]
+        order = np.lexsort((n[text], keys))
+        keys, text = keys[order], text[order]
+        alike = np.append(False, (keys[1:] == keys[:-1]) & (100 * n[text[:-1]] >= percent * n[text[1:]]))[: len(keys)]
+        links = np.unique(np.stack((text[alike], text[np.flatnonzero(alike) - 1]), 1), axis=0)
+        first = _first_of(digests)
+        again = np.flatnonzero(first != np.arange(len(n)))
+        links = np.concatenate((links, np.stack((again, first[again]), 1)))
+        starts = np.flatnonzero(~alike)
+        low, high = n[text[starts]], n[text[np.append(starts[1:], len(text)) - 1]] if len(text) else n[:0]
+        parts = [{"range": r, "keys": _packed_keys(keys[starts][at]), "nodes": _packed(base + text[starts][at]), "low": _packed(low[at]), "high": _packed(high[at])} for r, at in _by_range(keys[starts], ranges)]
+        texts = [{"node": base + i, "doc_id": d, "mark": m, "n": k, "digest": x} for i, (d, m, k, x) in enumerate(zip(ids, marks, n.tolist(), digests, strict=True))]
+        pairs = [{"u": base + u, "v": base + v} for u, v in links.tolist()]
+        return pa.Table.from_arrays([pa.array([a], f.type) for a, f in zip((texts, pairs, sets, parts), _PIECES_ARROW, strict=True)], schema=_PIECES_ARROW)
+
+    return prefixes
+
+
+def _meet(percent: int):
+    """Links between the runs of one range that have a key in common and sizes that may link: each to the one before it by size."""
+
+    def meet(parts: pa.Table) -> pa.Table:
+        column = lambda c: np.concatenate([_unpacked(b) for b in parts[c].to_pylist()]).astype(np.int64)
+        keys = np.concatenate([_unpacked_keys(b) for b in parts["keys"].to_pylist()])
+        nodes, low, high = column("nodes"), column("low"), column("high")
+        order = np.lexsort((nodes, low, keys))
+        keys, nodes, low, high = keys[order], nodes[order], low[order], high[order]
+        number = np.cumsum(np.append(0, keys[1:] != keys[:-1]))
+        largest = np.maximum.accumulate((number << 40) + high) - (number << 40)
+        near = (keys[1:] == keys[:-1]) & (100 * largest[:-1] >= percent * low[1:])
+        links = np.unique(np.stack((nodes[1:][near], nodes[:-1][near]), 1), axis=0)
+        return pa.table({"u": links[:, 0], "v": links[:, 1]})
+
+    return meet
 
 
 class Forest:
-    """Union-find that also counts the trees of each group."""
+    """Union-find over numbered sets that also counts trees."""
 
-    def __init__(self, start: np.ndarray, group: np.ndarray):
-        self.up = list(range(len(start)))
-        self.group, self.trees = group.tolist(), np.bincount(group).tolist() if len(group) else []
-        self.links: list[tuple[int, int]] = []
+    def __init__(self, start: list[int]):
+        self.up, self.links, self.trees = list(range(len(start))), [], len(start)
         first: dict[int, int] = {}
-        for i, s in enumerate(start.tolist()):
+        for i, s in enumerate(start):
             self.join(first.setdefault(s, i), i, new=False)
 
     def root(self, i: int) -> int:
@@ -224,132 +274,173 @@ class Forest:
         a, b = self.root(i), self.root(j)
         if a != b:
             self.up[max(a, b)] = min(a, b)
-            self.trees[self.group[i]] -= 1
+            self.trees -= 1
             if new:
                 self.links.append((i, j))
 
 
-def search(sets: list[np.ndarray], group: np.ndarray, start: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join, with those of equal `start`, all sets of a group that links connect. Sets are sorted and not empty."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    order = np.lexsort((group, sizes))
-    back, sizes = order.tolist(), sizes[order]
-    forest = Forest(start[order], np.unique(group[order], return_inverse=True)[1])
-    sets = [sets[i] for i in back]
-    linked = lambda common, i, j: 100 * common >= percent * (int(sizes[i]) + int(sizes[j]) - common)
-
-    last: dict[int, int] = {}
-    for i, g in enumerate(forest.group):  # near copies of like size are mostly joined here
-        j = last.get(g)
-        if j is not None and forest.root(i) != forest.root(j) and linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), i, j):
-            forest.join(i, j)
-        last[g] = i
-
-    flat = np.concatenate(sets)
-    lists = np.unique(flat, return_inverse=True)[1]
-    doc = np.repeat(np.arange(len(sets)), sizes)
-    by_list = np.argsort(lists, kind="stable")
-    posting, probe = doc[by_list], lists[by_list] * len(sets) + doc[by_list]
-    length = np.bincount(lists)
-    begin, ends = np.cumsum(length) - length, np.cumsum(sizes).tolist()
-    roots = np.arange(len(sets))
-    for i, (end, n) in enumerate(zip(ends, sizes.tolist(), strict=True)):
-        if forest.trees[forest.group[i]] == 1:
-            continue
-        least = -(-percent * n // 100)  # shingles shared with any set of at most this size
-        own = lists[end - n : end]
-        own = own[np.argsort(length[own], kind="stable")]
-        enough = max(1, least // 8)
-        short, long = own[: n - least + enough], own[n - least + enough :]
-        counts = length[short]
-        at = np.repeat(begin[short] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        times = np.bincount(posting[at], minlength=len(sets))[:i]  # the merge: how many short lists hold each smaller set
-        found = np.flatnonzero(times >= enough)
-        times = times[found]
-        most = times + len(long)  # what the long lists can still add
-        keep = (sizes[found] >= least) & (100 * most >= percent * (n + sizes[found] - most))
-        found, times = found[keep], times[keep]
-        while len(found):
-            mine = forest.root(i)
-            for j in found.tolist():
-                roots[j] = forest.root(j)
-            other = roots[found] != mine
-            found, times = found[other], times[other]
-            if not len(found):
+def occurrences(lists: list[array], least: int, wanted: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
+    """Numbers that stand in `least` or more of the sorted lists and are wanted, with how often they do (DivideSkip).
+
+    The longest lists are set apart, fewer than `least` of them. A heap merges the others; what it finds is looked up in
+    the long lists by binary search, until it can't reach `least` any more.
+    """
+    if len(lists) < least:
+        return
+    lists = sorted(lists, key=len)
+    short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
+    found = [(number, len(list(run))) for number, run in groupby(heapq.merge(*short))]
+    found = [(number, count) for number, count in found if wanted(number)]
+    if len(found) < MANY_FOUND:
+        for number, count in found:
+            for rest, own in zip(range(len(long), 0, -1), long, strict=True):
+                if count + rest < least:
+                    break
+                at = bisect_left(own, number)
+                count += at < len(own) and own[at] == number
+            if count >= least:
+                yield number, count
+        return
+    numbers, counts = (np.array(x, np.int32) for x in zip(*found, strict=True))
+    for rest, own in zip(range(len(long), 0, -1), long, strict=True):
+        able = counts + rest >= least
+        numbers, counts, own = numbers[able], counts[able], np.frombuffer(own, np.int32)
+        counts = counts + (own[np.minimum(np.searchsorted(own, numbers), len(own) - 1)] == numbers)
+    yield from zip(numbers[counts >= least].tolist(), counts[counts >= least].tolist(), strict=True)
+
+
+def search(sets: list[np.ndarray], sizes: list[int], start: list[int], percent: int, sides: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join, with those of equal `start`, all sets of one group that links connect.
+
+    sets: hashes without those that no other set holds; sizes: with them. If sides are given, only sets of different sides are compared.
+    """
+    order = sorted(range(len(sets)), key=lambda i: (sizes[i], i))
+    sizes, forest = [sizes[i] for i in order], Forest([start[i] for i in order])
+    if forest.trees == 1:
+        return []
+    number, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)[1:]
+    ends = np.cumsum([len(sets[i]) for i in order])[:-1]
+    own = [part[count[part] > 1].tolist() for part in np.split(number, ends)]  # numbers of the hashes that two sets of the group hold
+
+    def look(index: dict[int, array], i: int) -> None:
+        n = sizes[i]
+        lists = [index[h] for h in own[i] if h in index]
+        apart = lambda j: 100 * sizes[j] >= percent * n and forest.root(j) != forest.root(i)
+        for j, common in occurrences(lists, max(1, -(-percent * n // 100)), apart):
+            if 100 * common >= percent * (n + sizes[j] - common):
+                forest.join(i, j)
+
+    def put(index: dict[int, array], i: int) -> None:
+        for h in own[i]:
+            index.setdefault(h, array("i")).append(i)
+
+    indexes: dict[int, dict[int, array]] = {}
+    if sides is not None:
+        for i in range(len(own)):
+            if forest.trees == 1:
                 break
-            best = np.lexsort((-times, roots[found]))
-            best = best[np.append(True, np.diff(roots[found[best]]) != 0)]  # the likeliest set of each tree
-            tried, common = found[best], times[best].copy()
-            if len(long):
-                want = long[:, None] * len(sets) + tried[None, :]
-                place = np.searchsorted(probe, want.ravel()).reshape(want.shape)
-                common += (probe[np.minimum(place, len(probe) - 1)] == want).sum(0)
-            for j, c in zip(tried.tolist(), common.tolist(), strict=True):
-                if linked(c, i, j):
-                    forest.join(i, j)
-            rest = np.ones(len(found), bool)
-            rest[best] = False
-            found, times = found[rest], times[rest]
-    return [(back[i], back[j]) for i, j in forest.links]
-
-
-def _search_task(percent: int):
+            side = sides[order[i]]
+            for other, index in indexes.items():
+                if other != side:
+                    look(index, i)
+            put(indexes.setdefault(side, {}), i)
+        return [(order[i], order[j]) for i, j in forest.links]
+    # First among one set of each tree: a set that joins none is a tree's first.
+    leads: dict[int, array] = {}
+    others = []
+    for i in range(len(own)):
+        look(leads, i)
+        if forest.root(i) == i:
+            put(leads, i)
+        else:
+            others.append(i)
+    # Then among the others, tree by tree, while there are several trees.
+    joined = set(others)
+    for i in range(len(own)):
+        if forest.trees == 1:
+            break
+        for tree, index in indexes.items():
+            if forest.root(tree) != forest.root(i):
+                look(index, i)
+        if i in joined:
+            put(indexes.setdefault(forest.root(i), {}), i)
+    return [(order[i], order[j]) for i, j in forest.links]
+
+
+def _search_task(percent: int, sides: bool):
     def searched(rows: pa.Table) -> pa.Table:
-        first = {node: i for i, node in reversed(list(enumerate(rows["node"].to_pylist())))}
-        rows = rows.take(list(first.values()))
-        sets = [np.frombuffer(b, "<u8") for b in rows["hashes"].to_pylist()]
-        links = search(sets, rows["candidate"].to_numpy(), rows["found"].to_numpy(), percent)
-        node = rows["node"].to_numpy()
-        return pa.table({"u": pa.array([node[i] for i, _ in links], pa.int64()), "v": pa.array([node[j] for _, j in links], pa.int64())})
+        node, found, n, block = (rows[c].to_pylist() for c in ("node", "found", "n", "block"))
+        members: dict[int, list[int]] = {}
+        for i, c in enumerate(rows["candidate"].to_pylist()):
+            members.setdefault(c, []).append(i)
+        links = []
+        for own in members.values():
+            sets = [np.frombuffer(rows["hashes"][i].as_py(), "<u8") for i in own]
+            part = search(sets, [n[i] for i in own], [found[i] for i in own], percent, [block[i] for i in own] if sides else None)
+            links += [(node[own[i]], node[own[j]]) for i, j in part]
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
     return searched
 
 
-def _sets_of(words: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for lo, hi in slabs([len(t or b"") for t in texts], PIECE_BYTES):
-                own = shingle_sets(texts[lo:hi], words)
-                part = batch.slice(lo, hi - lo)
-                same = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(own, part["digest"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"candidate": part["candidate"], "node": part["node"], "n": part["n"], "hashes": pa.array([s.tobytes() for s in own], pa.binary())}).filter(pa.array(same))
-
-    return sets
-
-
-def _links(texts: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) that connect the representatives of each candidate group wherever links do."""
-    spark = texts.sparkSession
-    asked = reps.select(F.col("doc_id").alias("__doc"), "candidate", "node", "n", "digest")
-    sets = texts.join(asked, texts["doc_id"].eqNullSafe(F.col("__doc"))).select("candidate", "node", "n", "digest", "text")
-    sets = written(sets.mapInArrow(_sets_of(words), "candidate long, node long, n long, hashes binary"))
-    sizes = cut(sets.groupBy("candidate").agg(F.sum("n").alias("total")))
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sizes.agg(F.sum("total")).first()[0] or 0) // TASK_SHINGLES)
-    sets = sets.join(sizes, "candidate").withColumn("blocks", F.ceil(F.col("total") / TASK_SHINGLES).cast("int"))
-    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", F.lit(1)), "blocks")).otherwise(0).cast("int")
-    sets = sets.withColumn("block", block)
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """(candidate, node, n, hashes) -> links (u, v) that connect the sets of each candidate group wherever links do."""
+    spark = sets.sparkSession
+    sizes = cut(sets.groupBy("candidate").agg(F.sum(F.octet_length("hashes") / 8).cast("long").alias("total")))
+    total, most = sizes.agg(F.sum("total"), F.max("total")).first()
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // TASK_SHINGLES)
+    blocks = F.when(F.col("total") > 2 * BLOCK_SHINGLES, F.ceil(F.col("total") / BLOCK_SHINGLES)).otherwise(1).cast("int")
+    sets = sets.join(sizes, "candidate").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int"))
     own = F.when(F.col("blocks") > 1, F.xxhash64("candidate", "block")).otherwise(F.pmod(F.xxhash64("candidate"), F.lit(bins)))
-    columns = ["candidate", "node", "hashes", "found"]
-    run = lambda df: cut(df.groupBy("task").applyInArrow(_search_task(percent), "u long, v long"))
+    columns = ["candidate", "node", "n", "hashes", "found", "block"]
+    run = lambda df, sides=False: cut(df.groupBy("task").applyInArrow(_search_task(percent, sides), "u long, v long"))
     links = run(sets.withColumn("found", F.col("node")).select(*columns, own.alias("task")))
-    # Groups that took several blocks: representatives of what is found so far meet first, then the blocks of groups that are still apart.
-    large = sets.where("blocks > 1")
-    if large.isEmpty():
+    # Groups of several blocks: one set of each tree, of ever more blocks together, then the blocks of groups that are still in several trees.
+    if (most or 0) <= 2 * BLOCK_SHINGLES:
         return links
-    for last in (False, True):
-        trees = connected_components(links)
-        state = large.join(trees.withColumnRenamed("id", "node"), "node", "left").withColumn("found", F.coalesce("component", "node"))
-        apart = state.groupBy("candidate").agg(F.countDistinct("found").alias("trees")).where("trees > 1").select("candidate")
-        apart = state.join(apart, "candidate")
-        if not last:
-            leads = apart.where("node = found").withColumn("task", F.xxhash64("candidate", F.pmod("node", F.ceil(F.col("blocks") / 64))))
-            links = links.unionByName(run(leads.select(*columns, "task")))
-        else:
-            pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
-            pairs = apart.withColumn("pair", pairs).where("pair.i < pair.j")
-            links = links.unionByName(run(pairs.select(*columns, F.xxhash64("candidate", "pair.i", "pair.j").alias("task"))))
-    return links
+    large = sets.where("blocks > 1")
+
+    def apart() -> DataFrame:
+        state = large.join(connected_components(links).withColumnRenamed("id", "node"), "node", "left").withColumn("found", F.coalesce("component", "node"))
+        several = state.groupBy("candidate").agg(F.min("found").alias("low"), F.max("found").alias("high")).where("low < high").select("candidate")
+        return state.join(several, "candidate")
+
+    together = 8
+    while together // 8 * BLOCK_SHINGLES < most:
+        leads = apart().where("node = found").withColumn("task", F.xxhash64("candidate", F.floor(F.col("block") / together)))
+        links = cut(links.unionByName(run(leads.select(*columns, "task"), True)))
+        together *= 8
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j"))))
+    pairs = apart().withColumn("pair", pairs).where("pair.i < pair.j")
+    return links.unionByName(run(pairs.select(*columns, F.xxhash64("candidate", "pair.i", "pair.j").alias("task")), True))
+
+
+def jaccard_classes(df: DataFrame, key: str, text: str, mark: str | None, words: int, percent: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, tree) for every row of `df`: rows whose sets links connect have an equal tree (a long; null without shingles).
+
+    mark: a binary column that is handed on, by which the caller may know rows that share a key apart.
+    """
+    marks = F.col(mark).cast("binary") if mark else F.lit(None).cast("binary")
+    texts = df.select(F.col(key).cast("long").alias("doc_id"), marks.alias("mark"), F.col(text).cast("binary").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    rows = texts.mapInArrow(_read_pieces(ranges, words), _ROWS_SQL).groupBy("range").applyInArrow(_counted, _ROWS_SQL)
+    pieces = written(rows.groupBy("piece").applyInArrow(_prefixes(ranges, percent), _PIECES))
+    nodes = pieces.select(F.explode("texts").alias("t")).select("t.*")
+    met = pieces.select(F.explode("parts").alias("p")).select("p.*").groupBy("range").applyInArrow(_meet(percent), "u long, v long")
+    near = met.unionByName(pieces.select(F.explode("links").alias("l")).select("l.*"))
+    candidates = cut(connected_components(near))
+    members = nodes.join(candidates.select(F.col("id").alias("node"), F.col("component").alias("candidate")), "node")
+    # Equal sets are one representative; a set that fills a third of all rows is summed up before the shuffle.
+    reps = cut(members.groupBy("candidate", "digest").agg(F.min("node").alias("node"), F.first("n").alias("n")))
+    several = reps.groupBy("candidate").count().where("count > 1").select("candidate")
+    sets = pieces.select(F.explode("sets").alias("s")).select("s.*").join(reps.join(several, "candidate"), "node")
+    links = _links(written(sets.select("candidate", "node", "n", "hashes")), percent)
+    trees = reps.join(connected_components(links).withColumnRenamed("id", "node"), "node", "left").select("candidate", "digest", F.coalesce("component", "node").alias("tree"))
+    placed = members.select("candidate", "digest", "node").join(trees, ["candidate", "digest"]).select("node", "tree")
+    out = nodes.join(placed, "node", "left")
+    tree = F.when(F.col("n") > 0, F.coalesce("tree", "node"))
+    return written(out.select("doc_id", "mark", F.col("n").alias("n_shingles"), tree.alias("tree")))
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -358,26 +449,34 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     A text's set holds its distinct runs of `words` words ([^\\x20\\x09-\\x0D]+, A-Z in lower case), or all its words as one
     where they are fewer; two texts link when 100 * intersection >= percent * union. component_id is the smallest key
     reachable, itself included. Null texts and texts without words have no shingles and link with nothing. Rows that
-    repeat a key count each; a null key never names a component, unless all its members have none.
+    repeat a key count each; a null key never names a component, unless all its members have none. Keys must be whole
+    numbers; other columns are not read. An empty table gives no rows.
     """
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    frequent = frequent_shingles(texts, words)
-    pieces = written(texts.mapInArrow(_read_pieces(buckets, words, percent, frequent), _PIECES))
-    nodes = pieces.select(F.explode("docs").alias("d")).select("d.*")
-    parts = pieces.select("base", F.explode("parts").alias("p")).select("base", "p.*")
-    met = parts.groupBy("bucket").applyInArrow(_meet, "u long, v long")
-    near = met.unionByName(pieces.select(F.explode("links").alias("l")).select("l.*"))
-    candidates = cut(connected_components(near))
-    members = nodes.where("n > 0").join(candidates.select(F.col("id").alias("node"), F.col("component").alias("candidate")), "node")
-    # Equal sets are one representative; a set that fills a third of all rows is summed up before the shuffle.
-    reps = cut(members.groupBy("candidate", "digest").agg(F.min("node").alias("node"), F.min_by("doc_id", "node").alias("doc_id"), F.first("n").alias("n")))
-    several = reps.groupBy("candidate").count().where("count > 1").select("candidate")
-    links = _links(texts, reps.join(several, "candidate"), words, percent)
-    trees = connected_components(links)
-    classes = reps.join(trees.withColumnRenamed("id", "node"), "node", "left").select("candidate", "digest", F.coalesce("component", "node").alias("tree"))
-    placed = written(members.select("candidate", "digest", "node", "doc_id").join(classes, ["candidate", "digest"]).select("node", "doc_id", "tree"))
-    smallest = placed.groupBy("tree").agg(F.min("doc_id").alias("component"))
-    named = placed.join(smallest, "tree").select("node", "component")
-    out = nodes.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    classes = jaccard_classes(df, key, text, None, words, percent)
+    smallest = classes.where("tree IS NOT NULL").groupBy("tree").agg(F.min("doc_id").alias("component"), F.count("*").alias("members")).where("members > 1")
+    out = classes.join(smallest, "tree", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def first_of_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """Of the rows that links of near copies connect (see jaccard_components) the one of smallest key, then of smallest hash of the text.
+
+    Keys may repeat or be null, also on different texts: each row is judged by its own text, and a null key comes last. Of
+    rows equal in key and text one stays, with the other columns of any of them. Rows without words (null or blank texts)
+    are no near copies of anything and all stay. Columns and their order are those of `df`.
+    """
+    marked = df.withColumn("__mark", F.unhex(F.md5(F.col(text).cast("binary"))))
+    classes = jaccard_classes(marked, key, text, "__mark", words, percent).where("tree IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = classes.groupBy("tree").agg(F.min(order).alias("f"))
+    rows = classes.groupBy("tree", "doc_id", "mark").agg(F.count("*").alias("repeats"))
+    kept = rows.join(first, "tree").where(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("mark") == F.col("f.mark")))
+    kept = cut(kept.select(F.col("doc_id").alias("__key"), F.col("mark").alias("__kept"), "repeats"))
+    worded = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+
+    def chosen(which: DataFrame) -> DataFrame:
+        return marked.where(worded).join(which, (F.col("__mark") == F.col("__kept")) & F.col(key).cast("long").eqNullSafe(F.col("__key")), "left_semi")
+
+    once = chosen(kept.where("repeats = 1")).select(*df.columns)
+    again = chosen(kept.where("repeats > 1")).groupBy(F.col(key).cast("long").alias("__key"), "__mark").agg(F.first(F.struct(*df.columns)).alias("row"))
+    return once.unionByName(again.select("row.*")).unionByName(df.where(~worded))

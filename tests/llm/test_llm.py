@@ -233,7 +233,7 @@ def test_jaccard_join(spark, words, percent):
 
 
 def test_jaccard_join_large_groups_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TASK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400)
     rng = random.Random(12)
     base, rows = text_of(rng, 80).split(), []
     for i in range(60):
@@ -247,30 +247,6 @@ def test_jaccard_join_large_groups_in_blocks(spark, monkeypatch):
     assert jaccard_join.jaccard_components(df.where("false")).count() == 0
 
 
-def test_signatures_share_a_key_whenever_sets_link():
-    rng = np.random.default_rng(1)
-    links = 0
-    for percent in (80, 90):
-        for _ in range(40):
-            hot = rng.integers(0, 2**63, 60).astype(np.uint64)
-            base = np.unique(np.concatenate((rng.integers(0, 2**63, int(rng.choice([1, 5, 20, 90, 300]))).astype(np.uint64), hot[: int(rng.integers(0, 60))])))
-            sets = [base]
-            for _ in range(6):
-                k = int(rng.integers(0, len(base) // 12 + 1))
-                sets.append(np.unique(np.concatenate((rng.permutation(base)[k:], rng.integers(0, 2**63, int(rng.integers(0, k + 1))).astype(np.uint64)))))
-            frequent = np.zeros(1 << 20, bool)
-            frequent[(hot & np.uint64((1 << 20) - 1)).astype(int)] = True
-            number, key = jaccard_join.signatures(sets, percent, frequent)
-            keys = [set(key[number == i].tolist()) for i in range(len(sets))]
-            for i in range(len(sets)):
-                for j in range(i):
-                    common = len(np.intersect1d(sets[i], sets[j]))
-                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                        links += 1
-                        assert keys[i] & keys[j]
-    assert links > 300
-
-
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(3)
     rows, key = [], 0
@@ -313,6 +289,25 @@ def test_topk_search(spark):
     assert topk_search.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_pipeline_keeps_one_of_near_copies_whatever_their_ids(spark):
+    rng = random.Random(13)
+    base = text_of(rng, 60)
+    rows = [(3, base), (5, base + " extra"), (5, text_of(rng, 60)), (7, base + " one"), (None, base + " two"), (None, text_of(rng, 60)), (5, text_of(rng, 60))]
+    rows += [(8, base.replace("e", "E")), (9, "a b"), (9, "a b"), (2, "A  B"), (11, None), (11, None), (12, " "), (None, "only"), (None, "only")]
+    df = documents(spark, [(i, t, "en", "a", 1) for i, t in rows]).withColumn("tree", F.lit("clash"))
+    kept = corpus_pipeline.drop_near_copies(spark, df.repartition(5), "")
+    assert kept.columns == df.columns
+    wanted = [rows[0], rows[2], rows[5], rows[6], (2, "A  B"), (11, None), (11, None), (12, " "), (None, "only")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(wanted)
+    assert corpus_pipeline.drop_near_copies(spark, df.where("false"), "").count() == 0
+
+
+@here
+def test_pipeline_stages_of_an_empty_table(spark):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents(spark, []), SF).count() == 0
+
+
 @here
 def test_pipeline_runs_on_what_each_stage_kept(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "jaccard_join", "source_mix", "byte_bpe"]
