@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import name_key, tokens
 
+#: Names that a dictionary may hold.
+MOST_NAMES = 10_000
+
 
 def dictionary(terms: DataFrame) -> DataFrame:
     """terms (class, term, counts) with the key of each name; a counting name of two classes, or a name twice in a class, is an error."""
@@ -21,39 +22,53 @@ def dictionary(terms: DataFrame) -> DataFrame:
     return keyed
 
 
-def _matches(words: list[str], names: dict[int, dict[str, list[tuple[str, str, bool]]]], last: bool) -> tuple[dict[str, int], list[str]]:
-    free, found, others = [True] * len(words), defaultdict(int), set()
-    for n in sorted(names, reverse=True):
-        for start in range(len(words) - n + 1):
-            rows = names[n].get(" ".join(sorted(words[start : start + n])))
-            if rows and all(free[start : start + n]):
-                free[start : start + n] = [False] * n
-                if last and start + n < len(words):
-                    continue
-                for label, _, counts in rows:
-                    if counts:
-                        found[label] += 1
-                if not any(counts for _, _, counts in rows):
-                    others.add(rows[0][1])
-    return dict(found), sorted(others)
-
-
 def named(df: DataFrame, terms: DataFrame, text: str = "text", last: bool = False, out: str = "named") -> DataFrame:
     """Add struct(classes map<string, long>, others array<string>): how often a text names each class, and the names that count for none.
 
-    The dictionary is a hand-made list, kept whole on the driver and sent with the function.
+    A span of words is a name if it holds the name's words in any order. Longer names come first, then earlier spans, and
+    spans don't overlap. last: only spans that end with the text count, though others take their words. A null text names
+    nothing. The dictionary is a hand-made list of at most MOST_NAMES names, which goes into the plan as a constant.
     """
-    names: dict = defaultdict(lambda: defaultdict(list))
-    for r in dictionary(terms).collect():
-        names[len(r["key"].split())][r["key"]].append((r["class"], r["term"], r["counts"] == "yes"))
-    names = {n: dict(v) for n, v in names.items()}
-
-    @F.pandas_udf("classes map<string, long>, others array<string>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for words in batches:
-            yield pd.DataFrame([_matches(list(w), names, last) if w is not None else ({}, []) for w in words], columns=["classes", "others"])
-
-    return df.withColumn(out, found(tokens(F.col(text))))
+    rows = dictionary(terms).limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    names: dict[str, dict] = {}
+    for r in rows:
+        entry = names.setdefault(r["key"], {"classes": [], "other": r["term"]})
+        if r["counts"] == "yes":
+            entry["classes"].append(r["class"])
+    known = F.from_json(F.lit(json.dumps(names)), "map<string, struct<classes: array<string>, other: string>>")
+    words, spans = F.col("__words"), F.col("__spans")
+    # Spans of each length whose words all stand in some name and that are a name, longest first.
+    single = sorted({w for key in names for w in key.split()})
+    places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin(single))
+    some = F.when(F.size(words) > 0, places).otherwise(F.array().cast("array<int>"))
+
+    def of_length(n: int) -> Column:
+        within = F.filter(F.col("__some"), lambda i: i + n - 1 <= F.size(words))
+        keyed = F.transform(within, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.array_sort(F.slice(words, i, n)), " ").alias("key")))
+        return F.filter(keyed, lambda s: s["key"].isin([k for k in names if len(k.split()) == n]))
+
+    lengths = sorted({len(k.split()) for k in names if k}, reverse=True)
+    none = F.array().cast("array<struct<start: int, end: int, key: string>>")
+    free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    taken = F.aggregate(F.col("__found"), none, lambda t, s: F.when(free(t, s), F.concat(t, F.array(s))).otherwise(t))
+    counted = F.filter(spans, lambda s: s["end"] == F.size(words) + 1) if last else spans
+    entries = F.transform(counted, lambda s: F.element_at(known, s["key"]))
+    times = F.map_from_entries(F.transform(F.array_distinct(F.col("__classes")), lambda c: F.struct(c, F.size(F.filter(F.col("__classes"), lambda x: x == c)).cast("long"))))
+    others = F.array_sort(F.array_distinct(F.transform(F.filter(F.col("__entries"), lambda e: F.size(e["classes"]) == 0), lambda e: e["other"])))
+    # Each step is an exploded array of one, so that it is computed once.
+    step = lambda d, name, column: d.withColumn(name, F.explode(F.array(column)))
+    found = step(df, "__words", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
+    found = step(found, "__some", some)
+    found = step(found, "__found", F.concat(none, *map(of_length, lengths)))
+    found = step(found, "__spans", taken)
+    found = step(found, "__entries", entries).withColumn("__classes", classes_of(F.col("__entries")))
+    return found.withColumn(out, F.struct(times.alias("classes"), others.alias("others"))).select(*df.columns, out)
+
+
+def classes_of(entries: Column) -> Column:
+    return F.flatten(F.transform(entries, lambda e: e["classes"]))
 
 
 def starts_with_any(words: Column, beginnings: list[str]) -> Column:
