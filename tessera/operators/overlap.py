@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import plain_words, shingles
-
-
-def runs_of(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, run): the distinct runs of n words of each text."""
-    return with_words(df, text).select(key, F.explode(F.array_distinct(shingles(F.col("__words"), n))).alias("run"))
+from tessera.sources.tables import cut, written
 
 
 def with_words(df: DataFrame, text: str) -> DataFrame:
@@ -18,32 +16,80 @@ def with_words(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__words", F.explode(F.array(plain_words(F.col(text)))))
 
 
+def hashed_runs(words: Column, n: int) -> Column:
+    """64-bit hashes of the distinct runs of n words."""
+    last = F.size(words) - n + 1
+    starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n))))
+
+
+def _runs(df: DataFrame, text: str, n: int, *keep: Column) -> DataFrame:
+    """The distinct runs of n words of each row, as strings."""
+    return with_words(df, text).select(*keep, F.explode(F.array_distinct(shingles(F.col("__words"), n))).alias("__run"))
+
+
+def _sharing(docs: DataFrame, items: DataFrame, text: str, n: int) -> DataFrame:
+    """(__text): digests of the texts of docs of which a run's hash is one of an item; every text that shares a run is among them.
+
+    Only hashes meet: the items' are distinct first, and Spark sends them to all tasks where they are few.
+    """
+    asked = with_words(items, text).select(F.explode(hashed_runs(F.col("__words"), n)).alias("__hash")).distinct()
+    hashes = with_words(docs.select(text), text).select(F.md5(F.col(text)).alias("__text"), F.explode(hashed_runs(F.col("__words"), n)).alias("__hash"))
+    return hashes.join(asked, "__hash", "left_semi").select("__text").distinct()
+
+
 def contamination(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", n: int = 12) -> DataFrame:
-    """(doc, item, shared): pairs that share a run of n words, and how many distinct ones."""
-    runs, asked = runs_of(docs, doc, text, n), runs_of(items, item, text, n)
-    return runs.join(asked, "run").groupBy(doc, item).agg(F.count("*").alias("shared"))
+    """(doc, item, shared): pairs that share a run of n words, and how many distinct ones.
+
+    Rows that repeat a key count as one, with the runs of all their texts; a null key is a key. Texts without n words share nothing.
+    """
+    near = cut(_sharing(docs, items, text, n))
+    some = docs.select(F.col(doc).alias("__doc"), text).join(near, F.md5(F.col(text)) == F.col("__text"), "left_semi")
+    runs = _runs(some, text, n, F.col("__doc"))
+    asked = _runs(items.select(F.col(item).alias("__item"), text), text, n, F.col("__item"))
+    shared = runs.join(asked, "__run").distinct().groupBy("__doc", "__item").agg(F.count("*").alias("shared"))
+    return shared.select(F.col("__doc").alias(doc), F.col("__item").alias(item), "shared")
 
 
 def clean_of(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", n: int = 12) -> DataFrame:
-    """The rows of docs that share no run of n words with any item; each row takes part once."""
-    hit = runs_of(docs, doc, text, n).join(runs_of(items, item, text, n).select("run").distinct(), "run", "left_semi").select(doc).distinct()
-    return docs.join(hit, doc, "left_anti")
+    """The rows of docs whose text shares no run of n words with any item.
+
+    Each row is judged by its own text, whatever its key: keys may be null or repeat. Null texts stay.
+    """
+    near = cut(_sharing(docs, items, text, n))
+    some = docs.select(text).join(near, F.md5(F.col(text)) == F.col("__text"), "left_semi")
+    runs = _runs(some, text, n, F.md5(F.col(text)).alias("__hit"))
+    hit = runs.join(_runs(items, text, n).distinct(), "__run", "left_semi").select("__hit").distinct()
+    return docs.join(hit, F.md5(F.col(text)) == F.col("__hit"), "left_anti")
+
+
+#: Texts that hold a run, from which on the pairs of the run are dealt to several tasks.
+HOT_RUN = 500
 
 
 def containment_pairs(docs: DataFrame, key: str, group: str, text: str = "text", n: int = 12, least: float = 0.1) -> DataFrame:
     """(a, b, shared, ratio, first_run): texts of different groups, a < b, that share at least `least` of the shorter one's runs.
 
-    Equal texts of a group are one before the join, and runs that only one text has are dropped, so what meets is what
-    is shared. first_run is the smallest shared run.
+    first_run is the smallest shared run. Runs meet as 64-bit hashes with their place in the order of their text's runs, so
+    that strings are read only for the pairs found; runs that one text alone has are dropped before, and the pairs of a run
+    that many texts have are dealt over tasks. Keys must tell rows apart; rows with a null key or group pair with nothing.
     """
-    rows = with_words(docs, text).select(F.col(key).alias("k"), F.col(group).alias("g"), F.explode(F.array(F.array_distinct(shingles(F.col("__words"), n)))).alias("runs")).withColumn("size", F.size("runs"))
-    runs = rows.select("k", "g", "size", F.explode("runs").alias("run"))
-    several = runs.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").select("run")
+    rows = docs.select(F.col(key).alias("k"), F.col(group).alias("g"), text).where("k IS NOT NULL AND g IS NOT NULL")
+    sorted_ = lambda df: df.withColumn("runs", F.explode(F.array(F.array_sort(F.array_distinct(shingles(F.col("__words"), n))))))
+    runs = sorted_(with_words(rows, text)).select("k", "g", F.size("runs").alias("size"), F.posexplode(F.transform("runs", lambda r: F.xxhash64(r))).alias("place", "run"))
+    runs = written(runs)
+    several = runs.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").withColumn("tasks", F.ceil(F.col("c") / HOT_RUN).cast("int"))
     runs = runs.join(several, "run")
-    right = runs.select(F.col("run"), F.col("k").alias("b"), F.col("g").alias("g2"), F.col("size").alias("size2"))
-    pairs = runs.join(right, "run").where((F.col("k") < F.col("b")) & (F.col("g") != F.col("g2")))
-    sums = pairs.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("shared"), F.min("run").alias("first_run"), F.first(F.least("size", "size2")).alias("least"))
-    return sums.withColumn("ratio", F.col("shared") / F.col("least")).where(F.col("ratio") >= least).select("a", "b", "shared", "ratio", "first_run")
+    left = runs.withColumn("task", F.pmod(F.xxhash64("k"), "tasks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")
+    right = runs.select("run", F.col("k").alias("b"), F.col("g").alias("g2"), F.col("size").alias("size2"), every)
+    pairs = left.join(right, ["run", "task"]).where((F.col("k") < F.col("b")) & (F.col("g") != F.col("g2")))
+    sums = pairs.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("shared"), F.min("place").alias("place"), F.first(F.least("size", "size2")).alias("least"))
+    sums = cut(sums.withColumn("ratio", F.col("shared") / F.col("least")).where(F.col("ratio") >= least))
+    asked = sums.groupBy("a").agg(F.collect_set("place").alias("places"))  # of one text, no more than its runs
+    texts = sorted_(with_words(rows.join(asked, rows["k"] == asked["a"]), text))
+    texts = texts.select("a", F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.element_at("runs", p + 1).alias("first_run")))).alias("x"))
+    return sums.join(texts.select("a", "x.*"), ["a", "place"]).select("a", "b", "shared", "ratio", "first_run")
 
 
 def sign_code(vector: Column) -> Column:
@@ -78,17 +124,51 @@ def hamming_pairs(codes: DataFrame, key: str, code: str, most: int, bits: int =
     return near.select(F.col("k").alias("a"), "b", hamming(F.col("c"), F.col("c2")).cast("int").alias("distance"))
 
 
-def nearest(probes: DataFrame, base: DataFrame, key: str, distance, k: int, tie: list[str], blocks: int = 8) -> DataFrame:
-    """Of each probe (columns prefixed p_) the k rows of base (prefixed b_) of least distance: a top-k in blocks of probes and base rows.
+#: Rows of a block of the nearest-neighbour search.
+BLOCK_ROWS = 2_048
 
-    `distance`: a column of both prefixes' columns. Each block pair keeps k rows a probe before they are merged.
-    """
-    deal = lambda df, prefix, own, other: df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.pmod(F.xxhash64(key), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(other))
-    both = deal(probes, "p_", "i", "j").join(deal(base, "b_", "j", "i"), ["i", "j"]).withColumn("distance", distance)
-    order = [F.asc("distance"), *map(F.asc, tie)]
-    part = both.withColumn("n", F.row_number().over(Window.partitionBy(f"p_{key}", "j").orderBy(*order))).where(F.col("n") <= k)
-    return part.withColumn("n", F.row_number().over(Window.partitionBy(f"p_{key}").orderBy(*order))).where(F.col("n") <= k)
 
+def _codes_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a[:, None] ^ b[None, :]).astype(np.float64)
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+def _squares_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, rounded to nine digits, so that equal vectors tie."""
+    far = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+    return np.round(np.maximum(far, 0), 9) + 0.0
+
+
+def nearest(probes: DataFrame, base: DataFrame, key: str, column: str, k: int, codes: bool = False) -> DataFrame:
+    """(key, other, distance, n): of each probe the k rows of base of least distance, ties to the smaller key; never the probe's own key.
+
+    The distance is that of 64-bit codes (different bits) or of equally long vectors (squared, to nine digits). Both sides
+    are dealt in blocks of BLOCK_ROWS, however many that makes; each pair of blocks is one matrix and keeps k rows a probe
+    before they are merged. Rows with a null key, code or vector take no part.
+    """
+    kind = dict(probes.dtypes)[key]
+    known = lambda df: df.select(F.col(key).alias("key"), F.col(column).alias("cell")).where("key IS NOT NULL AND cell IS NOT NULL")
+    probes, base = known(probes), known(base)
+    m, n = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (probes, base))
+
+    def deal(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.select("key", "cell", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    def matrix(cells: pd.Series) -> np.ndarray:
+        return cells.to_numpy(np.int64).view(np.uint64) if codes else np.stack(cells.to_numpy()).astype(np.float64)
+
+    def best(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(b):
+            return pd.DataFrame({"key": [], "other": [], "distance": []})
+        b = b.sort_values("key")
+        far = (_codes_apart if codes else _squares_apart)(matrix(p["cell"]), matrix(b["cell"]))
+        keys, others = p["key"].to_numpy(), b["key"].to_numpy()
+        far[keys[:, None] == others[None, :]] = np.inf
+        near = np.argsort(far, axis=1, kind="stable")[:, :k]  # base rows stand in the order of keys
+        rows = np.repeat(np.arange(len(p)), near.shape[1])
+        out = pd.DataFrame({"key": keys[rows], "other": others[near.ravel()], "distance": far[rows, near.ravel()]})
+        return out[np.isfinite(out["distance"])]
+
+    left, right = deal(probes, "i", m, "j", n).groupBy("i", "j"), deal(base, "j", n, "i", m).groupBy("i", "j")
+    part = left.cogroup(right).applyInPandas(best, f"key {kind}, other {kind}, distance double")
+    order = Window.partitionBy("key").orderBy("distance", "other")
+    return part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).withColumnRenamed("key", key)

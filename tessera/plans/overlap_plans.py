@@ -60,10 +60,8 @@ def J23_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH c AS ({CODES}) SELECT a.vec_id, min({DISTANCE})::INTEGER AS distance FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1""")
 def J24_nearest_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = codes(spark, sf_dir).select("vec_id", "code")
-    distance = F.when(F.col("p_vec_id") != F.col("b_vec_id"), overlap.hamming(F.col("p_code"), F.col("b_code"))).otherwise(99)
-    near = overlap.nearest(c, c, "vec_id", distance, 1, ["b_vec_id"])
-    return near.select(F.col("p_vec_id").alias("vec_id"), F.col("distance").cast("int").alias("distance"))
+    c = codes(spark, sf_dir)
+    return overlap.nearest(c, c, "vec_id", "code", 1, codes=True).select("vec_id", F.col("distance").cast("int").alias("distance"))
 
 
 @query(f"""
@@ -86,9 +84,9 @@ SELECT vec_id, arg_min(label, (-votes) * 1000 + label)::INTEGER AS vote FROM v G
 @query(KNN)
 def J27_knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    far = F.when(F.col("p_vec_id") != F.col("b_vec_id"), F.round(overlap.squared_distance(F.col("p_embedding"), F.col("b_embedding")), 9)).otherwise(float("inf"))
-    near = overlap.nearest(e, e, "vec_id", far, 15, ["b_vec_id"])
-    votes = near.groupBy(F.col("p_vec_id").alias("vec_id"), F.col("b_label").alias("label")).count()
+    near = overlap.nearest(e, e, "vec_id", "embedding", 15)
+    labels = e.select(F.col("vec_id").alias("other"), "label")
+    votes = near.join(labels, "other").groupBy("vec_id", "label").count()
     return votes.groupBy("vec_id").agg(F.min_by("label", F.struct(-F.col("count"), F.col("label"))).cast("int").alias("vote"))
 
 

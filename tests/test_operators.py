@@ -391,3 +391,60 @@ def test_contamination_and_clean(spark):
     items = spark.createDataFrame([(7, f"{run} z")], "q long, text string")
     assert {(r.d, r.q, r.shared) for r in overlap.contamination(docs, items, "d", "q").collect()} == {(1, 7, 1), (4, 7, 1)}
     assert {r.d for r in overlap.clean_of(docs, items, "d", "q").collect()} == {2, 3}
+
+
+def test_contamination_judges_rows_by_their_text(spark):
+    run = " ".join(f"r{i}" for i in range(12))
+    docs = spark.createDataFrame([(None, f"a {run} b"), (None, "other"), (1, run), (1, run), (1, "short"), (2, None)], "run long, text string")
+    items = spark.createDataFrame([(7, run), (7, run), (None, f"{run} z")], "q long, text string")
+    assert Counter((r.run, r.text) for r in overlap.clean_of(docs, items, "run", "q").collect()) == Counter([(None, "other"), (1, "short"), (2, None)])
+    assert {(r.run, r.q, r.shared) for r in overlap.contamination(docs, items, "run", "q").collect()} == {(None, 7, 1), (None, None, 1), (1, 7, 1), (1, None, 1)}
+    assert overlap.clean_of(docs.where("false"), items, "run", "q").count() == 0 and overlap.clean_of(docs, items.where("false"), "run", "q").count() == 6
+
+
+def test_containment_pairs_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_RUN", 3)  # runs of more texts are dealt
+    rng = random.Random(6)
+    shared = [" ".join(rng.choices("abcdefgh", k=20)) for _ in range(6)]
+    docs = [(i, rng.choice("xyz"), " ".join(rng.sample(shared, rng.randint(0, 3)) + [f"u{i} v{i}"])) for i in range(40)]
+    docs += [(40, None, docs[0][2]), (41, "x", None), (42, "x", docs[0][2]), (43, "y", docs[0][2])]
+    runs = {i: {tuple(w[j : j + 12]) for j in range(len(w) - 11)} for i, _, t in docs for w in [(t or "").split()]}
+    wanted = {}
+    for a, g, _ in docs:
+        for b, h, _ in docs:
+            both = runs[a] & runs[b]
+            if a < b and g and h and g != h and both and len(both) / min(len(runs[a]), len(runs[b])) >= 0.1:
+                wanted[a, b] = (len(both), " ".join(min(both, key=" ".join)))
+    got = overlap.containment_pairs(spark.createDataFrame(docs, "k long, g string, text string"), "k", "g").collect()
+    assert {(r.a, r.b): (r.shared, r.first_run) for r in got} == wanted and len(got) == len(wanted) > 100
+
+
+def test_nearest_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 16)
+    rng = random.Random(5)
+    vectors = [(i, [round(rng.random(), 1) for _ in range(3)]) for i in range(70)] + [(70, None), (None, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "k long, v array<double>")
+    got = {(r.k, r.n): (r.other, round(r.distance, 9)) for r in overlap.nearest(df, df, "k", "v", 4).collect()}
+    wanted = {}
+    for i, v in vectors[:70]:
+        near = sorted((round(sum((x - y) ** 2 for x, y in zip(v, w)), 9), j) for j, w in vectors[:70] if i != j)[:4]
+        wanted |= {(i, n): (j, d) for n, (d, j) in enumerate(near, 1)}
+    assert got == wanted
+    codes = spark.createDataFrame([(1, 0), (2, -1), (3, 7), (4, None)], "k long, c long")
+    assert {r.k: (r.other, r.distance) for r in overlap.nearest(codes, codes, "k", "c", 1, codes=True).collect()} == {1: (3, 3), 2: (3, 61), 3: (1, 3)}
+
+
+@pytest.mark.parametrize("at_once", [200_000, 3])
+def test_what_is_near_an_earlier_one_that_stays_goes(spark, monkeypatch, at_once):
+    from tessera.operators import selection
+
+    monkeypatch.setattr(selection, "PAIRS_AT_ONCE", at_once)
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(100 + i, 101 + i) for i in range(8)}
+    gone = set()
+    for b in sorted({b for _, b in pairs}):
+        if any(a not in gone for a, y in pairs if y == b):
+            gone.add(b)
+    assert {r.k for r in selection.earlier_stays(spark.createDataFrame(list(pairs), "a long, b long")).collect()} == gone
+    names = spark.createDataFrame([(f"k{a:03}", f"k{b:03}") for a, b in pairs], "a string, b string")
+    assert {r.k for r in selection.earlier_stays(names).collect()} == {f"k{b:03}" for b in gone}
