@@ -100,6 +100,7 @@ class Scanner:
         self.labels, bodies = list(templates), [words_of(t) for t in templates.values()]
         self.sizes, self.min_match, self.min_cover = [len(b) for b in bodies], min_match, min_cover
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for b in [*bodies, *(p for p, _ in self.phrases)] for w in b))}
+        self.shortest = min([min_match, *(len(p) for p, _ in self.phrases)])  # fewer known words in a row are no phrase and no run
         to_ids = lambda ws: [self.ids[w] for w in ws]
         self.automaton = a = SuffixAutomaton([to_ids(b) for b in bodies] + [to_ids(p) for p, _ in self.phrases])
         self.found: list[tuple[tuple[int, str], ...]] = []  # of each state: the phrases that end it
@@ -128,7 +129,7 @@ class Scanner:
             hi = lo + 1
             while hi < len(ids) and ids[hi] is not None:
                 hi += 1
-            if hi - lo > 1:
+            if hi - lo >= self.shortest:
                 self._read(ids, lo, hi, places, base, runs)
             lo = hi
         spans = self._chained(runs)
@@ -150,23 +151,29 @@ class Scanner:
             runs.append((hi - 1, *before))
 
     def _chained(self, runs: list) -> list[tuple[str, int, int, float]]:
-        """For each template that is covered far enough: the best chain of its runs."""
+        """For each template the chains of its runs that cover it far enough, best first, without overlap."""
         spans = []
         for t, label in enumerate(self.labels):
             own = [(end - size + 1, end, ends[t] - size + 1, ends[t]) for end, state, size in runs if t in (ends := self.automaton.ends[state])]
             best: list[tuple[int, int]] = []  # words covered, first word
             for i, (first, end, t_first, t_end) in enumerate(own):
                 cover = (end - first + 1, first)
-                for j in range(max(0, i - 64), i):
-                    if own[j][3] < t_end and own[j][1] < end and first - own[j][1] <= self.sizes[t]:
+                for j in range(i - 1, -1, -1):
+                    if first - own[j][1] > self.sizes[t]:
+                        break  # runs stand in the order of their ends, so all before are too far as well
+                    if own[j][3] < t_end and own[j][1] < end:
                         new = min(t_end - max(own[j][3], t_first - 1), end - max(own[j][1], first - 1))
                         cover = max(cover, (best[j][0] + new, best[j][1]))
                 best.append(cover)
-            if best:
-                covered, i = max((c[0], -i) for i, c in enumerate(best))
+            kept: list[tuple[int, int]] = []
+            for covered, i in sorted(((c[0], -i) for i, c in enumerate(best)), reverse=True):
                 share = min(1.0, covered / self.sizes[t])
-                if share >= self.min_cover:
-                    spans.append((label, best[-i][1], own[-i][1], share))
+                if share < self.min_cover:
+                    break
+                first, end = best[-i][1], own[-i][1]
+                if all(end < a or b < first for a, b in kept):
+                    kept.append((first, end))
+                    spans.append((label, first, end, share))
         return spans
 
 
@@ -174,7 +181,8 @@ def scan_licenses(df: DataFrame, text: str = "text", phrases: dict[str, str] = P
     """Add n_words, n_base, first_word, last_word, base_labels, labels, score and spans for each whole text.
 
     A label of the method needs a chain that covers `min_cover` of its template. Score: 1 if a base phrase occurs, else the
-    largest share of a template that is covered. Null and empty texts: no words, no labels, score 0, no spans. Columns of
+    largest share of a template that is covered. spans: the chains that cover so much, those of a template without overlap.
+    Repeated rows are scanned each; an empty table gives no rows. Null and empty texts: no words, no labels, score 0, no spans. Columns of
     these names that `df` has already are replaced.
     """
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
