@@ -8,45 +8,48 @@ import numpy as np
 
 from tessera.llm.common import slabs
 
-#: Characters of the texts that are cut into words at a time.
-SLAB_CHARS = 1_000_000
-#: Sums that are remembered for words at most, and words that are remembered in any case.
-TABLE_CELLS, LEAST_WORDS = 1 << 24, 20_000
-#: Longer words are cut into pieces of so many characters.
-WORD_CHARS = 64
+#: Characters of the texts that are cut into words at a time, and of the words that are cut into n-grams at a time.
+SLAB_CHARS, WINDOW = 1_000_000, 250_000
+#: Sums that are remembered for words at most, words that are remembered in any case, and the characters of words remembered.
+TABLE_CELLS, LEAST_WORDS, KNOWN_CHARS = 1 << 24, 20_000, 20_000_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def pieces(words: Iterable[str]) -> list[str]:
-    """The words; those beyond WORD_CHARS in pieces."""
-    words = list(words)
-    if max(map(len, words), default=0) <= WORD_CHARS:
-        return words
-    return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
-
-
-def grams(words: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word number and bucket, below 2**bits, of each n-gram of each word; a word has a blank on either side."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    chars = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    blank = chars == 32
-    before = np.concatenate(([0], np.cumsum(blank)))
-    numbers, codes = [], []
-    for n in sizes:
-        places = len(chars) - n + 1
-        if places < 1:
-            continue
-        h = np.full(places, n, np.uint64)
-        for k in range(n):
-            h = h * _BASE + chars[k : k + places]
-        inner = before[n - 1 : n - 1 + places] - before[1 : 1 + places] if n > 1 else blank
-        at = np.flatnonzero(inner == 0)
-        h = h[at]
-        h = (h ^ (h >> np.uint64(32))) * _MIX
-        numbers.append(before[at + 1] - 1)
-        codes.append((h >> np.uint64(64 - bits)).astype(np.int64))
-    return np.concatenate(numbers), np.concatenate(codes)
+def _buckets(chars: np.ndarray, n: int, bits: int) -> np.ndarray:
+    h = np.full(len(chars) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = h * _BASE + chars[k : k + len(h)]
+    return (((h ^ (h >> np.uint64(32))) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def gram_parts(words: list[str], sizes: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word number and bucket, below 2**bits, of each n-gram of each word, in parts of bounded size; a word has a blank on either side.
+
+    A word longer than WINDOW is read in windows that overlap, so that every n-gram comes once and none is lost.
+    """
+    for lo, hi in slabs(list(map(len, words)), WINDOW):
+        text = f" {' '.join(words[lo:hi])} "
+        step = WINDOW if hi - lo == 1 else len(text)
+        for at in range(0, len(text), step):
+            chars = np.frombuffer(text[at : at + step + max(sizes) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            before = np.concatenate(([0], np.cumsum(chars == 32)))
+            first = lo if at else lo - 1  # the blank before the first word stands in the first window
+            for n in sizes:
+                own = chars[: step + n - 1]
+                if len(own) < n:
+                    continue
+                places = len(own) - n + 1
+                inner = before[n - 1 : n - 1 + places] - before[1 : 1 + places] if n > 1 else before[1 : 1 + places] - before[:places]
+                kept = np.flatnonzero(inner == 0)
+                yield first + before[kept + 1], _buckets(own, n, bits)[kept]
+
+
+def gram_counts(words: list[str], sizes: tuple[int, ...], bits: int) -> np.ndarray:
+    """How often each bucket occurs."""
+    total = np.zeros(1 << bits, np.int64)
+    for _, codes in gram_parts(words, sizes, bits):
+        total += np.bincount(codes, minlength=1 << bits)
+    return total
 
 
 def text_slabs(texts: Iterable[str | None]) -> Iterator[tuple[int, int]]:
@@ -65,22 +68,25 @@ class WordSums:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.table = np.zeros((1024, self.weights.shape[1]))
 
     def _learn(self, words: list[str]) -> None:
         lo, hi = len(self.known), len(self.known) + len(words)
         if hi > len(self.table):
             self.table = np.concatenate((self.table, np.zeros((max(hi - len(self.table), len(self.table)), self.table.shape[1]))))
-        number, code = grams(words, self.sizes, self.bits)
-        for k in range(self.weights.shape[1]):
-            self.table[lo:hi, k] = np.bincount(number, self.weights[code, k], len(words))
+        self.table[lo:hi] = 0
+        for number, code in gram_parts(words, self.sizes, self.bits):
+            for k in range(self.weights.shape[1]):
+                self.table[lo:hi, k] += np.bincount(number, self.weights[code, k], len(words))
+        self.chars += sum(map(len, words))
         self.known.update(zip(words, range(lo, hi), strict=True))
 
     def of(self, texts: list[list[str]]) -> np.ndarray:
         """A row for each list of words: the sums of the columns of the weights."""
         out = np.zeros((len(texts), self.weights.shape[1]))
         for lo, hi in slabs([len(t) for t in texts], self.slab):
-            if len(self.known) > self.limit:
+            if len(self.known) > self.limit or self.chars > KNOWN_CHARS:
                 self._forget()
             known = self.known
             if new := list({w for t in texts[lo:hi] for w in t if w not in known}):
@@ -103,21 +109,23 @@ class TextSums:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.start, self.size, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        number, code = grams(words, self.sizes, self.bits)
-        order = np.argsort(number, kind="stable")
-        size = np.bincount(number, minlength=len(words))
+        held = [np.unique((number << self.bits) | code) for number, code in gram_parts(words, self.sizes, self.bits)]
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+        size = np.bincount(held >> self.bits, minlength=len(words))
         self.start = np.concatenate((self.start, len(self.codes) + np.cumsum(size) - size))
         self.size = np.concatenate((self.size, size))
-        self.codes = np.concatenate((self.codes, code[order].astype(np.int32)))
+        self.codes = np.concatenate((self.codes, (held & ((1 << self.bits) - 1)).astype(np.int32)))
+        self.chars += sum(map(len, words))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
 
     def of(self, texts: list[list[str]]) -> np.ndarray:
         out = np.zeros(len(texts))
         for lo, hi in slabs([len(t) for t in texts], 200_000):
-            if len(self.known) > self.limit:
+            if len(self.known) > self.limit or self.chars > KNOWN_CHARS:
                 self._forget()
             known = self.known
             if new := list({w for t in texts[lo:hi] for w in t if w not in known}):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chargrams import WordSums, grams, pieces, text_slabs
+from tessera.llm.chargrams import WordSums, gram_counts, text_slabs
 from tessera.llm.common import written
 from tessera.llm.linear import fit_linear, flattened
 
@@ -44,12 +44,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 def _words(text: str | None) -> list[str]:
     if not text or not any(c.isalpha() for c in text):
         return []
-    return pieces(_WORD.findall(text.lower()))
+    return _WORD.findall(text.lower())
 
 
 def _features(texts: pd.Series) -> pd.DataFrame:
-    found = [np.unique(grams(_words(t), SIZES, BITS)[1], return_counts=True) for t in texts]
-    return pd.DataFrame({"codes": [c.astype(np.int32) for c, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
+    counts = [gram_counts(_words(t), SIZES, BITS) for t in texts]
+    codes = [np.flatnonzero(n) for n in counts]
+    return pd.DataFrame({"codes": [c.astype(np.int32) for c in codes], "counts": [n[c].astype(np.int32) for n, c in zip(counts, codes, strict=True)]})
 
 
 def _machine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

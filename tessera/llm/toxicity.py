@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chargrams import TextSums, grams, pieces, text_slabs
+from tessera.llm.chargrams import TextSums, gram_counts, text_slabs
 from tessera.llm.common import written
 from tessera.llm.linear import fit_linear, flattened
 
@@ -34,11 +34,11 @@ class Model:
 
 
 def _words(text: str | None) -> list[str]:
-    return pieces(set((text or "").lower().split()))
+    return list(set((text or "").lower().split()))
 
 
 def _codes(texts: pd.Series) -> pd.Series:
-    return pd.Series([np.unique(grams(_words(t), SIZES, BITS)[1]).astype(np.int32) for t in texts], dtype=object)
+    return pd.Series([np.flatnonzero(gram_counts(_words(t), SIZES, BITS)).astype(np.int32) for t in texts], dtype=object)
 
 
 def _strong(ratio: np.ndarray):

@@ -103,6 +103,59 @@ def test_license_scan(spark):
     assert "mit" in got[3].labels and "mit" in got[5].labels and got[4].labels == "apache"
 
 
+def test_license_phrases_of_one_word_and_spans(spark):
+    df = spark.createDataFrame([("x foo y",), ("foo",), (None,)], "text string").withColumn("spans", F.lit("clash"))
+    got = license_scan.scan_licenses(df, phrases={"foo": "f"}).collect()
+    assert [(r.n_base, r.first_word, r.base_labels) for r in got] == [(1, 1, "f"), (1, 0, "f"), (0, None, "")]
+    assert license_scan.scan_licenses(df.where("false")).count() == 0
+    rng = random.Random(3)
+    body = [f"w{i}" for i in range(900)]
+    templates = {"long": " ".join(body), "other": " ".join(rng.choices("abcdef", k=60))}
+    # A template in 150 short runs, twice in one text.
+    cut = [w for i in range(0, 900, 6) for w in [*body[i : i + 6], "zz"]]
+    texts = [" ".join(cut + ["q"] * 2000 + cut), *(" ".join(rng.choices("abcdef", k=80)) for _ in range(30))]
+    rows = license_scan.scan_licenses(spark.createDataFrame([(x,) for x in texts], "text string"), phrases={}, templates=templates).collect()
+    assert [(s.first_word, s.last_word, s.covered) for s in sorted(rows[0].spans)] == [(0, len(cut) - 2, 1.0), (len(cut) + 2000, 2 * len(cut) + 1998, 1.0)]
+    for r in rows[1:]:
+        words, scores = r.text.split(), {}
+        for label, t in templates.items():
+            t, runs = t.split(), []
+            sizes = [max((n for n in range(1, e + 2) if any(words[e - n + 1 : e + 1] == b[i : i + n] for b in (x.split() for x in templates.values()) for i in range(len(b) - n + 1))), default=0) for e in range(len(words))]
+            for e, n in enumerate(sizes):
+                if n >= 5 and (e + 1 == len(words) or sizes[e + 1] != n + 1):
+                    ends = [i + n - 1 for i in range(len(t) - n + 1) if t[i : i + n] == words[e - n + 1 : e + 1]]
+                    if ends:
+                        runs.append((e - n + 1, e, ends[0] - n + 1, ends[0]))
+            cover = []
+            for i, (a, e, ta, te) in enumerate(runs):
+                cover.append(max([e - a + 1] + [cover[j] + min(te - max(y, ta - 1), e - max(x, a - 1)) for j, (_, x, _, y) in enumerate(runs[:i]) if y < te and x < e and a - x <= len(t)]))
+            scores[label] = min(1.0, max(cover, default=0) / len(t))
+        assert r.score == (best if (best := max(scores.values())) >= 0.3 else 0) and r.labels == ",".join(sorted(x for x, c in scores.items() if c >= 0.3))
+
+
+def test_ngrams_of_words_of_any_length(monkeypatch):
+    from tessera.llm import chargrams
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcé😀", k=n)) for n in (1, 2, 3, 40, 64, 65, 300, 1000, 2)]
+    plain = {(i, n): Counter(f" {w} "[j : j + n] for j in range(len(w) + 3 - n) if n > 1 or 0 < j <= len(w)) for i, w in enumerate(words) for n in (1, 2, 3, 5)}
+    for window in (10, 100, 250_000):
+        monkeypatch.setattr(chargrams, "WINDOW", window)
+        counts = {n: Counter() for n in (1, 2, 3, 5)}
+        for n in counts:
+            for number, _ in chargrams.gram_parts(words, (n,), 18):
+                counts[n].update(number.tolist())
+            assert counts[n] == Counter({i: sum(plain[i, n].values()) for i in range(len(words)) if sum(plain[i, n].values())})
+        total = chargrams.gram_counts(words, (1, 2, 3, 5), 18)
+        if window == 10:
+            first = total
+        assert (total == first).all() and (total > 0).sum() > 0.98 * len({g for c in plain.values() for g in c})
+        sums = chargrams.WordSums(np.arange(1 << 18)[:, None], (3, 5), 18).of([words, words[:2], []])
+        assert sums[2, 0] == 0 and sums[0, 0] == (chargrams.gram_counts(words, (3, 5), 18) * np.arange(1 << 18)).sum()
+        seen = chargrams.TextSums(np.ones(1 << 18), (3, 5), 18).of([words, [], words[3:4]])
+        assert seen[0] == (chargrams.gram_counts(words, (3, 5), 18) > 0).sum() and seen[1] == 0
+
+
 @here
 def test_toxicity_learns_and_holds_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
