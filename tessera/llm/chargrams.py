@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.common import slabs
 
 #: Characters of the texts that are cut into words at a time, and of the words that are cut into n-grams at a time.
-SLAB_CHARS, WINDOW = 1_000_000, 250_000
+SLAB_CHARS, WINDOW = 250_000, 250_000
 #: Sums that are remembered for words at most, words that are remembered in any case, and the characters of words remembered.
 TABLE_CELLS, LEAST_WORDS, KNOWN_CHARS = 1 << 24, 20_000, 20_000_000
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -52,9 +54,10 @@ def gram_counts(words: list[str], sizes: tuple[int, ...], bits: int) -> np.ndarr
     return total
 
 
-def text_slabs(texts: Iterable[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of SLAB_CHARS characters or so, as their words take many times the memory of the texts."""
-    return slabs([len(t or "") for t in texts], SLAB_CHARS)
+def text_slabs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Place and texts of slabs of SLAB_CHARS characters or so, as Python's strings and words take many times the memory of the texts."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    return ((lo, texts[lo:hi].to_pylist()) for lo, hi in slabs(sizes, SLAB_CHARS))
 
 
 class WordSums:

@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,19 +143,19 @@ def _decide(model: Model, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
 def predict(text: Column, model: Model | None) -> Column:
     """struct(lang_pred, score): `und` and 0 for texts that are null or have no letter, or if nothing was learned."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         columns = np.concatenate((model.weights, np.ones((1 << BITS, 1))), 1) if model else None  # the last counts n-grams
         sums = WordSums(columns, SIZES, BITS) if model else None
         for texts in batches:
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            for lo, hi in text_slabs(texts) if model else ():
-                words = [_words(t) for t in texts[lo:hi]]
+            for lo, own in text_slabs(texts) if model else ():
+                words = [_words(t) for t in own]
                 rows = [lo + i for i, w in enumerate(words) if w]
                 if rows:
                     total = sums.of([w for w in words if w])
                     names[rows], scores[rows] = _decide(model, total[:, :-1] / total[:, -1:] + model.intercepts)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     return predicted(text)
 

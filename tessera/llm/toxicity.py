@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +98,13 @@ def score(text: Column, model: Model) -> Column:
     """Probability (0 to 1) that the whole text is toxic; null and empty texts get that of a text without words."""
     weights, intercept = model.weights.astype(np.float32), model.intercept
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sums = TextSums(weights, SIZES, BITS)
         for texts in batches:
-            parts = [sums.of([_words(t) for t in texts[lo:hi]]) for lo, hi in text_slabs(texts)]
+            parts = [sums.of([_words(t) for t in own]) for _, own in text_slabs(texts)]
             margins = np.concatenate([*parts, np.zeros(0)]) + intercept
-            yield pd.Series(np.round(1 / (1 + np.exp(-np.clip(margins, -30, 30))), 6))
+            yield pa.array(np.round(1 / (1 + np.exp(-np.clip(margins, -30, 30))), 6))
 
     return scored(text)
 
