@@ -448,3 +448,23 @@ def test_what_is_near_an_earlier_one_that_stays_goes(spark, monkeypatch, at_once
     assert {r.k for r in selection.earlier_stays(spark.createDataFrame(list(pairs), "a long, b long")).collect()} == gone
     names = spark.createDataFrame([(f"k{a:03}", f"k{b:03}") for a, b in pairs], "a string, b string")
     assert {r.k for r in selection.earlier_stays(names).collect()} == {f"k{b:03}" for b in gone}
+
+
+def test_joins_with_null_and_repeated_keys(spark):
+    from tessera.operators import joins
+
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (None, "n"), (2, "z"), (3, None)], "k int, v string")
+    b = spark.createDataFrame([(1, 10), (None, 20), (2, 30), (4, 40), (4, 41)], "k int, w int")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(joins.without(a, b, ["k"])) == [(3, None)] and len(rows(joins.only(a, b, ["k"]))) == 4
+    assert rows(joins.totally_joined(a.where("k IS NULL OR k < 3"), b, ["k"])) == [(1, "x", 10), (1, "y", 10), (2, "z", 30), (None, "n", 20)]
+    for rest in (a, spark.createDataFrame([(4, "q")], "k int, v string")):
+        with pytest.raises(Exception, match="not one row for"):
+            joins.totally_joined(rest, b, ["k"]).collect()
+    assert rows(joins.matched(a, b, ["k"]).where("NOT found").select("k")) == [(3,)]
+    assert rows(joins.join_problems(a, b, ["k"])) == [(1, "twice in the first"), (3, "only in the first"), (4, "only in the second"), (4, "twice in the second")]
+    assert [r for r in rows(joins.join_problems(a, b, ["k"], subset=True)) if "only" in r[1]] == [(3, "only in the first")]
+    assert rows(joins.join_problems(a, a.withColumn("v", F.when(F.col("k") == 2, None).otherwise(F.col("v"))), ["k"], ["v"]))[-1] == (2, "another v")
+    listing = spark.createDataFrame([("P1.2/a",), ("P1.10/a",), ("P1.10/b",), ("P2",), (None,), ("P3.7",)], "path string")
+    assert rows(joins.latest_versions(listing)) == [("P1", 10, "P1.10/b"), ("P3", 7, "P3.7")]
+    assert joins.without(a.where("false"), b, ["k"]).count() == 0 and joins.join_problems(a.where("false"), b.where("false"), ["k"]).count() == 0
