@@ -73,7 +73,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema["u"].dataType.simpleString()
     contract = lambda df: df.mapInArrow(_contracted, f"u {kind}, v {kind}")
-    e = cut(contract(edges.select("u", "v").where("u <> v")).distinct())
+    # The shuffle also keeps the task that contracts apart from a Python function that made the links.
+    e = cut(contract(edges.select("u", "v").where("u <> v").distinct()))
     state = None
     while True:
         count, check = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
