@@ -60,6 +60,16 @@ def text_slabs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     return ((lo, texts[lo:hi].to_pylist()) for lo, hi in slabs(sizes, SLAB_CHARS))
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a.sort()
+    return a[np.append(True, a[1:] != a[:-1])[: len(a)]]
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, twice as long or longer where it has no room for n items."""
+    return a if n <= len(a) else np.concatenate((a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)))
+
+
 class WordSums:
     """Sums over words of the weights of their n-grams; words met before are remembered, up to `limit` of them."""
 
@@ -113,15 +123,17 @@ class TextSums:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.start, self.size, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.size, self.codes, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, words: list[str]) -> None:
-        held = [np.unique((number << self.bits) | code) for number, code in gram_parts(words, self.sizes, self.bits)]
-        held = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
-        size = np.bincount(held >> self.bits, minlength=len(words))
-        self.start = np.concatenate((self.start, len(self.codes) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.codes = np.concatenate((self.codes, (held & ((1 << self.bits) - 1)).astype(np.int32)))
+        lo, hi = len(self.known), len(self.known) + len(words)
+        found = [_distinct((number << self.bits) | code) for number, code in gram_parts(words, self.sizes, self.bits)]
+        found = _distinct(np.concatenate([np.zeros(0, np.int64), *found]))
+        size = np.bincount(found >> self.bits, minlength=len(words))
+        self.start, self.size, self.codes = _room(self.start, hi), _room(self.size, hi), _room(self.codes, self.held + len(found))
+        self.start[lo:hi], self.size[lo:hi] = self.held + np.cumsum(size) - size, size
+        self.codes[self.held : self.held + len(found)] = found & ((1 << self.bits) - 1)
+        self.held += len(found)
         self.chars += sum(map(len, words))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
 

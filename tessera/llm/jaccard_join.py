@@ -123,9 +123,8 @@ def _read_pieces(ranges: int, words: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for lo, hi in slabs([len(t or b"") for t in texts], PIECE_BYTES):
-                sets = shingle_sets(texts[lo:hi], words)
+            for lo, hi in slabs(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist(), PIECE_BYTES):
+                sets = shingle_sets(batch["text"].slice(lo, hi - lo).to_pylist(), words)
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 first = _first_of(digests)
                 own = np.flatnonzero(first == np.arange(len(sets)))
@@ -157,14 +156,18 @@ def _counted(rows: pa.Table) -> pa.Table:
     asked = [i for i, k in enumerate(kinds) if k in (POSTINGS, COUNTS)]
     cols = {c: rows[c].to_pylist() for c in ("piece", "keys", "values", "counts")}
     keys = [_unpacked_keys(cols["keys"][i]) for i in asked]
-    weight = [np.ones(len(k), np.int64) if kinds[i] == POSTINGS else _unpacked(cols["counts"][i]).astype(np.int64) for i, k in zip(asked, keys, strict=True)]
     ends = np.cumsum([0, *map(len, keys)]).tolist()
     all_keys = np.concatenate([np.zeros(0, np.uint64), *keys])
-    order = np.argsort(all_keys, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(all_keys[order]) != 0)[: len(order)])
-    held = np.zeros(len(order), np.int64)
+    weight = np.ones(len(all_keys), np.int32)
+    for i, lo, hi in zip(asked, ends[:-1], ends[1:], strict=True):
+        if kinds[i] == COUNTS:
+            weight[lo:hi] = _unpacked(cols["counts"][i])
+    order = np.argsort(all_keys, kind="stable").astype(np.int32)
+    keys, held = [all_keys[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)], np.zeros(len(order), np.int32)
     if len(order):
-        held[order] = np.repeat(np.add.reduceat(np.concatenate(weight)[order], starts), np.diff(np.append(starts, len(order))))
+        in_order = all_keys[order]
+        starts = np.flatnonzero(np.append(True, in_order[1:] != in_order[:-1]))
+        held[order] = np.repeat(np.add.reduceat(weight[order], starts), np.diff(np.append(starts, len(order))))
     out = []
     for i, k, lo, hi in zip(asked, keys, ends[:-1], ends[1:], strict=True):
         n = held[lo:hi]
