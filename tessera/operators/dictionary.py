@@ -22,6 +22,69 @@ def dictionary(terms: DataFrame) -> DataFrame:
     return keyed
 
 
+class Names:
+    """A dictionary as constants of a plan: the keys of its names by length, and what each stands for."""
+
+    def __init__(self, terms: DataFrame):
+        rows = dictionary(terms).limit(MOST_NAMES + 1).collect()
+        if len(rows) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} names")
+        self.entries: dict[str, dict] = {}
+        for r in rows:
+            entry = self.entries.setdefault(r["key"], {"classes": [], "every": [], "other": r["term"]})
+            entry["every"].append(r["class"])
+            if r["counts"] == "yes":
+                entry["classes"].append(r["class"])
+        self.entries.pop("", None)
+        self.single = sorted({w for key in self.entries for w in key.split()})
+        self.lengths = sorted({len(k.split()) for k in self.entries}, reverse=True)
+
+    def of_length(self, n: int) -> list[str]:
+        return [k for k in self.entries if len(k.split()) == n]
+
+    def known(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.entries)), "map<string, struct<classes: array<string>, every: array<string>, other: string>>")
+
+
+_SPANS = "array<struct<start: int, end: int, key: string>>"
+
+
+def step(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a column that is computed once, however often it is used: an exploded array of one."""
+    return df.withColumn(name, F.explode(F.array(column)))
+
+
+def candidates(df: DataFrame, names: Names, words: str, out: str) -> DataFrame:
+    """Add every span (start, end after the last word, key) of `words` that holds a name's words in any order: longer ones first, then earlier ones."""
+    w, size = F.col(words), F.size(words)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.try_element_at(w, i).isin(names.single))
+    df = step(df, "__some", F.when(size > 0, places).otherwise(F.array().cast("array<int>")))
+
+    def of_length(n: int) -> Column:
+        within = F.filter(F.col("__some"), lambda i: i + n - 1 <= size)
+        keyed = F.transform(within, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.array_sort(F.slice(w, i, n)), " ").alias("key")))
+        return F.filter(keyed, lambda s: s["key"].isin(names.of_length(n)))
+
+    return step(df, out, F.concat(F.array().cast(_SPANS), *map(of_length, names.lengths))).drop("__some")
+
+
+def without_overlap(spans: Column) -> Column:
+    """Of spans in order those that no span taken before overlaps."""
+    free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    return F.aggregate(spans, F.array().cast(_SPANS), lambda t, s: F.when(free(t, s), F.concat(t, F.array(s))).otherwise(t))
+
+
+def classes_of(spans: Column, names: Names) -> Column:
+    """The classes that the names of spans count for, once for each span."""
+    return F.flatten(F.transform(spans, lambda s: F.element_at(names.known(), s["key"])["classes"]))
+
+
+def others_of(spans: Column, names: Names) -> Column:
+    """The names of spans that count for no class, sorted."""
+    known = F.transform(spans, lambda s: F.element_at(names.known(), s["key"]))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(known, lambda e: F.size(e["classes"]) == 0), lambda e: e["other"])))
+
+
 def named(df: DataFrame, terms: DataFrame, text: str = "text", last: bool = False, out: str = "named") -> DataFrame:
     """Add struct(classes map<string, long>, others array<string>): how often a text names each class, and the names that count for none.
 
@@ -29,46 +92,13 @@ def named(df: DataFrame, terms: DataFrame, text: str = "text", last: bool = Fals
     spans don't overlap. last: only spans that end with the text count, though others take their words. A null text names
     nothing. The dictionary is a hand-made list of at most MOST_NAMES names, which goes into the plan as a constant.
     """
-    rows = dictionary(terms).limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    names: dict[str, dict] = {}
-    for r in rows:
-        entry = names.setdefault(r["key"], {"classes": [], "other": r["term"]})
-        if r["counts"] == "yes":
-            entry["classes"].append(r["class"])
-    known = F.from_json(F.lit(json.dumps(names)), "map<string, struct<classes: array<string>, other: string>>")
-    words, spans = F.col("__words"), F.col("__spans")
-    # Spans of each length whose words all stand in some name and that are a name, longest first.
-    single = sorted({w for key in names for w in key.split()})
-    places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin(single))
-    some = F.when(F.size(words) > 0, places).otherwise(F.array().cast("array<int>"))
-
-    def of_length(n: int) -> Column:
-        within = F.filter(F.col("__some"), lambda i: i + n - 1 <= F.size(words))
-        keyed = F.transform(within, lambda i: F.struct(i.alias("start"), (i + n).alias("end"), F.array_join(F.array_sort(F.slice(words, i, n)), " ").alias("key")))
-        return F.filter(keyed, lambda s: s["key"].isin([k for k in names if len(k.split()) == n]))
-
-    lengths = sorted({len(k.split()) for k in names if k}, reverse=True)
-    none = F.array().cast("array<struct<start: int, end: int, key: string>>")
-    free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    taken = F.aggregate(F.col("__found"), none, lambda t, s: F.when(free(t, s), F.concat(t, F.array(s))).otherwise(t))
-    counted = F.filter(spans, lambda s: s["end"] == F.size(words) + 1) if last else spans
-    entries = F.transform(counted, lambda s: F.element_at(known, s["key"]))
-    times = F.map_from_entries(F.transform(F.array_distinct(F.col("__classes")), lambda c: F.struct(c, F.size(F.filter(F.col("__classes"), lambda x: x == c)).cast("long"))))
-    others = F.array_sort(F.array_distinct(F.transform(F.filter(F.col("__entries"), lambda e: F.size(e["classes"]) == 0), lambda e: e["other"])))
-    # Each step is an exploded array of one, so that it is computed once.
-    step = lambda d, name, column: d.withColumn(name, F.explode(F.array(column)))
+    names = Names(terms)
     found = step(df, "__words", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
-    found = step(found, "__some", some)
-    found = step(found, "__found", F.concat(none, *map(of_length, lengths)))
-    found = step(found, "__spans", taken)
-    found = step(found, "__entries", entries).withColumn("__classes", classes_of(F.col("__entries")))
-    return found.withColumn(out, F.struct(times.alias("classes"), others.alias("others"))).select(*df.columns, out)
-
-
-def classes_of(entries: Column) -> Column:
-    return F.flatten(F.transform(entries, lambda e: e["classes"]))
+    found = step(candidates(found, names, "__words", "__found"), "__spans", without_overlap(F.col("__found")))
+    counted = F.filter("__spans", lambda s: s["end"] == F.size("__words") + 1) if last else F.col("__spans")
+    found = step(step(found, "__counted", counted), "__classes", classes_of(F.col("__counted"), names))
+    times = F.map_from_entries(F.transform(F.array_distinct("__classes"), lambda c: F.struct(c, F.size(F.filter("__classes", lambda x: x == c)).cast("long"))))
+    return found.withColumn(out, F.struct(times.alias("classes"), others_of(F.col("__counted"), names).alias("others"))).select(*df.columns, out)
 
 
 def starts_with_any(words: Column, beginnings: list[str]) -> Column:

@@ -468,3 +468,50 @@ def test_joins_with_null_and_repeated_keys(spark):
     listing = spark.createDataFrame([("P1.2/a",), ("P1.10/a",), ("P1.10/b",), ("P2",), (None,), ("P3.7",)], "path string")
     assert rows(joins.latest_versions(listing)) == [("P1", 10, "P1.10/b"), ("P3", 7, "P3.7")]
     assert joins.without(a.where("false"), b, ["k"]).count() == 0 and joins.join_problems(a.where("false"), b.where("false"), ["k"]).count() == 0
+
+
+def test_rules_on_titles_and_texts(spark):
+    from tessera.operators import rules
+
+    terms = spark.createDataFrame([("bcc", "basal cell carcinoma", "yes"), ("nevus", "nevus", "yes"), ("nevus", "spitz nevus", "yes"), ("mel", "melanoma", "yes"), ("syn", "basal cell nevus syndrome", "no")], "class string, term string, counts string")
+    lists = rules.TitleLists(marks={"an animal": ["dog", "guinea pig"]}, looks_like=["mimicking", "associated with"], second=["associated with"], bare=["nevus"], no_lesions=("stroma",))
+    wanted = {
+        "Basal cell carcinoma of the stroma": (["bcc"], []),
+        "Melanoma and basal-cell carcinomas": (["bcc", "mel"], ["several classes"]),
+        "Sebaceoma mimicking basal cell carcinoma": (["bcc"], ["a look-alike or a second finding", "another lesion: sebaceoma"]),
+        "Melanoma mimicking a fibroma": (["mel"], []),
+        "Melanoma associated with a fibroma": (["mel"], ["another lesion: fibroma"]),
+        "A naevus": (["nevus"], ["a bare name"]),
+        "Spitz nevi in a guinea pig": (["nevus"], ["an animal: guinea pig"]),
+        "Melanoma-like carcinoma": (["mel"], ["a look-alike or a second finding", "another lesion: carcinoma"]),
+        "Basal cell nevus syndrome, melanoma": (["mel"], ["also names basal cell nevus syndrome"]),
+        "Basal cell nevus syndrome": ([], []),
+        "": ([], []),
+        None: ([], []),
+    }
+    df = spark.createDataFrame([(t, "One melanoma, two MMs, a nevus") for t in wanted], "title string, text string")
+    assert {r.title: (r.rules.named, r.rules.marks) for r in rules.title_rules(df, terms, lists).collect()} == wanted
+    got = {r.title: r.judged for r in rules.judged(df, terms, lists, {"mel": ["MM"]}).collect()}
+    assert got[None] is None and got["Basal cell nevus syndrome"] is None and got["Melanoma and basal-cell carcinomas"]["class"] is None
+    assert (got["Melanoma mimicking a fibroma"].full_names, got["Melanoma mimicking a fibroma"].short_names, got["A naevus"].full_names) == (1, 1, 1)
+    assert got["Basal cell carcinoma of the stroma"].marks == ["the text does not name the class"]
+    said = ["A BCC was seen", "two BCCs", "The melanoma", "Histopathology showed it", "a basal cell carcinoma", "basal cell carcinoma of it", "", None]
+    rows = spark.createDataFrame([(x,) for x in said], "text string")
+    told = lambda **more: [r.names for r in rules.names_class(rows, terms, "bcc", ["BCC"], **more).collect()]
+    assert told(cues=["histopatholog"]) == [True, True, False, True, True, True, False, False]
+    assert told(last=True) == [False, True, False, False, True, False, False, False]
+    texts = [(1, "A basal cell carcinoma (nBCCs), and BCX (basal cell carcinomas)"), (2, "basal cell carcinoma syndrome (NBS)"), (3, "nothing (ABC)"), (4, None)]
+    defined = lambda last: {r.k: r.short_forms for r in rules.defined_short_forms(spark.createDataFrame(texts, "k int, text string"), "k", terms, "bcc", last=last).collect()}
+    assert defined(False) == {1: ["BCX", "nBCC"], 2: ["NBS"]} and defined(True) == {1: ["BCX", "nBCC"]}
+    says = spark.createDataFrame([(False, "two nBCCs", ["nBCC"]), (False, "nbcc", ["nBCC"]), (True, "x", None), (False, None, []), (False, "x", None)], "r boolean, text string, forms array<string>")
+    assert [r.x for r in says.select(rules.says(F.col("r"), F.col("text"), F.col("forms")).alias("x")).collect()] == [True, False, True, False, False]
+    found = rules.other_conditions(spark.createDataFrame([("A spitz nevus and basal cell nevus syndromes",), ("nevus",), (None,)], "text string"), terms).collect()
+    assert [r.conditions for r in found] == [["basal cell nevus syndrome"], [], []]
+    words = spark.createDataFrame([(["a", "melanoma", "like", "nevus"],), ([],)], "w array<string>")
+    masked = dictionary.candidates(words, dictionary.Names(terms), "w", "f").select(rules.name_mask(F.col("w"), F.col("f")).alias("m"), rules.without_look_alikes(F.col("w"), F.col("f")).alias("p")).collect()
+    assert [(r.m, r.p) for r in masked] == [([False, True, False, True], ["a", "nevus"]), ([], [])]
+    cut = words.select(rules.without_phrases(F.col("w"), ["a melanoma", "melanoma like"]).alias("x")).collect()
+    assert [r.x for r in cut] == [["nevus"], []]
+    assert rules.record_columns(["id", "a", "label", "b"], ["id", "label"]) == ["a", "b"]
+    with pytest.raises(ValueError, match="once"):
+        rules.filled("{a} {a}", {"a": F.lit("x")})
