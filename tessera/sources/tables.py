@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,42 +25,83 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], exact: bool = T
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object a line. A last line that was cut off (no line end after it) is left out; any other broken line is an error."""
-    lines = spark.read.option("lineSep", "\n").text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("file"))
-    parsed = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("whole", F.try_parse_json("value").isNotNull())
-    tails = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.element_at(F.split(F.decode("content", "UTF-8"), "\n"), -1).alias("tail")).where("tail <> ''")
-    broken = parsed.where(~F.col("whole") & (F.col("value") != "")).join(tails, (parsed["file"] == tails["file"]) & (parsed["value"] == tails["tail"]), "left_anti")
-    if not broken.isEmpty():
+    """One JSON object a line. The last line of a file is left out if it is cut off (broken, and no line end after it); any other broken line is an error.
+
+    Blank lines are left out. Only the few broken lines are looked at again, each with the end of its file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("whole", F.coalesce(F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1, F.lit(False)))
+    broken = parsed.where(~F.col("whole") & (F.btrim("value") != "")).select("value", "file").limit(10_001).collect()
+    files = {r["file"] for r in broken}
+    if len(broken) > 10_000 or len(files) < len(broken) or any(not _cut_off(spark, r["file"], r["value"]) for r in broken):
         raise ValueError(f"{path}: a line before the last is not JSON")
     return parsed.where("whole").select("row.*")
 
 
+def _cut_off(spark: SparkSession, file: str, line: str) -> bool:
+    """Whether a file ends with this line, without a line end: only as many bytes as the line has are read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(file)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, want = fs.getFileStatus(place).getLen(), len(line.encode())
+    stream = fs.open(place)
+    try:
+        start = max(0, size - want - 1)
+        stream.seek(start)
+        tail = bytes(b & 0xFF for b in stream.readNBytes(size - start))
+    finally:
+        stream.close()
+    return tail == line.encode() or tail[1:] == line.encode() and tail[:1] in (b"\n", b"\r")
+
+
 def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
     """Parquet by folders of `columns`; only the folders that `df` has rows for are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
+#: Paths that written() made in this process, for intermediates() to delete.
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir. Only where that is unset, as in tests, one is made."""
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
+
+    Only where that is unset on a local master, as in tests, a folder is made; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read from the shared folder; for frames of few bytes."""
+    """`df`, computed once and read from the shared folder; for frames of few bytes. Spark deletes the files with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like cut(), but as a compressed table of columns."""
+    """Like cut(), but as a compressed table of columns, which stays until intermediates() ends."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """On leaving, deletes the tables that written() made inside: for drivers that run many operators and have saved their results by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _MADE[before:]
+
+
 def placed(df: DataFrame, *keys: Column, place: str = "place") -> DataFrame:
     """`df` with the place (from 1) of every row in the order of `keys`, which should tell all rows apart.
 

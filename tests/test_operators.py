@@ -515,3 +515,24 @@ def test_rules_on_titles_and_texts(spark):
     assert rules.record_columns(["id", "a", "label", "b"], ["id", "label"]) == ["a", "b"]
     with pytest.raises(ValueError, match="once"):
         rules.filled("{a} {a}", {"a": F.lit("x")})
+
+
+def test_intermediates_are_deleted_on_leaving(spark):
+    with tables.intermediates(spark):
+        kept = tables.written(spark.range(5))
+        path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert kept.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
+def test_json_lines_cut_off_or_broken(spark, tmp_path):
+    def wrote(name, text):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        return str(tmp_path / name)
+
+    whole = '{"a": 1}\n\n{"a": 2}\n'
+    read = lambda path: sorted(r.a for r in tables.read_json_lines(spark, path, "a int").collect())
+    assert read(wrote("whole", whole)) == [1, 2] and read(wrote("cut", whole + '{"a": é')) == [1, 2] and read(wrote("one", '{"a"')) == []
+    for bad in (whole + '{"a": \n', '{"a"\n{"a": 1}\n{"a"', '{"a": 1}}\n' + whole):
+        with pytest.raises(ValueError, match="not JSON"):
+            read(wrote("bad", bad))
