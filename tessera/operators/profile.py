@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.values import is_gap
+from tessera.sources.tables import running
 
 
 def unpivoted(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -22,8 +23,13 @@ def column_profile(df: DataFrame, columns: list[str], listed: int = 20) -> DataF
     sums = counts.groupBy("column").agg(
         F.sum(F.when(~F.col("gap"), F.col("n")).otherwise(0)).alias("filled"), F.sum(F.when(F.col("gap"), F.col("n")).otherwise(0)).alias("empty"), F.count("*").alias("distinct"),
         F.count_if(~F.col("gap") & F.col("x").isNull()).alias("words"), F.min(F.when(~F.col("gap"), F.col("x"))).alias("low"), F.max(F.when(~F.col("gap"), F.col("x"))).alias("high"),
-        F.percentile(F.when(~F.col("gap"), F.col("x")), F.lit(0.5), F.col("n")).alias("median"),
     )
+    # The median comes from sums of counts by ranges, so that no column's values are gathered in one task.
+    cells = counts.where(~F.col("gap") & F.col("x").isNotNull()).groupBy("column", "x").agg(F.sum("n").alias("w"))
+    upto = running(cells, ["column"], ["x"], "w", "upto").join(sums.select("column", "filled"), "column")
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("x")))
+    median = upto.groupBy("column").agg(((at(F.floor((F.col("filled") + 1) / 2)) + at(F.ceil((F.col("filled") + 1) / 2))) / 2).alias("median"))
+    sums = sums.join(median, "column", "left")
     few = counts.join(sums.where(F.col("distinct") <= listed).select("column"), "column").groupBy("column").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "value"))).alias("v"))
     few = few.select("column", F.array_join(F.transform("v", lambda x: F.concat(x["value"], F.lit("="), (-x["n"]).cast("string"))), "; ").alias("listed"))
     numbers = (F.col("words") == 0) & (F.col("filled") > 0) & (F.col("distinct") > listed)
@@ -76,21 +82,28 @@ def change_log(before: DataFrame, after: DataFrame, key: str, columns: list[str]
 
 
 def reconciled(table: DataFrame, disk: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, state): missing (in the table alone), extra (on disk alone), changed or same."""
-    a, b = table.select(key, F.col(content).alias("__a")), disk.select(key, F.col(content).alias("__b"))
-    both = a.withColumn("__in", F.lit(True)).join(b.withColumn("__on", F.lit(True)), key, "full_outer")
-    return both.select(key, F.when(F.col("__on").isNull(), "missing").when(F.col("__in").isNull(), "extra").when(F.col("__a").eqNullSafe(F.col("__b")), "same").otherwise("changed").alias("state"))
+    """(key, state): missing (in the table alone), extra (on disk alone), changed or same; one row for each key, a null key is a key.
+
+    Where a key repeats, it is the same if both sides hold the same contents, each as often.
+    """
+    mark = F.sum(F.xxhash64(content).cast("decimal(20,0)"))
+    a, b = (df.groupBy(F.col(key).alias(k)).agg(F.count("*").alias(f"n{k}"), mark.alias(f"m{k}")) for df, k in ((table, "__a"), (disk, "__b")))
+    state = F.when(F.col("n__b").isNull(), "missing").when(F.col("n__a").isNull(), "extra").when((F.col("n__a") == F.col("n__b")) & (F.col("m__a") == F.col("m__b")), "same").otherwise("changed")
+    return a.join(b, F.col("__a").eqNullSafe(F.col("__b")), "full_outer").select(F.coalesce("__a", "__b").alias(key), state.alias("state"))
 
 
 def exclusive_quartiles(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles by the exclusive method: position p(n + 1) among the sorted values, interpolated and held inside; null below two values.
 
-    The two neighbours of each position come from a ranking, so no key's values are gathered in one row.
+    Values are counted first and dealt by ranges, so that no group is sorted or gathered in one task.
     """
-    ranked = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"), F.row_number().over(Window.partitionBy(by).orderBy(value)).alias("r"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    out = []
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("__by"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    upto = running(counts, ["__by"], ["v"], "w", "upto")
+    total = counts.groupBy(F.col("__by").alias("__of")).agg(F.sum("w").alias("n"))
+    both = upto.join(total, F.col("__by").eqNullSafe(F.col("__of")))
+    at, ends = {}, []
     for q in (1, 2, 3):
         lo = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(q * (F.col("n") + 1) / 4)))
-        share = q * (F.col("n") + 1) / 4 - lo
-        out.append(F.sum(F.when(F.col("r") == lo, F.col("v") * (1 - share)).when(F.col("r") == lo + 1, F.col("v") * share)).alias(f"q{q}"))
-    return ranked.where("n > 1").groupBy(by).agg(*out)
+        at |= {f"a{q}": F.min(F.when(F.col("upto") >= lo, F.col("v"))), f"b{q}": F.min(F.when(F.col("upto") >= lo + 1, F.col("v"))), f"s{q}": F.first(q * (F.col("n") + 1) / 4 - lo)}
+        ends.append((F.col(f"a{q}") * (1 - F.col(f"s{q}")) + F.col(f"b{q}") * F.col(f"s{q}")).alias(f"q{q}"))
+    return both.where("n > 1").groupBy("__by").agg(*[c.alias(name) for name, c in at.items()]).select(F.col("__by").alias(by), *ends)

@@ -80,8 +80,8 @@ SELECT source, round(p, 9) AS precision_at_k, round(dcg / ideal, 9) AS ndcg_at_k
 def M06_M07_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     hits = read(spark, sf_dir, "documents").select("source", F.row_number().over(order).alias("rank"), (F.col("lang") == "en").cast("int").alias("rel"))
-    relevant = hits.groupBy("source").agg(F.sum("rel").cast("int").alias("n_relevant"))
-    return rounded(metrics.ranking_scores(hits, relevant, "source", 10))
+    relevant = read(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").cast("int").alias("n_relevant"))
+    return rounded(metrics.ranking_scores(hits.where("rank <= 10"), relevant, "source", 10))
 
 
 @query(f"""WITH {SCORES}, w AS (SELECT label, tp / support AS p, support AS n, 1.96::DOUBLE AS z FROM rates WHERE support > 0)

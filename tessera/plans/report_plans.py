@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import short_list
+from tessera.operators import reports
 from tessera.plans.registry import Registry
 from tessera.sources.tables import placed, read
 
@@ -19,51 +20,43 @@ query = registry.query
 @query("SELECT lang, count(*) AS texts, count(DISTINCT source) AS sources, count(DISTINCT (source, doc_id % 7)) AS lesions FROM documents GROUP BY 1")
 def A04_P08_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lesion = F.struct("source", (F.col("doc_id") % 7).alias("n"))
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("texts"), F.count_distinct("source").alias("sources"), F.count_distinct(lesion).alias("lesions"))
+    return reports.distinct_counts(read(spark, sf_dir, "documents"), ["lang"], {"sources": F.col("source"), "lesions": lesion}, "texts")
 
 
 @query("SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
 def A09_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count_distinct("l_suppkey").alias("owners")).where("owners > 1")
+    return reports.shared_keys(read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey"), "part", "l_suppkey")
 
 
 @query("""WITH f AS (SELECT lang, unnest(list_filter([CASE WHEN length(text) < 200 THEN 'short' END, CASE WHEN contains(text, '@') THEN 'address' END, CASE WHEN contains(text, '###') THEN 'marks' END], lambda x: x IS NOT NULL)) AS reason FROM documents)
 SELECT reason, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM f GROUP BY 1""")
 def A11_A16_flags_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    flags = F.array_compact(F.array(F.when(F.length(t) < 200, "short"), F.when(t.contains("@"), "address"), F.when(t.contains("###"), "marks")))
-    rows = read(spark, sf_dir, "documents").select("lang", F.explode(flags).alias("reason"))
-    return rows.groupBy("reason").pivot("lang", ["de", "en", "es", "fr"]).count().na.fill(0)
+    return reports.flags_by_class(read(spark, sf_dir, "documents"), "lang", ["de", "en", "es", "fr"], {"short": F.length(t) < 200, "address": t.contains("@"), "marks": t.contains("###")})
 
 
 @query("""SELECT lang, count(*) AS total, count(*) FILTER (source IN ('src0', 'src1')) AS first_origin, count(*) FILTER (source NOT IN ('src0', 'src1')) AS other_origin, count(DISTINCT text) AS texts, count(*) >= 110 AS meets FROM documents GROUP BY 1""")
 def A18_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.col("source").isin("src0", "src1")
     docs = read(spark, sf_dir, "documents").select("lang", "source", F.sha2("text", 256).alias("sha"))
-    return docs.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(first).alias("first_origin"), F.count_if(~first).alias("other_origin"), F.count_distinct("sha").alias("texts"), (F.count("*") >= 110).alias("meets"))
+    return reports.coverage(docs, "lang", F.col("source").isin("src0", "src1"), "sha", 110)
 
 
 @query("""WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, n_chars AS upper_median FROM r WHERE r = n // 2 + 1""")
 def A22_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = Window.partitionBy("source")
-    ranked = read(spark, sf_dir, "documents").select("source", "n_chars", F.row_number().over(by.orderBy("n_chars")).alias("r"), F.count("*").over(by).alias("n"))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("source", F.col("n_chars").alias("upper_median"))
+    return reports.upper_median(read(spark, sf_dir, "documents"), "source", "n_chars")
 
 
 @query("""WITH g AS (SELECT text, count(*) AS n, count(DISTINCT source) AS owners, count(DISTINCT lang) AS classes FROM documents GROUP BY 1 HAVING count(*) > 1)
 SELECT count(*) AS groups, sum(n)::BIGINT AS members, (sum(n) FILTER (owners = 1))::BIGINT AS within_one, (sum(n) FILTER (owners > 1))::BIGINT AS across, coalesce(sum(n) FILTER (classes > 1), 0)::BIGINT AS mixed FROM g""")
 def A24_identical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha"), "source", "lang")
-    g = docs.groupBy("sha").agg(F.count("*").alias("n"), F.count_distinct("source").alias("owners"), F.count_distinct("lang").alias("classes")).where("n > 1")
-    some = lambda test: F.sum(F.when(test, F.col("n")))
-    return g.agg(F.count("*").alias("groups"), F.sum("n").alias("members"), some(F.col("owners") == 1).alias("within_one"), some(F.col("owners") > 1).alias("across"), F.coalesce(some(F.col("classes") > 1), F.lit(0)).alias("mixed"))
+    return reports.identical_groups(docs, "sha", "source", "lang")
 
 
 @query("""WITH f AS (SELECT lang, source, min(doc_id) AS first FROM documents GROUP BY ALL) SELECT lang, string_agg(source, '; ' ORDER BY first) AS sources FROM f GROUP BY 1""")
 def A26_U04_by_first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", "source"))), lambda x: x["source"])
-    return first.groupBy("lang").agg(F.array_join(ordered, "; ").alias("sources"))
+    found = reports.by_first_appearance(read(spark, sf_dir, "documents"), "lang", "source", "doc_id")
+    return found.select("lang", F.array_join("values", "; ").alias("sources"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY sha256('0:' || doc_id))::INTEGER AS place FROM documents ORDER BY place LIMIT 100")
@@ -81,8 +74,8 @@ def A31_hash_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O')
 SELECT (SELECT count(*) FROM a SEMI JOIN b USING (k)) AS both, (SELECT count(*) FROM a ANTI JOIN b USING (k)) AS only_a, (SELECT count(*) FROM b ANTI JOIN a USING (k)) AS only_b""")
 def U03_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max((F.col("o_orderstatus") == "F").cast("int")).alias("a"), F.max((F.col("o_orderstatus") == "O").cast("int")).alias("b"))
-    return sides.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("both"), F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("only_a"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("only_b"))
+    orders = read(spark, sf_dir, "orders")
+    return reports.key_sets(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"), "o_custkey")
 
 
 @query("""SELECT o_orderkey, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
@@ -117,8 +110,8 @@ def J28_two_runs_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, p_retailprice / p_size AS ratio, CASE upper(p_brand) WHEN 'BRAND#11' THEN 'BRAND#1' ELSE upper(p_brand) END AS brand FROM part""")
 def P04_P13_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spelling = F.create_map(F.lit("BRAND#11"), F.lit("BRAND#1"))
-    return read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / F.col("p_size")).alias("ratio"), F.coalesce(spelling[F.upper("p_brand")], F.upper("p_brand")).alias("brand"))
+    brand = reports.respelled(F.col("p_brand"), {"BRAND#11": "BRAND#1"})
+    return read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") / F.col("p_size")).alias("ratio"), brand.alias("brand"))
 
 
 @query("""SELECT o_custkey, min(year(o_orderdate)) || '–' || max(year(o_orderdate)) AS span FROM orders GROUP BY 1""")
@@ -131,3 +124,15 @@ def P23_year_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, array_to_string(s[1:3], ', ') || CASE WHEN len(s) > 3 THEN ', and ' || (len(s) - 3) || ' more' ELSE '' END AS examples FROM s""")
 def P22_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.collect_set("source").alias("s")).select("lang", short_list(F.col("s"), 3).alias("examples"))
+
+
+@query("""SELECT o_custkey, CASE WHEN min(year(o_orderdate)) = max(year(o_orderdate)) THEN min(year(o_orderdate))::VARCHAR ELSE min(year(o_orderdate)) || '–' || max(year(o_orderdate)) END AS span FROM orders GROUP BY 1""")
+def P23_year_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.year_span(read(spark, sf_dir, "orders"), "o_custkey", F.year("o_orderdate"))
+
+
+@query("""WITH s AS (SELECT lang, list_sort(list(DISTINCT source)) AS s FROM documents GROUP BY 1)
+SELECT lang, array_to_string(list_concat(list_filter(['src3', 'none', 'src1'], lambda x: list_contains(s, x)), list_filter(s, lambda x: NOT list_contains(['src3', 'none', 'src1'], x))), '; ') AS sources FROM s""")
+def U04_in_class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reports.index_by_class(read(spark, sf_dir, "documents"), "lang", "source", {})
+    return found.select("lang", F.array_join(reports.in_class_order(F.col("values"), ["src3", "none", "src1"]), "; ").alias("sources"))

@@ -5,15 +5,15 @@ The clinical records stand in customers: an id, a nation (the lesion), a segment
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import values
 from tessera.functions.text import first_year
-from tessera.operators import profile
+from tessera.operators import profile, reports
 from tessera.operators.graph import first_of_each
 from tessera.plans.registry import Registry
-from tessera.sources.tables import read
+from tessera.sources.tables import read, running
 
 registry = Registry()
 query = registry.query
@@ -100,9 +100,7 @@ def A14_exclusive_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(lang, 'all') AS lang, reason, count(*) AS n FROM f GROUP BY ROLLUP (reason, lang) HAVING reason IS NOT NULL""")
 def A15_A17_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    reason = F.when(F.length(t) < 200, "too short").when(t.contains("@"), "holds an address").when(F.lower(t).contains("license"), "holds a licence").otherwise("kept")
-    rolled = read(spark, sf_dir, "documents").select("lang", reason.alias("reason")).rollup("reason", "lang").agg(F.count("*").alias("n"))
-    return rolled.where("reason IS NOT NULL").select(F.coalesce("lang", F.lit("all")).alias("lang"), "reason", "n")
+    return reports.funnel(read(spark, sf_dir, "documents"), "lang", {"too short": F.length(t) < 200, "holds an address": t.contains("@"), "holds a licence": F.lower(t).contains("license")})
 
 
 @query("""WITH d AS (SELECT lang, contains(text, 'license') OR contains(text, 'License') AS tagged, length(text) > 1500 AS truth FROM documents)
@@ -110,17 +108,13 @@ SELECT lang, count(*) AS n, round(count(*) FILTER (tagged AND truth) / nullif(co
     round(avg(truth::INTEGER), 9) AS base_rate, round(count(*) FILTER (tagged AND truth) / nullif(count(*) FILTER (tagged), 0) / avg(truth::INTEGER), 9) AS lift FROM d GROUP BY 1""")
 def A19_tag_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    d = read(spark, sf_dir, "documents").select("lang", (t.contains("license") | t.contains("License")).alias("tagged"), (F.length(t) > 1500).alias("truth"))
-    hit = F.count_if(F.col("tagged") & F.col("truth")).cast("double")
-    precision = F.try_divide(hit, F.count_if(F.col("tagged")))
-    rate = F.avg(F.col("truth").cast("int"))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.try_divide(hit, F.count_if(F.col("truth"))), 9).alias("recall"), F.round(precision, 9).alias("precision"), F.round(rate, 9).alias("base_rate"), F.round(precision / rate, 9).alias("lift"))
+    out = reports.tag_agreement(read(spark, sf_dir, "documents"), ["lang"], t.contains("license") | t.contains("License"), F.length(t) > 1500)
+    return out.select("lang", "n", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "base_rate", "lift")])
 
 
 @query("""WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 > 6 GROUP BY 1) SELECT sum(n)::BIGINT AS cases, count(*) FILTER (n >= 30) AS classes, sum(n) >= 80 AND count(*) FILTER (n >= 30) >= 3 AS build FROM c""")
 def A21_go(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "documents").where("doc_id % 10 > 6").groupBy("lang").agg(F.count("*").alias("n"))
-    return c.agg(F.sum("n").alias("cases"), F.count_if(F.col("n") >= 30).alias("classes")).withColumn("build", (F.col("cases") >= 80) & (F.col("classes") >= 3))
+    return reports.go(read(spark, sf_dir, "documents").where("doc_id % 10 > 6"), "lang", 30, 3, 80)
 
 
 @query("""WITH a AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE role END AS answer FROM conversations)
@@ -134,13 +128,13 @@ def A23_same_wrong_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT lang, array_to_string(list_sort(list(DISTINCT source)), '; ') AS sources, count(*) FILTER (doc_id % 10 < 6) AS train, count(*) FILTER (doc_id % 10 = 6) AS val, count(*) FILTER (doc_id % 10 > 6) AS test FROM documents GROUP BY 1""")
 def A25_index_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("doc_id") % 10
-    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.array_join(F.sort_array(F.collect_set("source")), "; ").alias("sources"), F.count_if(part < 6).alias("train"), F.count_if(part == 6).alias("val"), F.count_if(part > 6).alias("test"))
+    found = reports.index_by_class(read(spark, sf_dir, "documents"), "lang", "source", {"train": part < 6, "val": part == 6, "test": part > 6})
+    return found.withColumn("sources", F.array_join("values", "; ")).drop("values")
 
 
 @query("SELECT lang, doc_id, n::INTEGER AS place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || doc_id)) AS n FROM documents) WHERE n <= 10")
 def A30_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), 256))
-    return read(spark, sf_dir, "documents").select("lang", "doc_id", F.row_number().over(order).alias("place")).where("place <= 10")
+    return reports.hash_sample(read(spark, sf_dir, "documents"), "lang", "doc_id", "7", 10)
 
 
 @query("SELECT source, n FROM (SELECT source, count(*) AS n, min(doc_id) AS first FROM documents WHERE lang = 'en' GROUP BY 1) ORDER BY n DESC, first LIMIT 6")
@@ -211,4 +205,20 @@ def U02_A29_union_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = lambda table, key, place: read(spark, sf_dir, table).select(F.lit(table).alias("origin"), F.lit(place).alias("place"), F.col(key).alias("id"), F.sha2("text", 256).alias("sha"))
     both = tagged("documents", "doc_id", 1).unionByName(tagged("benchmark", "item_id", 2))
     first = first_of_each(both, ["sha"], [F.asc("place"), F.asc("id")])
-    return first.select("origin", "id", F.row_number().over(Window.partitionBy("origin").orderBy("id")).alias("number"))
+    return running(first.select("origin", "id", F.lit(1).alias("one")), ["origin"], ["id"], "one", "number").select("origin", "id", F.col("number").cast("int").alias("number"))
+
+@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS cases, count(*) FILTER (n >= 200) AS classes, sum(n) >= 800 AND count(*) FILTER (n >= 200) >= 3 AS build FROM c""")
+def A21_go_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.go(read(spark, sf_dir, "documents"), "lang", 200, 3, 800)
+
+
+@query("""SELECT md5(text) AS digest, min(lang) AS answer, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT lang) = 1 AND min(lang) <> 'en'""")
+def A23_same_wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = read(spark, sf_dir, "documents").select(F.md5("text").alias("digest"), F.lit("en").alias("truth"), F.col("lang").alias("answer"))
+    return reports.same_wrong_answer(answers, "digest")
+
+
+@query("""WITH s AS (SELECT lang, source, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL)
+SELECT lang, source, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS place FROM s) WHERE place <= 6""")
+def A34_most_common_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.most_common(read(spark, sf_dir, "documents"), "lang", "source", "doc_id", 6)

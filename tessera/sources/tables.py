@@ -115,3 +115,19 @@ def placed(df: DataFrame, *keys: Column, place: str = "place") -> DataFrame:
     starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     number = F.row_number().over(Window.partitionBy("__range").orderBy(*names))
     return dealt.join(F.broadcast(starts), "__range").withColumn(place, F.col("__start") + number).drop("__range", "__start", *names)
+
+
+def running(df: DataFrame, by: list[str], order: list[str], weight: str, out: str) -> DataFrame:
+    """`df` with the sum of `weight` over the rows of equal `by` up to each row, in the order of `order`, which should tell rows of a group apart.
+
+    Rows are dealt by ranges of `by` and `order`, so a group that holds most rows is in many tasks; each range adds the sums of those before it.
+    """
+    dealt = written(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "__range").agg(F.sum(weight).alias("__sum"))  # a row for each range, and for each group
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    own = F.sum(weight).over(Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("__range") == F.col("__r")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    return dealt.withColumn("__own", own).join(starts, same).withColumn(out, F.col("__start") + F.col("__own")).select(*df.columns, out)
