@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import sentences, word_count
 from tessera.operators.graph import first_of_each
 from tessera.operators.overlap import clean_of
+from tessera.sources.tables import written
 
 
 def sentence_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -18,9 +19,9 @@ def sentence_rows(df: DataFrame, keys: list[str], text: str = "text") -> DataFra
 def prefix_cut(df: DataFrame, key: str, text: str, reveals, starts) -> DataFrame:
     """(key, question): the text up to its first sentence that reveals, from its first starting sentence if one before that reveals already.
 
-    `reveals` and `starts`: columns of a sentence.
+    `reveals` and `starts`: columns of a sentence. Keys must tell rows apart; a null text gives an empty question.
     """
-    rows = sentence_rows(df, [key], text).select(key, "pos", "sentence", reveals(F.col("sentence")).alias("r"), starts(F.col("sentence")).alias("s"))
+    rows = sentence_rows(df.withColumn(text, F.coalesce(text, F.lit(""))), [key], text).select(key, "pos", "sentence", reveals(F.col("sentence")).alias("r"), starts(F.col("sentence")).alias("s"))
     marks = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "r", "s"))).alias("all"))
     start = F.coalesce(F.try_element_at(F.filter("all", lambda x: x["s"]), F.lit(1))["pos"], F.lit(0))
     marks = marks.withColumn("start", start)
@@ -68,10 +69,17 @@ def passages(df: DataFrame, keys: list[str], text: str = "text", most: int = 300
     return rows.select(*keys, "pos", F.col("p.text").alias("passage"), F.col("p.words").alias("words")).where(F.col("words") >= shortest)
 
 
-def library(df: DataFrame, questions: DataFrame, key: str, rank: list, text: str = "text", question: str = "text", item: str = "item_id", run: int = 12) -> DataFrame:
-    """(key, number, passage, words, sha): the passages of documents without those that share a run of words with a question, then without repeats (the first by `rank` stays), numbered within each document."""
-    cut = passages(df, [key], text).withColumn("id", F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string")))
-    clean = clean_of(cut.withColumnRenamed("passage", "text"), questions.select(item, F.col(question).alias("text")), "id", item, "text", run)
-    first = first_of_each(clean.withColumn("sha", F.sha2("text", 256)), ["sha"], [*rank, F.asc("pos")])
-    number = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return first.select(key, number.alias("number"), F.col("text").alias("passage"), "words", "sha")
+def library(df: DataFrame, questions: DataFrame, key: str, rank: list, text: str = "text", question: str = "text", item: str = "item_id", run: int = 12, section: str | None = None) -> DataFrame:
+    """(key, [section,] number, passage_id, passage, words, sha): the passages of documents without those that share a run of words with a question, then without repeats, numbered within each document.
+
+    Of repeats the first by `rank`, section and place stays. With `section`, a document has a row for each section, in the
+    order of that column, and no passage joins two sections.
+    """
+    keys = [key] + ([section] if section else [])
+    cut = written(passages(df, keys, text))
+    clean = clean_of(cut.withColumnRenamed("passage", "text"), questions.select(item, F.col(question).alias("text")), key, item, "text", run)
+    order = [F.asc(c) for c in [*keys[1:], "pos"]]
+    first = first_of_each(clean.withColumn("sha", F.sha2("text", 256)), ["sha"], [*rank, *order])
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    out = first.withColumn("number", number)
+    return out.select(*keys, "number", F.format_string("%s-%03d", F.col(key).cast("string"), "number").alias("passage_id"), F.col("text").alias("passage"), "words", "sha")

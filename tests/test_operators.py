@@ -536,3 +536,15 @@ def test_json_lines_cut_off_or_broken(spark, tmp_path):
     for bad in (whole + '{"a": \n', '{"a"\n{"a": 1}\n{"a"', '{"a": 1}}\n' + whole):
         with pytest.raises(ValueError, match="not JSON"):
             read(wrote("bad", bad))
+
+
+def test_library_by_section(spark):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [("d2", 1, words("a", 30)), ("d2", 2, words("b", 30)), ("d1", 1, words("a", 30)), ("d1", 2, "short"), ("d1", 3, words("q", 12) + " " + words("c", 20)), ("d1", 4, words("e", 25)), ("d1", 5, None)]
+    df = spark.createDataFrame(rows, "doc string, part int, text string")
+    asked = spark.createDataFrame([(1, words("q", 12))], "item_id int, text string")
+    got = passages.library(df, asked, "doc", [F.asc("doc")], section="part").orderBy("passage_id").collect()
+    assert [(r.doc, r.part, r.passage_id, r.words) for r in got] == [("d1", 1, "d1-001", 30), ("d1", 4, "d1-002", 25), ("d2", 2, "d2-001", 30)]
+    assert passages.library(df.where("false"), asked, "doc", [F.asc("doc")], section="part").count() == 0
+    cut = passages.prefix_cut(spark.createDataFrame([(1, None), (2, "A b. C d.")], "k int, text string"), "k", "text", lambda s: s.contains("C"), lambda s: s.contains("x"))
+    assert {r.k: r.question for r in cut.collect()} == {1: "", 2: "A b."}
