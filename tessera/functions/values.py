@@ -21,6 +21,12 @@ def controlled(value: Column, allowed: list[str], gap_allowed: bool = True) -> C
     return out.when(known.isin(*allowed), known)
 
 
+def must_be(value: Column, allowed: list[str], gap_allowed: bool = True) -> Column:
+    """controlled(), but a value outside the vocabulary (or a gap where none is allowed) stops the step."""
+    known = controlled(value, allowed, gap_allowed)
+    return F.when(known.isNull(), F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.coalesce(value, F.lit("null")))).cast("string")).otherwise(known)
+
+
 def number(value: Column) -> Column:
     return F.btrim(value).try_cast("double")
 

@@ -108,3 +108,20 @@ def same_pictures(a: DataFrame, b: DataFrame, key: str, most_bits: int = 16, mos
     shape = F.abs(F.col("width1") * F.col("height2") - F.col("width2") * F.col("height1")) <= most_shape * F.col("width2") * F.col("height1")
     both = deal(a, 1, "i", m, "j", n).join(deal(b, 2, "j", n, "i", m), ["i", "j"])
     return both.where(bits <= most_bits).where(shape & (colour <= most_colour)).select(F.col(f"{key}1").alias("a"), F.col(f"{key}2").alias("b"), bits.cast("int").alias("bits"))
+
+
+def violations(checks: dict[str, DataFrame]) -> DataFrame:
+    """(check, item): the rows that each check of a suite returns (its columns as text, joined by blanks); empty if all hold."""
+    told = lambda df: F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns])
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check"), told(df).alias("item")) for name, df in checks.items()])
+
+
+def wrong_formats(cards: DataFrame, key: str, column: str, expected: str) -> DataFrame:
+    """(key, found): runs whose answers have another format than `expected`; none given counts as another."""
+    return cards.where(~F.col(column).eqNullSafe(F.lit(expected))).select(key, F.coalesce(column, F.lit("none")).alias("found"))
+
+
+def picture_faults(made: DataFrame, key: str, least_psnr: float = 30.0, most_bytes: int = 4_000_000) -> DataFrame:
+    """made (key, psnr, own_distance, nearest_other, bytes) -> (key, fault): made pictures that are too far from their originals, nearer to another, or too large."""
+    rules = {"not like its original": F.col("psnr") < least_psnr, "another picture is as near": F.col("own_distance") >= F.col("nearest_other"), "too large": F.col("bytes") > most_bytes}
+    return made.select(key, F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))).alias("fault"))

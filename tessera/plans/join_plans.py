@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import values
 from tessera.operators import joins, overlap
 from tessera.plans.registry import Registry
 from tessera.sources.tables import read
@@ -148,3 +149,36 @@ def J25_same_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def J26_picture_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pictures(spark, sf_dir)
     return joins.same_pictures(p.where("id % 20 = 0"), p.where("id % 20 <> 0"), "id", most_colour=2.0)
+
+
+@query("""WITH p AS (SELECT vec_id AS id, 25 + vec_id % 60 AS psnr, vec_id % 9 AS own, vec_id % 13 + 3 AS other, 3900000 + vec_id % 70 * 2000 AS bytes FROM embeddings)
+SELECT id, 'not like its original' AS fault FROM p WHERE psnr < 30 UNION ALL SELECT id, 'another picture is as near' FROM p WHERE own >= other UNION ALL SELECT id, 'too large' FROM p WHERE bytes > 4000000""")
+def I05_picture_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("vec_id")
+    made = read(spark, sf_dir, "embeddings").select(i.alias("id"), (25 + i % 60).alias("psnr"), (i % 9).alias("own_distance"), (i % 13 + 3).alias("nearest_other"), (3_900_000 + i % 70 * 2_000).alias("bytes"))
+    return joins.picture_faults(made, "id")
+
+
+@query("""SELECT 'text used twice' AS "check", md5(text) AS item FROM documents GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'label without a document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'page without a scheme', page_id::VARCHAR FROM pages WHERE NOT contains(url, '://') UNION ALL SELECT 'a role that is not known', conv_id || ' ' || turn FROM conversations WHERE role NOT IN ('user', 'assistant')""")
+def O09_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, pages, turns = (read(spark, sf_dir, t) for t in ("documents", "labels", "pages", "conversations"))
+    return joins.violations({
+        "text used twice": docs.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest"),
+        "label without a document": joins.without(labels, docs, ["doc_id"]).select("doc_id"),
+        "page without a scheme": pages.where(~F.contains("url", F.lit("://"))).select("page_id"),
+        "a role that is not known": turns.where("role NOT IN ('user', 'assistant')").select("conv_id", "turn"),
+    })
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN 'none' ELSE c_mktsegment END AS found FROM customer WHERE c_custkey % 8 = 0 OR c_mktsegment <> 'BUILDING'""")
+def N03_wrong_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 8 != 0, F.col("c_mktsegment")).alias("format"))
+    return joins.wrong_formats(cards, "c_custkey", "format", "BUILDING")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'not recorded' ELSE upper(c_mktsegment) END AS segment FROM customer""")
+def P03_controlled_or_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.when(F.col("c_custkey") % 6 != 0, F.concat(F.lit(" "), F.lower("c_mktsegment"))).otherwise("n/a")
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return read(spark, sf_dir, "customer").select("c_custkey", values.must_be(cell, segments).alias("segment"))

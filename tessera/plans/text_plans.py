@@ -42,7 +42,15 @@ def T08_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", fn.contains_phrase(F.col("w"), "apache license").alias("found"))
 
 
-@query()
+SHORT = ", ".join(f"'{x}'" for x in fn.ABBREVIATIONS)
+#: Sentences with the rule on short forms: a piece after one that ends with a short form belongs to the sentence before.
+MERGED = f"""{SENTENCES}, pieces AS (SELECT doc_id, unnest(s) AS piece, unnest(range(len(s))) AS i FROM cut),
+starts AS (SELECT *, lower(regexp_extract(lag(piece) OVER (PARTITION BY doc_id ORDER BY i), '([^\\s(\\["''“]*)$', 1)) IN ({SHORT}) AS joined FROM pieces),
+numbered AS (SELECT *, sum(CASE WHEN coalesce(joined, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM starts),
+sentences AS (SELECT doc_id, pos, string_agg(piece, ' ' ORDER BY i) AS sentence FROM numbered GROUP BY ALL)"""
+
+
+@query(f"WITH {MERGED} SELECT doc_id, count(*)::INTEGER AS n, md5(string_agg(sentence, '|' ORDER BY pos)) AS digest FROM sentences GROUP BY 1")
 def T12_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(fn.sentences(F.col("text")))).alias("s"))
     return rows.select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
@@ -68,7 +76,11 @@ def T18_T19_neighbour_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.neighbour_rule(sentences(spark, sf_dir), "doc_id", s.contains(" by "), s.contains(" are "))
 
 
-@query()
+@query(f"""WITH {MERGED}, m AS (SELECT doc_id, pos, sentence, contains(lower(sentence), 'license') AS r, contains(sentence, ' is ') AS s FROM sentences),
+f AS (SELECT doc_id, coalesce(min(pos) FILTER (s), 0) AS start, count(*) AS n FROM m GROUP BY 1),
+g AS (SELECT f.doc_id, n, CASE WHEN count(*) FILTER (r AND pos < start) > 0 THEN any_value(start) ELSE 0 END AS first FROM f JOIN m USING (doc_id) GROUP BY ALL),
+h AS (SELECT g.doc_id, first, coalesce(min(pos) FILTER (r AND pos >= first), any_value(n)) AS last FROM g JOIN m USING (doc_id) GROUP BY ALL)
+SELECT h.doc_id, coalesce(string_agg(sentence, ' ' ORDER BY pos) FILTER (pos >= first AND pos < last), '') AS question FROM h JOIN m USING (doc_id) GROUP BY 1""")
 def T17_prefix_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.prefix_cut(read(spark, sf_dir, "documents"), "doc_id", "text", lambda s: F.lower(s).contains("license"), lambda s: s.contains(" is "))
 

@@ -548,3 +548,13 @@ def test_library_by_section(spark):
     assert passages.library(df.where("false"), asked, "doc", [F.asc("doc")], section="part").count() == 0
     cut = passages.prefix_cut(spark.createDataFrame([(1, None), (2, "A b. C d.")], "k int, text string"), "k", "text", lambda s: s.contains("C"), lambda s: s.contains("x"))
     assert {r.k: r.question for r in cut.collect()} == {1: "", 2: "A b."}
+
+
+def test_vocabulary_stops_the_step_and_folders_are_replaced(spark, tmp_path):
+    with pytest.raises(Exception, match="not in the vocabulary: zz"):
+        spark.createDataFrame([("A",), ("zz",)], "x string").select(values.must_be(F.col("x"), ["A"])).collect()
+    path = str(tmp_path / "parts")
+    first = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    tables.write_partitioned(first, path, "k")
+    tables.write_partitioned(spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int"), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
