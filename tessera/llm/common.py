@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.graph import connected_components
 from tessera.sources.tables import cut, read, shared_folder, written
 
-__all__ = ["bucketed", "connected_components", "cut", "nullable", "read", "shared_folder", "slabs", "written"]
+__all__ = ["bucketed", "connected_components", "cut", "nullable", "read", "shared_folder", "slabs", "small_table", "written"]
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
@@ -21,6 +23,14 @@ def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of few rows from Arrow data: of a list Spark would make it by Python workers of their own, which then stay."""
+    fields = T.StructType.fromDDL(schema).fields
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    made = spark.createDataFrame(pa.table({f.name: pa.array(c) for f, c in zip(fields, columns, strict=True)}))
+    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed everywhere, as Arrow data that Python makes has it."""
     if isinstance(kind, T.StructType):

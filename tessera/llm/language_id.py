@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chargrams import WordSums, gram_counts, text_slabs
-from tessera.llm.common import written
+from tessera.llm.common import small_table, written
 from tessera.llm.linear import fit_linear, flattened
 
 #: Families of languages by ISO 639-1 code; a language that is not named is a family of its own.
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return None
     spark = docs.sparkSession
     part = {x: min(1.0, max_texts / n) for x, n in counts.items()}
-    rows = rows.join(F.broadcast(spark.createDataFrame(list(part.items()), "lang string, part double")), "lang").withColumn("place", F.pmod("h", F.lit(1 << 30)) / (1 << 30))
+    rows = rows.join(F.broadcast(small_table(spark, list(part.items()), "lang string, part double")), "lang").withColumn("place", F.pmod("h", F.lit(1 << 30)) / (1 << 30))
     sample = rows.where("place < part").repartition(PARTS, "h").select("lang", "place", F.pandas_udf(_features, "codes array<int>, counts array<int>")("text").alias("x"))
     sample = written(sample.select("lang", "place", "x.*"))
     found = sorted(r["lang"] for r in sample.select("lang").distinct().collect()) or [min(counts)]  # a row for each language
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     few = {x: part[x] * min(1.0, MANY_LANGUAGES * max_texts / (len(found) * min(counts[x], max_texts))) for x in found}
     sides = [(k, x, 1, 1.0) if family[x] == f else (k, x, -1, few[x]) for k, f in enumerate(families) if n > 2 or n == 2 and k == 0 for x in found]
     sides += [(n + k, x, side, 1.0) for k, pair in enumerate(pairs) for x, side in zip(pair, (1, -1), strict=True)]
-    sides = F.broadcast(spark.createDataFrame(sides, "machine int, lang string, side int, below double"))  # families times languages rows, and the pairs
+    sides = F.broadcast(small_table(spark, sides, "machine int, lang string, side int, below double"))  # families times languages rows, and the pairs
     got = sample.join(sides, "lang").where("place < below").select("machine", "side", "codes", "counts").groupBy("machine").applyInPandas(_machine, "machine int, code int, weight double").toPandas()
     for machine, code, weight in zip(got["machine"], got["code"], got["weight"], strict=True):
         if code < 0:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, written
+from tessera.llm.common import cut, small_table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, slots of a shard.
@@ -117,7 +117,7 @@ def plan(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, slot
     rows = wanted.orderBy("number").collect()
     total = sum(r["wanted"] for r in rows)
     if not total:
-        return spark.createDataFrame([], "shard long, number int, turn long, block long")
+        return small_table(spark, [], "shard long, number int, turn long, block long")
     counts = {r["number"]: r["wanted"] for r in rows}
     shares = [counts.get(i, 0) / total for i in range(max(counts) + 1)]
     shares = [s / sum(shares) for s in shares]
@@ -138,7 +138,7 @@ def plan(sources: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, slot
     if short:
         spare = kept.where("keep < count").select("shard", (F.col("count") - F.col("keep")).alias("over"), F.lit(0).alias("one"))
         spare = running_total(spare, ["one"], [F.col("shard"), F.col("over")], "over", "begin", F.col("shard"))
-        lacks = F.broadcast(spark.createDataFrame(short, "lo long, hi long, number int, blocks long, drawn long"))  # a row for each source
+        lacks = F.broadcast(small_table(spark, short, "lo long, hi long, number int, blocks long, drawn long"))  # a row for each source
         spare = spare.withColumn("end", F.col("begin") + F.col("over"))
         dealt = spare.join(lacks, (F.col("begin") < F.col("hi")) & (F.col("end") > F.col("lo")))
         lo, hi = F.greatest("begin", "lo"), F.least("end", "hi")
