@@ -355,6 +355,47 @@ def test_pipeline_keeps_one_of_near_copies_whatever_their_ids(spark):
     assert corpus_pipeline.drop_near_copies(spark, df.where("false"), "").count() == 0
 
 
+@here
+def test_jaccard_join_agrees_with_its_sql(spark):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    wanted = Counter(con.sql(ORACLE["op8_jaccard_join"]).fetchall())
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op8_jaccard_join"](spark, SF).collect()) == wanted
+
+
+@here
+def test_scores_and_languages_agree_with_a_plain_reading_of_the_weights(spark):
+    from tessera.llm import chargrams
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    df = docs.unionByName(awkward(spark)).unionByName(documents(spark, [(500, "a" * 70_000 + "ß" * 5, "de", "a", 1), (501, "stupid", "en", "a", 1)]))
+    model = toxicity.fit(docs.where(~toxicity.held_out(F.col("doc_id"))), labels.where(~toxicity.held_out(F.col("doc_id"))))
+    for r in df.select("text", toxicity.score(F.col("text"), model).alias("score")).collect():
+        held = {w for w in (r.text or "").lower().split()}
+        present = chargrams.gram_counts(sorted(held), toxicity.SIZES, toxicity.BITS) > 0
+        assert math.isclose(r.score, 1 / (1 + math.exp(-max(-30, min(30, model.weights.astype(np.float32)[present].sum(dtype=float) + model.intercept)))), abs_tol=2e-6)
+    model = language_id.fit(docs)
+    sure = lambda m: 1 / (1 + math.exp(-max(-30, min(30, 2 * m))))
+    for r in df.select("text", language_id.predict(F.col("text"), model).alias("x")).collect():
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        if not words:
+            assert (r.x.lang_pred, r.x.score) == ("und", 0)
+            continue
+        counts = chargrams.gram_counts(words, language_id.SIZES, language_id.BITS)
+        m = (counts @ model.weights) / counts.sum() + model.intercepts
+        n = len(model.families)
+        family = model.families[int(np.argmax(m[:n]))]
+        own = model.languages[family]
+        beats = {a: [m[n + k] if p[0] == a else -m[n + k] for k, p in enumerate(model.pairs) if a in p] for a in own}
+        best = max(own, key=lambda a: (sum(x > 0 for x in beats[a]), sum(beats[a]), -own.index(a)))
+        wanted = sure(m[model.families.index(family)]) * (sure(min(beats[best])) if len(own) > 1 else 1)
+        assert r.x.lang_pred == best and math.isclose(r.x.score, wanted, abs_tol=2e-6)
+
+
 @here
 def test_pipeline_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
