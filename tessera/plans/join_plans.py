@@ -131,7 +131,7 @@ def J28_finished_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PICTURES = """pictures AS (SELECT vec_id AS id, list_sum([CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0 END FOR i IN range(1, 65)])::HUGEINT AS code,
     [(vec_id % 7)::DOUBLE, (vec_id % 5)::DOUBLE, 3.0::DOUBLE] AS colour, 600 + vec_id % 4 AS width, 400 AS height FROM embeddings)"""
 LOOK = """bit_count(xor(a.code, b.code)) <= 16 AND abs(a.width * b.height - b.width * a.height) <= 0.02::DOUBLE * b.width * a.height
-    AND sqrt(((a.colour[1] - b.colour[1]) ** 2 + (a.colour[2] - b.colour[2]) ** 2 + (a.colour[3] - b.colour[3]) ** 2) / 3) <= 2.0"""
+    AND sqrt(((a.colour[1] - b.colour[1]) ** 2 + (a.colour[2] - b.colour[2]) ** 2 + (a.colour[3] - b.colour[3]) ** 2) / 3) <= {colour}"""
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,16 +139,16 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(i.alias("id"), overlap.sign_code(F.col("embedding")).alias("code"), F.array((i % 7).cast("double"), (i % 5).cast("double"), F.lit(3.0)).alias("colour"), (600 + i % 4).alias("width"), F.lit(400).alias("height"))
 
 
-@query(f"WITH {PICTURES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::INTEGER AS bits FROM pictures a JOIN pictures b ON a.id < b.id AND {LOOK}")
+@query(f"WITH {PICTURES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::INTEGER AS bits FROM pictures a JOIN pictures b ON a.id < b.id AND {LOOK.format(colour=2.0)}")
 def J25_same_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pictures(spark, sf_dir)
     return joins.same_pictures(p, p, "id", most_colour=2.0).where("a < b")
 
 
-@query(f"WITH {PICTURES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::INTEGER AS bits FROM pictures a JOIN pictures b ON a.id % 20 = 0 AND b.id % 20 <> 0 AND {LOOK}")
+@query(f"WITH {PICTURES} SELECT a.id AS a, b.id AS b, bit_count(xor(a.code, b.code))::INTEGER AS bits FROM pictures a JOIN pictures b ON a.id % 2 = 0 AND b.id % 2 <> 0 AND {LOOK.format(colour=9.0)}")
 def J26_picture_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pictures(spark, sf_dir)
-    return joins.same_pictures(p.where("id % 20 = 0"), p.where("id % 20 <> 0"), "id", most_colour=2.0)
+    return joins.same_pictures(p.where("id % 2 = 0"), p.where("id % 2 <> 0"), "id", most_colour=9.0)
 
 
 @query("""WITH p AS (SELECT vec_id AS id, 25 + vec_id % 60 AS psnr, vec_id % 9 AS own, vec_id % 13 + 3 AS other, 3900000 + vec_id % 70 * 2000 AS bytes FROM embeddings)
