@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, license_scan, source_mix, token_count, topk_search, toxicity, url_filter
+from tessera.llm import byte_bpe, embedding_dedup, jaccard_join, language_id, license_scan, quality_rules, source_mix, token_count, topk_search, toxicity, treap_search, url_filter, whitening
 from tessera.llm.common import read
 
 
@@ -64,7 +64,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_byte_bpe, op4_source_mix, op5_license_scans, op6_language_id, op7_embedding_dedup, op8_jaccard_join, op9_topk_search, op10_token_counts)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge_quality(docs, read(spark, sf_dir, "labels")).drop("text")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_byte_bpe, op4_source_mix, op5_license_scans, op6_language_id, op7_embedding_dedup, op8_jaccard_join, op9_topk_search, op10_token_counts, op11_embedding_whitening, op12_quality_rules, op13_ranked_search)}
 
 ORACLE: dict[str, str] = {
     "op1_url_filters": r"""
@@ -99,4 +112,14 @@ WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUB
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM c q JOIN c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_ranked_search": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n FROM (SELECT doc_id, unnest(w) AS t, len(w) AS n FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, c GROUP BY t, n_docs),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // total))))::BIGINT AS score
+      FROM (SELECT item_id, t, count(*)::BIGINT AS times FROM q GROUP BY ALL) JOIN tf USING (t) JOIN df USING (t), c, range(times) GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""".replace("\\", "\\"[:1]),
 }
