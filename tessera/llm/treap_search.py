@@ -129,13 +129,18 @@ class Block:
 
     def _inside(self, nodes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """From each node down its treap to the first node whose document is in [lo, hi): the root of what the interval holds."""
-        nodes, low, high = nodes.copy(), lo[:, None], hi[:, None]
-        while True:
-            docs = self.docs[nodes]
-            under, over = (nodes >= 0) & (docs < low), (nodes >= 0) & (docs >= high)
-            if not (under.any() or over.any()):
-                return nodes
-            nodes = np.where(under, self.right[nodes], np.where(over, self.left[nodes], nodes))
+        width = nodes.shape[1]
+        out = nodes.ravel().copy()
+        todo = np.flatnonzero(out >= 0)
+        while len(todo):
+            now, row = out[todo], todo // width
+            docs = self.docs[now]
+            under, over = docs < lo[row], docs >= hi[row]
+            away = under | over
+            todo, now, under = todo[away], now[away], under[away]
+            out[todo] = np.where(under, self.right[now], self.left[now])
+            todo = todo[out[todo] >= 0]
+        return out.reshape(nodes.shape)
 
     def _scores(self, docs: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
         wanted = terms[None, :] * self.size + docs[:, None]
