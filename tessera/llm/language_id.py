@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.chargrams import WordSums, gram_counts, text_slabs
@@ -31,10 +31,12 @@ FAMILIES = {
     "uralic": ("et", "fi", "hu"),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-#: The machines are fitted on about so many texts of each language (those of smallest hash).
+#: The machines are fitted on so many texts of each language at most: those of smallest hash of key and text.
 MAX_TEXTS = 2_000
-#: With more languages than this, the machine of a family takes evenly fewer texts of each language outside it, some of every one, so that its sample stays bounded.
-MANY_LANGUAGES = 64
+#: With more languages than this, the machine of a family takes evenly fewer texts of each language outside it, one of every language at least, so that its sample stays bounded.
+MANY_LANGUAGES = 16
+#: Languages that are learned: those with most texts.
+MOST_LANGUAGES = 1_000
 #: Tasks of one step of a fit.
 PARTS = 12
 SIZES, BITS, PENALTY, STEPS = (1, 2, 3), 14, 1e-3, 80
@@ -75,18 +77,28 @@ class Model:
     intercepts: np.ndarray
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_texts: int = MAX_TEXTS) -> Model | None:
-    """Learn every language from the rows whose language is not null and whose text has a letter; None if there is no such row."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    if not counts:
-        return None
+def bounded_sample(rows: DataFrame, max_texts: int, most_languages: int) -> DataFrame:
+    """Of rows (lang, text, h) at most `max_texts` of each language, those of smallest h, with their place `r` in it (from 1); one of each at least.
+
+    A language's rows are thinned by h first; where many rows share an h, which thinning keeps or drops together, the
+    window's limit, which Spark applies before it shuffles, takes as many as there is room for.
+    """
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    share = lambda h: F.pmod(h, F.lit(1 << 30)) / (1 << 30)
+    order = Window.partitionBy("lang").orderBy("place", "h", "text")
+    kept = rows.join(F.broadcast(counts), "lang").where((share(F.col("h")) < 2 * max_texts / F.col("n")) | (F.col("h") == F.col("least")))  # counts: most_languages rows
+    return kept.withColumn("place", share(F.col("h"))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_texts).select("lang", "text", "h", "r")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_texts: int = MAX_TEXTS, many_languages: int = MANY_LANGUAGES, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """Learn every language (the `most_languages` with most texts) from the rows whose language is not null and whose text has a letter; None if there is no such row."""
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     spark = docs.sparkSession
-    part = {x: min(1.0, max_texts / n) for x, n in counts.items()}
-    rows = rows.join(F.broadcast(small_table(spark, list(part.items()), "lang string, part double")), "lang").withColumn("place", F.pmod("h", F.lit(1 << 30)) / (1 << 30))
-    sample = rows.where("place < part").repartition(PARTS, "h").select("lang", "place", F.pandas_udf(_features, "codes array<int>, counts array<int>")("text").alias("x"))
-    sample = written(sample.select("lang", "place", "x.*"))
-    found = sorted(r["lang"] for r in sample.select("lang").distinct().collect()) or [min(counts)]  # a row for each language
+    sample = bounded_sample(rows, max_texts, most_languages).repartition(PARTS, "h", "r")
+    sample = written(sample.select("lang", "r", F.pandas_udf(_features, "codes array<int>, counts array<int>")("text").alias("x")).select("lang", "r", "x.*"))
+    found = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # most_languages rows
+    if not found:
+        return None
     family = {x: FAMILY_OF.get(x, x) for x in found}
     families = tuple(sorted(set(family.values())))
     languages = {f: tuple(x for x in found if family[x] == f) for f in families}
@@ -96,11 +108,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if len(found) == 1:
         return Model(families, languages, pairs, weights, intercepts + 1)
     # Of two families the second is the first one's plane, seen from the other side.
-    few = {x: part[x] * min(1.0, MANY_LANGUAGES * max_texts / (len(found) * min(counts[x], max_texts))) for x in found}
-    sides = [(k, x, 1, 1.0) if family[x] == f else (k, x, -1, few[x]) for k, f in enumerate(families) if n > 2 or n == 2 and k == 0 for x in found]
-    sides += [(n + k, x, side, 1.0) for k, pair in enumerate(pairs) for x, side in zip(pair, (1, -1), strict=True)]
-    sides = F.broadcast(small_table(spark, sides, "machine int, lang string, side int, below double"))  # families times languages rows, and the pairs
-    got = sample.join(sides, "lang").where("place < below").select("machine", "side", "codes", "counts").groupBy("machine").applyInPandas(_machine, "machine int, code int, weight double").toPandas()
+    few = max_texts if len(found) <= many_languages else max(1, many_languages * max_texts // len(found))
+    sides = [(k, x, 1, max_texts) if family[x] == f else (k, x, -1, few) for k, f in enumerate(families) if n > 2 or n == 2 and k == 0 for x in found]
+    sides += [(n + k, x, side, max_texts) for k, pair in enumerate(pairs) for x, side in zip(pair, (1, -1), strict=True)]
+    sides = F.broadcast(small_table(spark, sides, "machine int, lang string, side int, most int"))  # families times languages rows, and the pairs
+    got = sample.join(sides, "lang").where("r <= most").select("machine", "side", "codes", "counts").groupBy("machine").applyInPandas(_machine, "machine int, code int, weight double").toPandas()
     for machine, code, weight in zip(got["machine"], got["code"], got["weight"], strict=True):
         if code < 0:
             intercepts[machine] = weight
@@ -165,12 +177,15 @@ def held_out(key: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_texts: int = MAX_TEXTS) -> DataFrame:
+def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_texts: int = MAX_TEXTS, many_languages: int = MANY_LANGUAGES, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """Add held_out (boolean), lang_pred (string) and score (double) for each whole text; rows held out teach nothing.
 
-    Repeated rows are judged each. Columns of these names that `docs` has already are replaced.
+    A machine learns from `max_texts` texts of each language of its family at most, and from `many_languages` times
+    `max_texts` others, whatever the input. Null keys are not held out. Null texts and texts without a letter are `und` with
+    score 0; long texts are read whole. Repeated rows are judged each, and each teaches while there is room. An empty table
+    gives no rows. Columns of these names that `docs` has already are replaced.
     """
-    model = fit(docs.where(~held_out(F.col(key))), text, lang, key, max_texts)
+    model = fit(docs.where(~held_out(F.col(key))), text, lang, key, max_texts, many_languages, most_languages)
     keep = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     out = docs.select(*keep, held_out(F.col(key)).alias("held_out"), predict(F.col(text), model).alias("__lang"))
     return out.select(*keep, "held_out", "__lang.lang_pred", "__lang.score")

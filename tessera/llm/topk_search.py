@@ -60,54 +60,55 @@ def _exact_scores(query: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 def _blocks(k: int):
     def met(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"asked": [], "query_id": [], "vec_id": [], "row": [], "score": []}
         if len(queries) and len(rows):
-            ids, columns = rows["vec_id"].to_numpy(), np.ascontiguousarray(np.stack(rows["codes"].to_list()).T.astype(float))
+            ids, number, columns = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), np.ascontiguousarray(np.stack(rows["codes"].to_list()).T.astype(float))
             ends = [min(len(columns), lo + STEP) for lo in range(0, len(columns), STEP)]
             left = np.stack([np.sqrt((columns[hi:] ** 2).sum(0)) for hi in ends])
-            for query_id, codes in zip(queries["vec_id"].to_list(), queries["codes"].to_list(), strict=True):
+            for asked, query_id, codes in zip(queries["row"].to_list(), queries["vec_id"].to_list(), queries["codes"].to_list(), strict=True):
                 query = np.asarray(codes, float)
                 if np.abs(query).max() * np.abs(columns).max() * len(query) < _EXACT:
-                    place, score = _search(query, columns, left, k + int((ids == query_id).sum()))
+                    place, score = _search(query, columns, left, k + 1)
                     score = score.astype(np.int64)
                 else:
                     place, score = np.arange(len(ids)), _exact_scores(query, columns)
-                other = ids[place] != query_id
+                other = number[place] != asked
                 place, score = place[other], score[other]
-                best = np.lexsort((ids[place], -score))[:k]
-                out["query_id"].append(np.full(len(best), query_id))
-                out["vec_id"].append(ids[place[best]])
-                out["score"].append(score[best])
+                best = np.lexsort((number[place], ids[place], -score))[:k]
+                for name, values in (("asked", np.full(len(best), asked)), ("query_id", np.full(len(best), query_id)), ("vec_id", ids[place[best]]), ("row", number[place[best]]), ("score", score[best])):
+                    out[name].append(values)
         return pd.DataFrame({c: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for c, v in out.items()})
 
     return met
 
 
 def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: int = 64, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): the k largest inner products of floor(scale * vector) of every query with all rows of other keys, ties to the smaller key.
+    """(query_id, rank from 1, vec_id, score): the k largest inner products of floor(scale * vector) of every query with all other rows, ties to the smaller key.
 
     Vectors that are null, empty or hold null or non-finite numbers take no part, nor do rows with a null key. Vectors are
-    compared with those of equal length. Rows that repeat a key and its numbers count once; scores beyond a long are held
-    at its ends. All rows are searched exactly.
+    compared with those of equal length. Rows that repeat a key, or a key and its numbers, are queries and candidates of
+    their own: each finds the others, and query_id may then have several ranks 1. Scores beyond a long are held at its ends.
+    All rows are searched exactly. Other columns are left out; an empty table gives no rows.
     """
     codes = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     plain = df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), codes.alias("codes"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    plain = written(plain.dropDuplicates(["vec_id", "codes"]).withColumn("dim", F.size("codes")))
+    # A row is known by its number; it is written with it, so that it keeps it.
+    plain = written(plain.withColumn("dim", F.size("codes")).withColumn("row", F.monotonically_increasing_id()))
     n, asking = plain.agg(F.count("*"), F.count_if("asks")).first()
     if not asking:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts, blocks = -(-n // rows), -(-asking // queries)
-    dealt = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+    dealt = lambda m, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = plain.where("asks").select("vec_id", "codes", "dim", dealt(blocks, 1).alias("block"), every(parts).alias("part"))
-    right = plain.select("vec_id", "codes", "dim", dealt(parts, 2).alias("part"), every(blocks).alias("block"))
+    left = plain.where("asks").select("row", "vec_id", "codes", "dim", dealt(blocks, 1).alias("block"), every(parts).alias("part"))
+    right = plain.select("row", "vec_id", "codes", "dim", dealt(parts, 2).alias("part"), every(blocks).alias("block"))
     group = ["dim", "part", "block"]
-    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_blocks(k), "query_id long, vec_id long, score long")
+    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_blocks(k), "asked long, query_id long, vec_id long, row long, score long")
     # A task's best go to a share of the query's first, so that no window holds all tasks of a large table.
-    order = [F.desc("score"), F.asc("vec_id")]
+    order = [F.desc("score"), F.asc("vec_id"), F.asc("row")]
     shares = max(1, parts // 64)
     if shares > 1:
-        share = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(shares))).orderBy(*order)
+        share = Window.partitionBy("asked", F.pmod(F.xxhash64("row"), F.lit(shares))).orderBy(*order)
         near = near.withColumn("__r", F.row_number().over(share)).where(F.col("__r") <= k).drop("__r")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

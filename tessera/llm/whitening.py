@@ -21,6 +21,8 @@ from tessera.llm.common import written
 
 #: Vectors may have so many lengths (each length is whitened alone) and dimensions (a matrix of dimensions by dimensions is on the driver).
 MOST_LENGTHS, MOST_DIMENSIONS = 16, 4_096
+#: Below this share of the largest variance a component counts as one without variance: rounding leaves as much.
+LEAST_VARIANCE = 1e-12
 #: Whole numbers of an entry, before `offset`, stay below this.
 _LARGEST = 2.0**52
 _COLUMNS = ("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
@@ -90,9 +92,9 @@ def _whitened(rows: DataFrame, dim: int, components: int) -> DataFrame:
     part = [r / n for r in rest]
     centred = MLUtils.convertVectorColumnsFromML(fit.select(array_to_vector(_centred(F.col("x"), whole, part)).alias("v")), "v")
     # All `dim` singular values at once are found by dense algebra, to double precision; fewer would be iterated for.
-    svd = RowMatrix(centred, n, dim).computeSVD(dim, computeU=False, rCond=1e-9)
+    svd = RowMatrix(centred, n, dim).computeSVD(dim, computeU=False, rCond=0.0)
     variances = svd.s.toArray() ** 2 / n
-    k = min(components, len(variances))
+    k = min(components, int((variances > LEAST_VARIANCE * variances.max(initial=0)).sum()))
     # The sum of (n * x - S)^2 over the fit list, exact unless it has more than 38 digits.
     off = F.zip_with("x", F.arrays_zip(F.array(*map(F.lit, whole)).alias("w"), F.array(*map(F.lit, rest)).alias("r")), lambda a, m: (a - m["w"]).cast("decimal(17,0)") * F.lit(n).cast("decimal(19,0)") - m["r"].cast("decimal(19,0)"))
     square = F.aggregate(off, F.lit(0).cast("double"), lambda t, d: t + d.cast("double") * d.cast("double"))
@@ -125,7 +127,7 @@ def whiten(df: DataFrame, key: str = "vec_id", vector: str = "embedding", compon
     component, over the square root of its variance e. explained: e over the total variance. identity_error: how far the
     covariance of `whitened` over the fit list is from the identity, at most.
     Vectors that are null, empty, or hold null, non-finite or too large entries (2^52 once scaled) give no rows; nor do
-    components without variance, so none are left where all vectors are equal. Repeated rows and rows with a null key are
+    components without variance (below LEAST_VARIANCE of the largest), so none are left where all vectors are equal. Repeated rows and rows with a null key are
     each given. Vectors of each length are whitened alone, among their own. Other columns are left out.
     """
     plain = df.where(usable(F.col(vector), scale)).select(F.col(key).alias("vec_id"), F.transform(F.col(vector), lambda c: F.floor(c.cast("double") * scale) + F.lit(offset).cast("long")).alias("x"))

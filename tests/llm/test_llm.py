@@ -198,6 +198,21 @@ def test_language_id_learns_every_language(spark):
     assert all(right[x] for x in {r.lang for r in got}) and sum(right.values()) >= 0.95 * len(got)
 
 
+def test_language_sample_is_bounded_whatever_the_keys(spark):
+    rng, rows = random.Random(6), []
+    text = lambda: text_of(rng, 5)
+    rows += [(None, text(), "a") for _ in range(300)] + [(7, text(), "b") for _ in range(300)] + [(8, "one text", "c")] * 300 + [(i, text(), "d") for i in range(300)] + [(9, "one", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).repartition(5)
+    n = {r.lang: r["count"] for r in language_id.bounded_sample(df, 30, 100).groupBy("lang").count().collect()}
+    assert n["a"] == n["b"] == n["d"] == 30 and n["c"] == 30 and n["e"] == 1
+    assert set(language_id.bounded_sample(df, 1, 100).select("lang").toPandas()["lang"]) == {"a", "b", "c", "d", "e"}
+    assert {r.lang for r in language_id.bounded_sample(df, 30, 2).collect()} == {"a", "b"}
+    own = next(i for i in range(1_000, 2_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    same = documents(spark, [(own, f"das ist ein satz {i}", "de", "x", 1) for i in range(90)] + [(i, f"esto es una frase {i}", "es", "x", 1) for i in range(6, 90)])
+    got = language_id.identify_languages(same.withColumn("lang_pred", F.lit(1)).withColumn("r", F.lit("clash")).withColumn("h", F.lit("clash")), max_texts=30).collect()
+    assert len(got) == 174 and {r.lang_pred for r in got if r.lang == "de"} == {"de"} and {r.r for r in got} == {"clash"}
+
+
 def plain_targets(sizes):
     total, names = sum(sizes.values()), sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
@@ -327,14 +342,14 @@ def test_embedding_dedup(spark):
 def test_topk_search(spark):
     rng = np.random.default_rng(5)
     rows = [(i, np.round(rng.normal(size=24), 1).tolist()) for i in range(300)] + [(300, None), (301, [1.0, math.inf]), (302, [0.1, -0.2]), (320, [3.0, 4.0]), (340, [1e12] * 24), (0, None)]
-    rows.append((1, rows[1][1]))
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    stored = {(r.vec_id, tuple(r.embedding)) for r in df.where("embedding IS NOT NULL").collect() if all(map(math.isfinite, r.embedding))}
-    good = [(k, [math.floor(64 * x) for x in v]) for k, v in sorted(stored)]
+    rows += [(1, rows[1][1]), (1, rows[2][1]), (20, rows[20][1]), (20, rows[20][1]), (40, rows[7][1])]  # keys that repeat, with their numbers and with others
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("row", F.lit(0)).withColumn("codes", F.lit("clash"))
+    stored = sorted((r.vec_id, tuple(r.embedding)) for r in df.where("embedding IS NOT NULL").collect() if all(map(math.isfinite, r.embedding)))
+    good = [(k, [math.floor(64 * x) for x in v]) for k, v in stored]
     wanted = []
-    for k, q in good:
+    for own, (k, q) in enumerate(good):
         if k % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v in good if i != k and len(v) == len(q))[:7]
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), i) for j, (i, v) in enumerate(good) if j != own and len(v) == len(q))[:7]
             wanted += [(k, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(scores, 1)]
     for n, q in ((16_384, 1_024), (50, 4)):
         got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.search(df, F.col("vec_id") % 20 == 0, k=7, rows=n, queries=q).collect()]
