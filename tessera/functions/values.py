@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What counts as a gap, trimmed and in upper case.
@@ -22,11 +22,26 @@ def controlled(value: Column, allowed: list[str], gap_allowed: bool = True) -> C
 
 
 def must_be(value: Column, allowed: list[str], gap_allowed: bool = True) -> Column:
-    """controlled(), but a value outside the vocabulary (or a gap where none is allowed) stops the step."""
+    """controlled(), but a value outside the vocabulary (or a gap where none is allowed) stops the step if the column is read; only_allowed() always does."""
     known = controlled(value, allowed, gap_allowed)
     return F.when(known.isNull(), F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.coalesce(value, F.lit("null")))).cast("string")).otherwise(known)
 
 
+def holds(test: Column, otherwise: Column) -> Column:
+    """True where `test` holds; elsewhere, also where it is null, the step stops with the text `otherwise`.
+
+    For where(): a filter stays in the plan when a check inside a column goes with the column.
+    """
+    return F.when(test, True).otherwise(F.raise_error(otherwise).cast("boolean"))
+
+
+def only_allowed(df: DataFrame, column: str, allowed: list[str], gap_allowed: bool = True) -> DataFrame:
+    """`df` with controlled() values of `column`; a value outside the vocabulary stops the step, whatever of the result is read."""
+    known = controlled(F.col(column), allowed, gap_allowed)
+    told = F.concat(F.lit("not in the vocabulary: "), F.coalesce(column, F.lit("null")))
+    return df.where(holds(known.isNotNull(), told)).withColumn(column, known)
+
+
 def number(value: Column) -> Column:
     return F.btrim(value).try_cast("double")
 

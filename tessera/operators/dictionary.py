@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,32 @@ def without_overlap(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(_SPANS), lambda t, s: F.when(free(t, s), F.concat(t, F.array(s))).otherwise(t))
 
 
+def _first_free(spans: pa.Array) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(spans), 0).to_pylist()
+    rows = spans.flatten()
+    ends, kept, at, marked = [0], [], 0, set()
+    places = list(zip(rows.field("start").to_pylist(), rows.field("end").to_pylist(), strict=True))
+    for size in sizes:
+        marked.clear()
+        for i in range(at, at + size):
+            own = range(*places[i])
+            if marked.isdisjoint(own):
+                marked.update(own)
+                kept.append(i)
+        at += size
+        ends.append(len(kept))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows.take(pa.array(kept, pa.int64())))
+
+
+def taken(spans: Column) -> Column:
+    """without_overlap() for texts of many spans: the words that are taken are marked, so that no span is compared with others."""
+    @F.arrow_udf(_SPANS)
+    def free(spans: pa.Array) -> pa.Array:
+        return _first_free(spans)
+
+    return free(spans)
+
+
 def classes_of(spans: Column, names: Names) -> Column:
     """The classes that the names of spans count for, once for each span."""
     return F.flatten(F.transform(spans, lambda s: F.element_at(names.known(), s["key"])["classes"]))
@@ -94,7 +122,7 @@ def named(df: DataFrame, terms: DataFrame, text: str = "text", last: bool = Fals
     """
     names = Names(terms)
     found = step(df, "__words", F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
-    found = step(candidates(found, names, "__words", "__found"), "__spans", without_overlap(F.col("__found")))
+    found = step(candidates(found, names, "__words", "__found"), "__spans", taken(F.col("__found")))
     counted = F.filter("__spans", lambda s: s["end"] == F.size("__words") + 1) if last else F.col("__spans")
     found = step(step(found, "__counted", counted), "__classes", classes_of(F.col("__counted"), names))
     times = F.map_from_entries(F.transform(F.array_distinct("__classes"), lambda c: F.struct(c, F.size(F.filter("__classes", lambda x: x == c)).cast("long"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.values import holds
 from tessera.operators import metrics
 
 
@@ -73,8 +74,8 @@ def paired_answers(a: DataFrame, b: DataFrame, key: str, subset: bool = False) -
     if (alone["a"] or alone["b"]) and not (subset and 0 in (alone["a"], alone["b"])):
         raise ValueError(f"the runs did not answer the same questions: {alone['a']} of the first and {alone['b']} of the second stand alone")
     wrong = F.when(F.col("n1") + F.col("n2") > 2, "answered twice").when(~F.col("x1.truth").eqNullSafe(F.col("x2.truth")), "another class")
-    sure = F.when(wrong.isNotNull(), F.raise_error(F.concat_ws(": ", wrong, F.col("k").cast("string"))).cast("string")).otherwise(F.col("x1.truth"))
-    return both.where("n1 IS NOT NULL AND n2 IS NOT NULL").select(F.col("k").alias(key), sure.alias("truth"), "x1.grp", F.col("x1.answer").alias("a"), F.col("x2.answer").alias("b"))
+    pairs = both.where("n1 IS NOT NULL AND n2 IS NOT NULL").where(holds(wrong.isNull(), F.concat_ws(": ", wrong, F.col("k").cast("string"))))
+    return pairs.select(F.col("k").alias(key), "x1.truth", "x1.grp", F.col("x1.answer").alias("a"), F.col("x2.answer").alias("b"))
 
 
 def paired_bootstrap(pairs: DataFrame, labels: list[str], resamples: int = metrics.RESAMPLES, seed: str = "0") -> DataFrame:
@@ -90,8 +91,10 @@ def paired_bootstrap(pairs: DataFrame, labels: list[str], resamples: int = metri
 
 def table_of_runs(scores: DataFrame, rows: str, columns: str, value: str, names: list[str]) -> DataFrame:
     """(rows, a column for each of `names`): one value for each pair, null where there is no run; two values for a pair stop the step."""
-    one = F.when(F.count(value) > 1, F.raise_error(F.lit("two values for one cell")).cast("double")).otherwise(F.max(value))
-    return scores.groupBy(rows).pivot(columns, names).agg(one)
+    cells = scores.groupBy(rows, columns).agg(F.count(value).alias("__n"), F.max(value).alias("__one"))
+    alone = (F.col("__n") <= 1) | ~F.coalesce(F.col(columns).isin(*names), F.lit(False))
+    sure = cells.where(holds(alone, F.concat(F.lit("two values for one cell: "), F.coalesce(F.col(rows).cast("string"), F.lit("null")))))
+    return sure.groupBy(rows).pivot(columns, names).agg(F.max("__one"))
 
 
 def shortcut_probe(votes: DataFrame, labels: list[str], positive: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.values import holds
+
 #: Rows of a block of the comparison of pictures.
 BLOCK_ROWS = 2_048
 
@@ -33,13 +35,12 @@ def only(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def totally_joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row with the one row of `facts` of its keys; a row without facts, or with two, stops the step."""
+    """Every row with the one row of `facts` of its keys; a row without facts, or with two, stops the step, whatever of the result is read."""
     more = [c for c in facts.columns if c not in keys]
     one = facts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count("*").alias("__n"), F.first(F.struct(F.lit(1).alias("__one"), *more)).alias("__facts"))
     told = F.concat(F.lit("not one row for "), F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]))
-    joined = rows.join(one, _same(keys), "left")
-    sure = F.when(F.col("__n") == 1, F.col("__facts")).otherwise(F.raise_error(told).cast(joined.schema["__facts"].dataType))
-    return joined.withColumn("__facts", sure).select(*rows.columns, *[F.col("__facts")[c].alias(c) for c in more])
+    sure = rows.join(one, _same(keys), "left").where(holds(F.col("__n") == 1, told))
+    return sure.select(*rows.columns, *[F.col("__facts")[c].alias(c) for c in more])
 
 
 def matched(rows: DataFrame, facts: DataFrame, keys: list[str], found: str = "found") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,33 +66,71 @@ def clean_of(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str =
     return docs.join(hit, F.md5(F.col(text)) == F.col("__hit"), "left_anti")
 
 
-#: Texts that hold a run, from which on the pairs of the run are dealt to several tasks.
-HOT_RUN = 500
+def text_classes(docs: DataFrame, key: str, group: str, text: str = "text") -> DataFrame:
+    """(k, g, class): the rows with their class, the smallest key of an equal text. Keys must tell rows apart; rows with a null key, group or text are left out."""
+    rows = docs.select(F.col(key).alias("k"), F.col(group).alias("g"), F.md5(F.col(text)).alias("digest")).where("k IS NOT NULL AND g IS NOT NULL AND digest IS NOT NULL")
+    return rows.join(rows.groupBy("digest").agg(F.min("k").alias("class")), "digest").select("k", "g", "class")
+
+
+def _word_hashes(df: DataFrame, text: str) -> DataFrame:
+    return with_words(df, text).withColumn("__words", F.explode(F.array(F.transform("__words", lambda w: F.xxhash64(w)))))
+
+
+def containment_classes(docs: DataFrame, key: str, group: str, text: str = "text", n: int = 12, least: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """((a, b, shared, ratio, first_run), (k, g, class)): pairs of classes of equal texts, a < b, and the classes' members.
+
+    Classes pair that share at least `least` of the shorter text's runs of n words, unless all members of both are of one
+    group; a class with members of several groups also pairs with itself, which its members tell. first_run is the smallest
+    shared run. However often a text is repeated, it is compared once.
+    Runs meet as 64-bit hashes. A text must share t = ceil(least * runs) of its runs with a longer one, so all its runs but
+    the t - 1 most frequent ones hold a shared one: only by these it looks for longer texts, and a passage that many texts
+    hold makes candidates of those alone of which it is a good part. Strings are built for pairs that are found.
+    """
+    members = written(text_classes(docs, key, group, text))
+    kinds = members.groupBy("class").agg(F.min("g").alias("g"), (F.min("g") != F.max("g")).alias("mixed"))
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(kinds, F.col("k") == F.col("class"))
+    hashes = _word_hashes(texts, "t").select("k", "g", "mixed", hashed_runs(F.col("__words"), n).alias("runs")).where(F.size("runs") > 0)
+    hashes = written(hashes.withColumn("size", F.size("runs")))
+    run = hashes.select("k", F.explode("runs").alias("run"))
+    several = run.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
+    held = run.join(several, "run").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "run"))).alias("held"))  # a row's own runs, the rarest first
+    rows = hashes.drop("runs").join(held, "k").withColumn("need", F.ceil(F.lit(least) * F.col("size") - 1e-9))
+    rows = written(rows.select("k", "g", "mixed", "size", "need", F.transform("held", lambda x: x["run"]).alias("held")))
+    own = F.slice("held", F.lit(1), F.greatest(F.size("held") - F.greatest("need", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    asking = rows.select("k", "g", "mixed", "size", F.explode(own).alias("run"))
+    asked = rows.select(F.col("k").alias("k2"), F.col("g").alias("g2"), F.col("mixed").alias("mixed2"), F.col("size").alias("size2"), F.explode("held").alias("run"))
+    longer = F.struct("size", "k") < F.struct(F.col("size2").alias("size"), F.col("k2").alias("k"))
+    apart = F.col("mixed") | F.col("mixed2") | (F.col("g") != F.col("g2"))
+    near = asking.join(asked, "run").where(longer & apart).select("k", "k2").distinct()
+    right = rows.select(F.col("k").alias("k2"), F.col("held").alias("held2"))
+    shared = near.join(rows.select("k", "size", "need", "held"), "k").join(right, "k2").withColumn("both", F.array_intersect("held", "held2"))
+    found = shared.where((F.size("both") > 0) & (F.size("both") >= F.col("need"))).withColumn("ratio", F.size("both") / F.col("size")).where(F.col("ratio") >= least)
+    found = written(found.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), F.size("both").cast("long").alias("shared"), "ratio", "both"))
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(found.select(F.col("a").alias("k")).distinct(), "k")
+    ordered = with_words(some, "t").select("k", F.explode(F.array(F.array_sort(F.array_distinct(shingles(F.col("__words"), n))))).alias("runs"))
+    ordered = written(ordered.select("k", "runs", F.transform("runs", lambda r: F.xxhash64(F.transform(F.split(r, " "), lambda w: F.xxhash64(w)))).alias("hashes")))
+    places = ordered.select(F.col("k").alias("a"), F.posexplode("hashes").alias("place", "run"))
+    first = found.select("a", "b", F.explode("both").alias("run")).join(places, ["a", "run"]).groupBy("a", "b").agg(F.min("place").alias("place"))
+    asked = first.groupBy(F.col("a").alias("k")).agg(F.collect_set("place").alias("places"))  # of one text, no more than its runs
+    runs = ordered.join(asked, "k").select(F.col("k").alias("a"), F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.element_at("runs", p + 1).alias("first_run")))).alias("x")).select("a", "x.*")
+    pairs = found.drop("both").join(first, ["a", "b"]).join(runs, ["a", "place"]).select("a", "b", "shared", "ratio", "first_run")
+    return pairs, members
 
 
 def containment_pairs(docs: DataFrame, key: str, group: str, text: str = "text", n: int = 12, least: float = 0.1) -> DataFrame:
-    """(a, b, shared, ratio, first_run): texts of different groups, a < b, that share at least `least` of the shorter one's runs.
+    """(a, b, shared, ratio, first_run): the pairs of containment_classes() as pairs of rows of different groups, a < b, also of equal texts.
 
-    first_run is the smallest shared run. Runs meet as 64-bit hashes with their place in the order of their text's runs, so
-    that strings are read only for the pairs found; runs that one text alone has are dropped before, and the pairs of a run
-    that many texts have are dealt over tasks. Keys must tell rows apart; rows with a null key or group pair with nothing.
+    As many rows as there are pairs: of k equal texts up to k * k / 2. Use the classes where texts are repeated often.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(group).alias("g"), text).where("k IS NOT NULL AND g IS NOT NULL")
-    sorted_ = lambda df: df.withColumn("runs", F.explode(F.array(F.array_sort(F.array_distinct(shingles(F.col("__words"), n))))))
-    runs = sorted_(with_words(rows, text)).select("k", "g", F.size("runs").alias("size"), F.posexplode(F.transform("runs", lambda r: F.xxhash64(r))).alias("place", "run"))
-    runs = written(runs)
-    several = runs.groupBy("run").agg(F.count("*").alias("c")).where("c > 1").withColumn("tasks", F.ceil(F.col("c") / HOT_RUN).cast("int"))
-    runs = runs.join(several, "run")
-    left = runs.withColumn("task", F.pmod(F.xxhash64("k"), "tasks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")
-    right = runs.select("run", F.col("k").alias("b"), F.col("g").alias("g2"), F.col("size").alias("size2"), every)
-    pairs = left.join(right, ["run", "task"]).where((F.col("k") < F.col("b")) & (F.col("g") != F.col("g2")))
-    sums = pairs.groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("shared"), F.min("place").alias("place"), F.first(F.least("size", "size2")).alias("least"))
-    sums = cut(sums.withColumn("ratio", F.col("shared") / F.col("least")).where(F.col("ratio") >= least))
-    asked = sums.groupBy("a").agg(F.collect_set("place").alias("places"))  # of one text, no more than its runs
-    texts = sorted_(with_words(rows.join(asked, rows["k"] == asked["a"]), text))
-    texts = texts.select("a", F.explode(F.transform("places", lambda p: F.struct(p.alias("place"), F.element_at("runs", p + 1).alias("first_run")))).alias("x"))
-    return sums.join(texts.select("a", "x.*"), ["a", "place"]).select("a", "b", "shared", "ratio", "first_run")
+    pairs, members = containment_classes(docs, key, group, text, n, least)
+    side = lambda c, k, g: members.select(F.col("class").alias(c), F.col("k").alias(k), F.col("g").alias(g))
+    cross = pairs.withColumnRenamed("a", "c1").withColumnRenamed("b", "c2").join(side("c1", "k1", "g1"), "c1").join(side("c2", "k2", "g2"), "c2").where("g1 <> g2")
+    cross = cross.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "shared", "ratio", "first_run")
+    several = members.groupBy("class").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").select(F.col("class").alias("k"))
+    runs = with_words(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(several, "k"), "t").select("k", F.array_distinct(shingles(F.col("__words"), n)).alias("r")).where(F.size("r") > 0)
+    equal = runs.select(F.col("k").alias("c"), F.size("r").cast("long").alias("shared"), F.lit(1.0).alias("ratio"), F.array_min("r").alias("first_run"))
+    within = equal.join(side("c", "a", "g1"), "c").join(side("c", "b", "g2"), "c").where("a < b AND g1 <> g2").select("a", "b", "shared", "ratio", "first_run")
+    return cross.unionByName(within)
 
 
 def sign_code(vector: Column) -> Column:
@@ -107,21 +148,105 @@ def bands_of(code: Column, bands: int, bits: int = 64) -> list[Column]:
     width, wider = divmod(bits, bands)
     widths = [width + (i < wider) for i in range(bands)]
     starts = [sum(widths[:i]) for i in range(bands)]
-    return [F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << w) - 1)) if w else F.lit(0).cast("long") for start, w in zip(starts, widths, strict=True)]
+    cut_off = lambda start, w: code if w >= 64 else F.shiftrightunsigned(code, start).bitwiseAND(F.lit((1 << w) - 1))
+    return [cut_off(start, w) if w else F.lit(0).cast("long") for start, w in zip(starts, widths, strict=True)]
 
 
-def hamming_pairs(codes: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
-    """(a, b, distance): all pairs a < b of at most `most` different bits.
+#: Values that a code's band is looked up by at most, and codes of a block of the comparison by blocks at most.
+MOST_PROBES, MOST_BLOCK = 2_048, 65_536
+#: What a joined row costs, in pairs that a block compares.
+ROW_COST = 200
+
+
+def probes_of(width: int, radius: int) -> list[int]:
+    """The numbers of `width` bits of which `radius` at most are set; bit 63 is a long's sign."""
+    return [sum(-(1 << b) if b == 63 else 1 << b for b in bits) for r in range(min(radius, width) + 1) for bits in combinations(range(width), r)]
+
 
-    Exact by the pigeonhole rule: of most + 1 bands, one at least is equal in a near pair; bands are joined by value, and a
-    pair is kept in the first band that it shares, so no pair comes twice.
+def hamming_plan(n: int, most: int, bits: int = 64) -> tuple[int, int]:
+    """(bands, radius) by which n codes are looked up for the fewest rows, or (0, 0) where comparing blocks costs less.
+
+    With m bands, a near pair has at most floor(most / m) different bits in one of them. Rows: a probe for each band and each
+    value within that radius, and the pairs that random codes would meet by chance.
+    """
+    best = (n * n / 2 / ROW_COST + n * -(-n // MOST_BLOCK), 0, 0)
+    for m in range(1, min(most + 1, bits) + 1):
+        radius, width = most // m, bits // m
+        volume = sum(math.comb(width + (bits % m > 0), r) for r in range(radius + 1))
+        if volume <= MOST_PROBES:
+            best = min(best, (n * m * volume + n * n / 2 * m * min(1.0, volume / 2**width), m, radius))
+    return best[1], best[2]
+
+
+def code_classes(codes: DataFrame, key: str, code: str) -> DataFrame:
+    """(k, c, class): the rows with their class, the smallest key of an equal code. Rows with a null key or code are left out."""
+    rows = codes.select(F.col(key).alias("k"), F.col(code).alias("c")).where("k IS NOT NULL AND c IS NOT NULL")
+    return rows.join(rows.groupBy("c").agg(F.min("k").alias("class")), "c").select("k", "c", "class")
+
+
+def _looked_up(rows: DataFrame, most: int, bits: int, bands: int, radius: int) -> DataFrame:
+    """Pairs of rows (k, c) by multi-index hashing: one side by its bands, the other by all values within the radius of them; each pair by the first band that it is near in."""
+    own = F.array(*bands_of(F.col("c"), bands, bits))
+    width, wider = divmod(bits, bands)
+    masks = F.array(*[F.array(*[F.lit(p).cast("long") for p in probes_of(width + (i < wider), radius)]) for i in range(bands)])
+    parts = rows.select("k", "c", F.posexplode(own).alias("i", "v"))
+    probes = parts.select(F.col("k").alias("k2"), F.col("c").alias("c2"), "i", F.explode(F.transform(F.get(masks, "i"), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    apart = F.array(*[F.bit_count(b) for b in bands_of(F.col("c").bitwiseXOR(F.col("c2")), bands, bits)])
+    first = F.array_position(F.transform(apart, lambda n: n <= radius), True) - 1
+    near = parts.join(probes, ["i", "v"]).where((F.col("k") < F.col("k2")) & (hamming(F.col("c"), F.col("c2")) <= most) & (first == F.col("i")))
+    return near.select(F.col("k").alias("a"), F.col("k2").alias("b"), hamming(F.col("c"), F.col("c2")).cast("int").alias("distance"))
+
+
+def _in_blocks(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """Pairs of rows (k, c) by blocks: each two blocks meet in one task, which counts the different bits of all their pairs."""
+    kind = dict(rows.dtypes)["k"]
+    blocks = max(1, -(-n // min(MOST_BLOCK, max(2_048, -(-n // 16)))))
+    own, other = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    dealt = rows.select("k", "c", own.alias("own"), other).select("k", "c", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def met(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        left, right = part[part["own"] == key[0]], part[part["own"] == key[1]]
+        bits = lambda side: side["c"].to_numpy(np.int64).view(np.uint64)
+        out = []
+        for lo in range(0, len(left), 256):
+            far = np.bitwise_count(bits(left)[lo : lo + 256, None] ^ bits(right)[None, :])
+            at, to = np.nonzero(far <= most)
+            if key[0] == key[1]:
+                once = at + lo < to
+                at, to = at[once], to[once]
+            out.append(pd.DataFrame({"a": left["k"].to_numpy()[at + lo], "b": right["k"].to_numpy()[to], "distance": far[at, to].astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
+
+    found = dealt.groupBy("i", "j").applyInPandas(met, f"a {kind}, b {kind}, distance int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+def near_codes(codes: DataFrame, key: str, code: str, most: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """((a, b, distance), (k, c, class)): all pairs a < b of classes of equal codes with at most `most` different bits, and the classes' members.
+
+    A code that many rows have is compared once. Few wide bands are looked up within a radius, or blocks are compared,
+    whichever hamming_plan() finds cheaper for the number of codes counted.
     """
-    rows = codes.select(F.col(key).alias("k"), F.col(code).alias("c"), F.array(*bands_of(F.col(code), most + 1, bits)).alias("bands"))
-    parts = rows.select("k", "c", "bands", F.posexplode("bands").alias("i", "v"))
-    right = parts.select("i", "v", F.col("k").alias("b"), F.col("c").alias("c2"), F.col("bands").alias("bands2"))
-    first = F.array_position(F.zip_with("bands", "bands2", lambda x, y: x == y), True) - 1
-    near = parts.join(right, ["i", "v"]).where((F.col("k") < F.col("b")) & (hamming(F.col("c"), F.col("c2")) <= most) & (first == F.col("i")))
-    return near.select(F.col("k").alias("a"), "b", hamming(F.col("c"), F.col("c2")).cast("int").alias("distance"))
+    members = written(code_classes(codes, key, code))
+    rows = members.where("k = class").select("k", "c")
+    n = rows.count()
+    bands, radius = hamming_plan(n, most, bits)
+    return (_looked_up(rows, most, bits, bands, radius) if bands else _in_blocks(rows, most, n)), members
+
+
+def hamming_pairs(codes: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
+    """(a, b, distance): all pairs a < b of rows of at most `most` different bits, also those of equal codes: as many rows as there are pairs."""
+    pairs, members = near_codes(codes, key, code, most, bits)
+    side = lambda c, k: members.select(F.col("class").alias(c), F.col("k").alias(k))
+    cross = pairs.withColumnRenamed("a", "c1").withColumnRenamed("b", "c2").join(side("c1", "k1"), "c1").join(side("c2", "k2"), "c2")
+    within = side("c", "a").join(side("c", "b"), "c").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return cross.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "distance").unionByName(within)
+
+
+def hamming_links(codes: DataFrame, key: str, code: str, most: int, bits: int = 64) -> DataFrame:
+    """(u, v): links that reach what all pairs of hamming_pairs() reach: of classes, and of each row to its class."""
+    pairs, members = near_codes(codes, key, code, most, bits)
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(members.where("k <> class").select(F.col("k").alias("u"), F.col("class").alias("v")))
 
 
 #: Rows of a block of the nearest-neighbour search.

@@ -181,4 +181,4 @@ def N03_wrong_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def P03_controlled_or_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.when(F.col("c_custkey") % 6 != 0, F.concat(F.lit(" "), F.lower("c_mktsegment"))).otherwise("n/a")
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    return read(spark, sf_dir, "customer").select("c_custkey", values.must_be(cell, segments).alias("segment"))
+    return values.only_allowed(read(spark, sf_dir, "customer").select("c_custkey", cell.alias("segment")), "segment", segments)

@@ -102,11 +102,11 @@ def M10_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ANSWERS}, s AS (SELECT truth, grp, count(*) AS n, count(*) FILTER (answer = truth) AS hit FROM answers GROUP BY ALL),
 u AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY grp) - 1 AS j, count(*) OVER (PARTITION BY truth) AS groups FROM s),
-d AS (SELECT truth, b, ('0x' || substr(sha256('0:' || b || ':' || truth || ':' || j), 1, 8))::BIGINT % groups AS j FROM u, range(1, 201) t(b)),
+d AS (SELECT truth, b, ('0x' || substr(sha256('0:' || b || ':' || truth || ':' || j), 1, 8))::BIGINT % groups AS j FROM u, range(1, 2001) t(b)),
 r AS (SELECT b, truth, sum(hit) / sum(n) AS recall FROM d JOIN u USING (truth, j) GROUP BY ALL)
 SELECT b::INTEGER AS resample, round(avg(recall), 9) AS balanced_accuracy FROM r GROUP BY 1""")
 def M12_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.bootstrap(answers(spark, sf_dir), 200))
+    return rounded(metrics.bootstrap(answers(spark, sf_dir)))
 
 
 ANSWERED = ", ".join(f"count(*) FILTER (answer = '{x}') AS a_{x}" for x in LABELS)

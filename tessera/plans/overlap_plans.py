@@ -35,14 +35,21 @@ def J20_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH d AS ({runs("documents", "doc_id", more="source,")}), n AS (SELECT doc_id, count(*) AS size FROM d GROUP BY 1),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, min(x.run) AS first_run FROM d x JOIN d y ON x.run = y.run AND x.doc_id < y.doc_id AND x.source <> y.source GROUP BY ALL)
+WITH c AS (SELECT min(doc_id) AS doc_id, min(source) AS s1, max(source) AS s2 FROM documents GROUP BY text),
+d AS (SELECT * FROM ({runs("documents", "doc_id")}) JOIN c USING (doc_id)), n AS (SELECT doc_id, count(*) AS size FROM d GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, min(x.run) AS first_run FROM d x JOIN d y ON x.run = y.run AND x.doc_id < y.doc_id AND (x.s1 <> x.s2 OR y.s1 <> y.s2 OR x.s1 <> y.s1) GROUP BY ALL)
 SELECT a, b, shared, round(shared / least(m.size, n.size), 6) AS ratio, first_run FROM p JOIN n m ON m.doc_id = a JOIN n ON n.doc_id = b WHERE shared / least(m.size, n.size) >= 0.1""")
 def J21_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = overlap.containment_pairs(read(spark, sf_dir, "documents"), "doc_id", "source")
+    """Pairs of classes of equal texts, each by its smallest doc_id; J21_classes has the members."""
+    pairs, _ = overlap.containment_classes(read(spark, sf_dir, "documents"), "doc_id", "source")
     return pairs.withColumn("ratio", F.round("ratio", 6))
 
 
+@query("SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS class FROM documents")
+def J21_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.text_classes(read(spark, sf_dir, "documents"), "doc_id", "source").select(F.col("k").alias("doc_id"), F.col("g").alias("source"), "class")
+
+
 CODES = "SELECT vec_id, label, list_sum([CASE WHEN embedding[i] > 0 THEN (1::HUGEINT << (i - 1)) ELSE 0 END FOR i IN range(1, 65)])::HUGEINT AS code FROM embeddings"
 DISTANCE = "bit_count(xor(a.code, b.code))::INTEGER"
 
@@ -52,9 +59,15 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS ({CODES}) SELECT a.vec_id AS a, b.vec_id AS b, {DISTANCE} AS distance FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE {DISTANCE} <= 16""")
+WITH c AS (SELECT min(vec_id) AS vec_id, code FROM ({CODES}) GROUP BY code) SELECT a.vec_id AS a, b.vec_id AS b, {DISTANCE} AS distance FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE {DISTANCE} <= 16""")
 def J23_hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.hamming_pairs(codes(spark, sf_dir), "vec_id", "code", 16)
+    """Pairs of classes of equal codes, each by its smallest vec_id; J23_classes has the members."""
+    return overlap.near_codes(codes(spark, sf_dir), "vec_id", "code", 16)[0]
+
+
+@query(f"WITH c AS ({CODES}) SELECT vec_id, min(vec_id) OVER (PARTITION BY code) AS class FROM c WHERE code IS NOT NULL")
+def J23_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.code_classes(codes(spark, sf_dir), "vec_id", "code").select(F.col("k").alias("vec_id"), "class")
 
 
 @query(f"""
@@ -95,7 +108,7 @@ COMPONENTS = f"""WITH RECURSIVE {NEAR}, reach(u, v) AS (SELECT u, u FROM links U
 
 
 def near_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.hamming_pairs(codes(spark, sf_dir), "vec_id", "code", 18).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return overlap.hamming_links(codes(spark, sf_dir), "vec_id", "code", 18)
 
 
 @query(f"{COMPONENTS} SELECT id, component FROM parts")

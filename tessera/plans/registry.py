@@ -8,11 +8,13 @@ class Registry:
         self.queries: dict = {}
         self.oracle: dict[str, str] = {}
 
-    def query(self, sql: str | None = None):
+    def query(self, sql: str | None = None, also: tuple[str, ...] = ()):
+        """also: other names of the same query."""
         def put(f):
-            self.queries[f.__name__] = f
-            if sql:
-                self.oracle[f.__name__] = sql
+            for name in (f.__name__, *also):
+                self.queries[name] = f
+                if sql:
+                    self.oracle[name] = sql
             return f
 
         return put

@@ -59,13 +59,7 @@ def A26_U04_by_first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.array_join("values", "; ").alias("sources"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('0:' || doc_id))::INTEGER AS place FROM documents ORDER BY place LIMIT 100")
-def A31_hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(F.lit("0:"), F.col("doc_id").cast("string")), 256).alias("h")).orderBy("h").limit(100)
-    return first.select("doc_id", F.row_number().over(Window.orderBy("h")).alias("place"))
-
-
-@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('0:' || doc_id), doc_id) AS place FROM documents")
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('0:' || doc_id), doc_id) AS place FROM documents", also=("A31_hash_order",))
 def A31_hash_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.sha2(F.concat(F.lit("0:"), F.col("doc_id").cast("string")), 256)
     return placed(read(spark, sf_dir, "documents").select("doc_id"), h, F.col("doc_id"))

@@ -56,17 +56,15 @@ def T23_named_not_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, regexp_matches({PADDED}, ' ((license|licenses|licensees) (apache|apaches|apachees)|(apache|apaches|apachees) (license|licenses|licensees)|(idiot|idiots|idiotes)) ') AS named FROM documents""")
 def T24_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = rules.variants(["Apache License", "idiot"])
-    return read(spark, sf_dir, "documents").select("doc_id", rules.padded(F.col("text")).rlike(pattern).alias("named"))
+    return read(spark, sf_dir, "documents").select("doc_id", rules.names_a_variant(F.col("text"), ["Apache License", "idiot"]).alias("named"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 20) || ' ' || lang ELSE trim(left(text, 20) || ' ' || source || ' ' || lang) END AS part FROM documents WHERE left(text, 20) = trim(left(text, 20))""")
+@query("""SELECT doc_id, trim(CASE WHEN doc_id % 3 = 0 THEN text || ' ' || lang ELSE text || ' ' || source || ' ' || lang END) AS part FROM documents""")
 def T26_case_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     section = lambda label, text: F.struct(label.cast("string").alias("label"), text.alias("text"))
     case = F.col("doc_id") % 3 == 0
-    sections = F.array(section(F.when(case, "CASE REPORT"), F.left("text", F.lit(20))), section(F.lit("METHODS"), F.col("source")), section(F.when(case, "The patient"), F.col("lang")))
-    docs = read(spark, sf_dir, "documents").where(F.left("text", F.lit(20)) == F.trim(F.left("text", F.lit(20))))
-    return docs.select("doc_id", rules.case_part(sections, "(?i)case|patient").alias("part"))
+    sections = F.array(section(F.when(case, "CASE REPORT"), F.col("text")), section(F.lit("METHODS"), F.col("source")), section(F.when(case, "The patient"), F.col("lang")))
+    return read(spark, sf_dir, "documents").select("doc_id", rules.case_part(sections, "(?i)case|patient").alias("part"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN contains({PADDED}, ' apache license ') THEN 'apache license' END, CASE WHEN contains({PADDED}, ' idiot ') THEN 'idiot' END, CASE WHEN regexp_matches(text, '\\bMIT\\b') THEN 'MIT' END], lambda x: x IS NOT NULL), '; ') AS found FROM documents""")

@@ -112,19 +112,6 @@ def A19_tag_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "n", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "base_rate", "lift")])
 
 
-@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 10 > 6 GROUP BY 1) SELECT sum(n)::BIGINT AS cases, count(*) FILTER (n >= 30) AS classes, sum(n) >= 80 AND count(*) FILTER (n >= 30) >= 3 AS build FROM c""")
-def A21_go(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.go(read(spark, sf_dir, "documents").where("doc_id % 10 > 6"), "lang", 30, 3, 80)
-
-
-@query("""WITH a AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN NULL ELSE role END AS answer FROM conversations)
-SELECT conv_id FROM a GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT answer) = 1 AND count(answer) = count(*) AND min(answer) <> 'assistant'""")
-def A23_same_wrong_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("turn") % 5 != 4, F.col("role")).alias("answer"))
-    sums = a.groupBy("conv_id").agg(F.count("*").alias("n"), F.count("answer").alias("given"), F.count_distinct("answer").alias("kinds"), F.min("answer").alias("answer"))
-    return sums.where("n >= 2 AND kinds = 1 AND given = n AND answer <> 'assistant'").select("conv_id")
-
-
 @query("""SELECT lang, array_to_string(list_sort(list(DISTINCT source)), '; ') AS sources, count(*) FILTER (doc_id % 10 < 6) AS train, count(*) FILTER (doc_id % 10 = 6) AS val, count(*) FILTER (doc_id % 10 > 6) AS test FROM documents GROUP BY 1""")
 def A25_index_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.col("doc_id") % 10
@@ -137,12 +124,6 @@ def A30_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.hash_sample(read(spark, sf_dir, "documents"), "lang", "doc_id", "7", 10)
 
 
-@query("SELECT source, n FROM (SELECT source, count(*) AS n, min(doc_id) AS first FROM documents WHERE lang = 'en' GROUP BY 1) ORDER BY n DESC, first LIMIT 6")
-def A34_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = read(spark, sf_dir, "documents").where("lang = 'en'").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return sums.orderBy(F.desc("n"), "first").limit(6).select("source", "n")
-
-
 @query(f"""WITH {RECORDS} SELECT id, {GAP.format("balance")} AS gap, CASE WHEN {GAP.format("segment")} THEN 'not recorded' WHEN upper(trim(segment)) IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN upper(trim(segment)) END AS segment,
     CASE WHEN {GAP.format("age")} THEN NULL WHEN try_cast(age AS INTEGER) IS NULL THEN 'not a whole number' WHEN try_cast(age AS INTEGER) NOT BETWEEN 0 AND 120 THEN 'outside 0 to 120' END AS age_flag,
     CASE WHEN {GAP.format("size")} THEN NULL WHEN size::DOUBLE = 0 THEN 'zero' WHEN size::DOUBLE < 0 THEN 'negative' END AS size_flag, try_cast(trim(balance) AS DOUBLE) AS number FROM records""")
@@ -207,18 +188,18 @@ def U02_A29_union_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = first_of_each(both, ["sha"], [F.asc("place"), F.asc("id")])
     return running(first.select("origin", "id", F.lit(1).alias("one")), ["origin"], ["id"], "one", "number").select("origin", "id", F.col("number").cast("int").alias("number"))
 
-@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS cases, count(*) FILTER (n >= 200) AS classes, sum(n) >= 800 AND count(*) FILTER (n >= 200) >= 3 AS build FROM c""")
+@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS cases, count(*) FILTER (n >= 200) AS classes, sum(n) >= 800 AND count(*) FILTER (n >= 200) >= 3 AS build FROM c""", also=("A21_go",))
 def A21_go_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.go(read(spark, sf_dir, "documents"), "lang", 200, 3, 800)
 
 
-@query("""SELECT md5(text) AS digest, min(lang) AS answer, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT lang) = 1 AND min(lang) <> 'en'""")
+@query("""SELECT md5(text) AS digest, min(lang) AS answer, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT lang) = 1 AND min(lang) <> 'en'""", also=("A23_same_wrong_answer",))
 def A23_same_wrong_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = read(spark, sf_dir, "documents").select(F.md5("text").alias("digest"), F.lit("en").alias("truth"), F.col("lang").alias("answer"))
     return reports.same_wrong_answer(answers, "digest")
 
 
 @query("""WITH s AS (SELECT lang, source, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL)
-SELECT lang, source, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS place FROM s) WHERE place <= 6""")
+SELECT lang, source, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS place FROM s) WHERE place <= 6""", also=("A34_most_common",))
 def A34_most_common_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.most_common(read(spark, sf_dir, "documents"), "lang", "source", "doc_id", 6)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.functions import values
-from tessera.operators import answers, dictionary, graph, metrics, overlap, passages, profile, splits
+from tessera.operators import answers, dictionary, graph, metrics, overlap, passages, profile, selection, splits
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -205,6 +205,36 @@ def test_hamming_pairs_against_all_pairs(spark):
     assert got == {(i, j): d for i in range(80) for j in range(i + 1, 80) if (d := bin(codes[i] ^ codes[j]).count("1")) <= 6}
 
 
+@pytest.mark.parametrize("most", [0, 2, 5, 10])
+def test_codes_are_looked_up_or_compared_in_blocks_alike(spark, most, monkeypatch):
+    rng = random.Random(most)
+    signed = lambda c: c - 2**64 if c >= 2**63 else c
+    codes = [rng.getrandbits(64) for _ in range(60)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most + 2))) for c in codes] + codes[:3] * 5
+    df = spark.createDataFrame([(i, signed(c)) for i, c in enumerate(codes)] + [(None, 5), (999, None)], "k long, c long")
+    wanted = {(i, j): d for i in range(len(codes)) for j in range(i + 1, len(codes)) if (d := (codes[i] ^ codes[j]).bit_count()) <= most}
+    first = {c: i for i, c in reversed(list(enumerate(codes)))}
+    for bands, block in ((0, 65_536), (0, 16), (2, 0), (3, 0), (most + 1, 0)):
+        monkeypatch.setattr(overlap, "MOST_BLOCK", block or 65_536)
+        monkeypatch.setattr(overlap, "hamming_plan", lambda n, m, bits, b=bands: (b, m // b if b else 0))
+        if bands and len(overlap.probes_of(-(-64 // bands), most // bands)) > 20_000:
+            continue
+        pairs, members = overlap.near_codes(df, "k", "c", most)
+        assert {(r.a, r.b): r.distance for r in pairs.collect()} == {p: d for p, d in wanted.items() if all(first[codes[i]] == i for i in p)}
+        assert {r.k: r["class"] for r in members.collect()} == {i: first[c] for i, c in enumerate(codes)}
+    got = overlap.hamming_pairs(df, "k", "c", most).collect()
+    assert {(r.a, r.b): r.distance for r in got} == wanted and len(got) == len(wanted)
+    assert overlap.near_codes(df.where("false"), "k", "c", most)[0].count() == 0
+
+
+def test_the_plan_for_codes_follows_their_number():
+    assert overlap.hamming_plan(10**9, 3) [0] > 0 and overlap.hamming_plan(1_000, 16) == (0, 0)
+    for n, most, bits in ((10**8, 10, 256), (10**9, 3, 64), (10**9, 6, 64)):  # a tenth at most of what equal bands would meet
+        bands, radius = overlap.hamming_plan(n, most, bits)
+        met = lambda m, r: m * sum(math.comb(bits // m, i) for i in range(r + 1)) / 2 ** (bits // m)
+        assert bands == 0 or met(bands, radius) * 10 <= met(most + 1, 0) or bands == most + 1
+
+
 def counted(rows):
     own = {}
     for g, y in rows:
@@ -402,8 +432,7 @@ def test_contamination_judges_rows_by_their_text(spark):
     assert overlap.clean_of(docs.where("false"), items, "run", "q").count() == 0 and overlap.clean_of(docs, items.where("false"), "run", "q").count() == 6
 
 
-def test_containment_pairs_against_a_plain_version(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "HOT_RUN", 3)  # runs of more texts are dealt
+def test_containment_pairs_against_a_plain_version(spark):
     rng = random.Random(6)
     shared = [" ".join(rng.choices("abcdefgh", k=20)) for _ in range(6)]
     docs = [(i, rng.choice("xyz"), " ".join(rng.sample(shared, rng.randint(0, 3)) + [f"u{i} v{i}"])) for i in range(40)]
@@ -417,6 +446,26 @@ def test_containment_pairs_against_a_plain_version(spark, monkeypatch):
                 wanted[a, b] = (len(both), " ".join(min(both, key=" ".join)))
     got = overlap.containment_pairs(spark.createDataFrame(docs, "k long, g string, text string"), "k", "g").collect()
     assert {(r.a, r.b): (r.shared, r.first_run) for r in got} == wanted and len(got) == len(wanted) > 100
+    df = spark.createDataFrame(docs, "k long, g string, text string").withColumn("class", F.lit("clash"))
+    pairs, members = overlap.containment_classes(df, "k", "g")
+    of = {r.k: r["class"] for r in members.collect()}
+    assert of == {i: min(j for j, h, u in docs if u == t and h) for i, g, t in docs if g and t is not None}
+    inside = {(a, b) for a, b in wanted if of[a] == of[b]}
+    assert {(of[a], of[b]) if of[a] < of[b] else (of[b], of[a]) for a, b in set(wanted) - inside} == {(r.a, r.b) for r in pairs.collect()}
+    gone = set()
+    for b in sorted({b for _, b in wanted}):
+        if any(a not in gone for a, x in wanted if x == b):
+            gone.add(b)
+    assert {r.k for r in selection.told_again(df, "k", "g").collect()} == gone
+    assert overlap.containment_classes(df.where("false"), "k", "g")[0].count() == 0 and selection.told_again(df.where("false"), "k", "g").count() == 0
+
+
+def test_equal_texts_make_rows_not_pairs(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.range(5_000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("g"), F.when(F.col("id") == 4_000, text + " and more").otherwise(text).alias("text"))
+    pairs, members = overlap.containment_classes(df, "k", "g")
+    assert [(r.a, r.b, r.shared) for r in pairs.collect()] == [(0, 4_000, 19)] and members.count() == 5_000
+    assert {r.k for r in selection.told_again(df, "k", "g").collect()} == {i for i in range(5_000) if i % 3}
 
 
 def test_nearest_against_all_pairs(spark, monkeypatch):
@@ -461,6 +510,13 @@ def test_joins_with_null_and_repeated_keys(spark):
     for rest in (a, spark.createDataFrame([(4, "q")], "k int, v string")):
         with pytest.raises(Exception, match="not one row for"):
             joins.totally_joined(rest, b, ["k"]).collect()
+        for facts in (b, b.select("k")):  # also where no fact is read, and where there is none but the key
+            with pytest.raises(Exception, match="not one row for"):
+                joins.totally_joined(rest, facts, ["k"]).count()
+            with pytest.raises(Exception, match="not one row for"):
+                joins.totally_joined(rest, facts, ["k"]).select("v").collect()
+    with pytest.raises(Exception, match="not one row for"):
+        joins.recomputed(b.select("k"), b, ["k"], lambda df: df.withColumn("w", F.lit(1))).count()
     assert rows(joins.matched(a, b, ["k"]).where("NOT found").select("k")) == [(3,)]
     assert rows(joins.join_problems(a, b, ["k"])) == [(1, "twice in the first"), (3, "only in the first"), (4, "only in the second"), (4, "twice in the second")]
     assert [r for r in rows(joins.join_problems(a, b, ["k"], subset=True)) if "only" in r[1]] == [(3, "only in the first")]
@@ -558,3 +614,67 @@ def test_vocabulary_stops_the_step_and_folders_are_replaced(spark, tmp_path):
     tables.write_partitioned(first, path, "k")
     tables.write_partitioned(spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int"), path, "k")
     assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_guards_hold_whatever_is_read(spark):
+    from tessera.functions import values
+    from tessera.operators import evaluation
+
+    run = lambda *rows: spark.createDataFrame(rows, "k int, truth string, grp int, answer string")
+    a = run((1, "x", 1, "x"), (2, "y", 2, "x"))
+    assert evaluation.paired_answers(a, run((1, "x", 1, "y"), (2, "y", 2, "y")), "k").count() == 2
+    for other in (run((1, "x", 1, "y"), (2, "x", 2, "y")), run((1, "x", 1, "y"), (1, "x", 1, "y"), (2, "y", 2, "y"))):
+        for read in (lambda df: df.count(), lambda df: df.select("a", "b").collect(), lambda df: df.select("k").collect()):
+            with pytest.raises(Exception, match="another class: 2|answered twice: 1"):
+                read(evaluation.paired_answers(a, other, "k"))
+    cells = spark.createDataFrame([("r", "m", 1.0), ("r", "n", 2.0), ("s", "z", 3.0), ("s", "z", 3.0)], "row string, model string, v double")
+    assert sorted(map(tuple, evaluation.table_of_runs(cells, "row", "model", "v", ["m", "n"]).collect())) == [("r", 1.0, 2.0), ("s", None, None)]
+    for read in (lambda df: df.count(), lambda df: df.select("row", "n").collect()):
+        with pytest.raises(Exception, match="two values for one cell"):
+            read(evaluation.table_of_runs(cells.unionByName(cells.where("model = 'm'")), "row", "model", "v", ["m", "n"]))
+    words = spark.createDataFrame([(1, " a "), (2, "n/a"), (3, "zz")], "k int, x string")
+    assert [r.x for r in values.only_allowed(words.where("k < 3"), "x", ["A"]).orderBy("k").collect()] == ["A", "not recorded"]
+    with pytest.raises(Exception, match="not in the vocabulary: zz"):
+        values.only_allowed(words, "x", ["A"]).select("k").count()
+
+
+def test_phrases_are_found_in_one_pass(spark):
+    import time
+
+    from tessera.operators import phrases, rules
+
+    rng = random.Random(3)
+    listed = [["a"], ["a", "b"], ["b", "a", "b"], ["a", "b", "a", "b", "c"], ["c"], [], ["zz", "a"], ["a", "b"]]
+    texts = [[rng.choice("abcd") for _ in range(rng.randrange(0, 30))] for _ in range(60)] + [None, [], ["zz"], ["a", None, "b"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, w array<string>")
+    got = {r.i: [tuple(s) for s in r.x] for r in df.select("i", phrases.spans(F.col("w"), listed).alias("x")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == sorted((k + 1, k + 1 + len(p), n) for n, p in enumerate(listed) if p for k in range(len(t or []) - len(p) + 1) if t[k : k + len(p)] == p)
+    assert [r.x for r in df.limit(2).select(phrases.spans(F.col("w"), []).alias("x")).collect()] == [[], []]
+    marked = df.where("w IS NOT NULL").select("w", phrases.mask(F.col("w"), phrases.spans(F.col("w"), ["a b", "c"])).alias("m"), rules.without_phrases(F.col("w"), ["a b", "c"]).alias("r")).collect()
+    for r in marked:
+        gone = [w == "c" or r.w[i : i + 2] == ["a", "b"] or i > 0 and r.w[i - 1 : i + 1] == ["a", "b"] for i, w in enumerate(r.w)]
+        assert r.m == gone and r.r == [w for w, g in zip(r.w, gone, strict=True) if not g]
+    # Long texts, full of hits: the cost follows the number of words.
+    long = spark.createDataFrame([(["all", "rights", "reserved", "under", "no", "license"] * 20_000,)], "w array<string>")
+    begun = time.time()
+    out = long.select(F.size(rules.without_phrases(F.col("w"), ["all rights reserved"])).alias("n"), rules.named_not_negated(F.col("w"), ["license"], ["under", "no"]).alias("x")).first()
+    assert (out.n, out.x) == (60_000, False) and time.time() - begun < 30
+
+
+def test_negation_and_variants(spark):
+    from tessera.operators import rules
+
+    said = {"no melanoma": False, "no sign of any other kind of melanoma": True, "no sign of a kind of melanoma": False, "melanoma, no": True, "no melanoma but melanoma then later on a melanoma": True, "": False, None: False}
+    df = step_words(spark, said)
+    assert {r.t: r.x for r in df.select("t", rules.named_not_negated(F.col("w"), ["melanoma"], ["no"]).alias("x")).collect()} == said
+    names = ["Basal naevus", "lentigo", "keratosis"]
+    written = {"basal nevi": True, "naevus basal": True, "Nevuses basals": True, "basal": False, "lentigines": True, "lentigos": True, "keratoses": True, "basal cell nevus": False, "a keratosis's": True, "": False, None: False}
+    df = spark.createDataFrame([(t,) for t in written], "t string")
+    assert {r.t: r.x for r in df.select("t", rules.names_a_variant(F.col("t"), names).alias("x")).collect()} == written
+
+
+def step_words(spark, texts):
+    from tessera.functions.text import plain_words
+
+    return spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", plain_words(F.col("t")))
