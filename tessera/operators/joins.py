@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,21 +96,34 @@ def finished_runs(runs: DataFrame, by: list[str], run: str, status: str = "statu
 def same_pictures(a: DataFrame, b: DataFrame, key: str, most_bits: int = 16, most_colour: float = 5.0, most_shape: float = 0.02) -> DataFrame:
     """(a, b, bits): pictures (key, code, colour, width, height) of two tables that look the same: few different bits, near mean colours and shapes.
 
-    The tables meet in blocks of BLOCK_ROWS rows, however many that makes, so that every task compares bounded parts of both.
-    With one table given twice, each pair comes in both orders and a picture meets itself. Pictures without a code meet none.
+    The tables meet in blocks of BLOCK_ROWS rows as packed arrays: a task counts the different bits of all pairs of two
+    blocks at once, and looks at the colours and shapes of those alone whose bits are near. With one table given twice, each
+    pair comes in both orders and a picture meets itself. Pictures with a null among these columns meet none.
     """
-    a, b = a.where("code IS NOT NULL"), b.where("code IS NOT NULL")
+    columns, kind = ["code", "colour", "width", "height"], dict(a.dtypes)[key]
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in columns])
+    a, b = a.where(whole), b.where(whole)
     m, n = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (a, b))
 
-    def deal(df: DataFrame, side: int, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        named = [F.col(c).alias(f"{c}{side}") for c in (key, "code", "colour", "width", "height")]
-        return df.select(*named, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
-
-    bits = F.bit_count(F.col("code1").bitwiseXOR(F.col("code2")))
-    colour = F.sqrt(F.aggregate(F.zip_with("colour1", "colour2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("colour1"))
-    shape = F.abs(F.col("width1") * F.col("height2") - F.col("width2") * F.col("height1")) <= most_shape * F.col("width2") * F.col("height1")
-    both = deal(a, 1, "i", m, "j", n).join(deal(b, 2, "j", n, "i", m), ["i", "j"])
-    return both.where(bits <= most_bits).where(shape & (colour <= most_colour)).select(F.col(f"{key}1").alias("a"), F.col(f"{key}2").alias("b"), bits.cast("int").alias("bits"))
+    def deal(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.select(F.col(key).alias("key"), *columns, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    def met(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "bits": []})
+        codes = lambda df: df["code"].to_numpy(np.int64).view(np.uint64)
+        bits = np.bitwise_count(codes(x)[:, None] ^ codes(y)[None, :])
+        i, j = np.nonzero(bits <= most_bits)
+        size = lambda df, c, at: df[c].to_numpy(float)[at]
+        other = size(y, "width", j) * size(x, "height", i)
+        near = np.abs(size(x, "width", i) * size(y, "height", j) - other) <= most_shape * other
+        i, j = i[near], j[near]
+        colours = lambda df, at: np.array(df["colour"].to_list(), float).reshape(len(df), -1)[at]
+        near = np.sqrt(((colours(x, i) - colours(y, j)) ** 2).mean(1)) <= most_colour
+        i, j = i[near], j[near]
+        return pd.DataFrame({"a": x["key"].to_numpy()[i], "b": y["key"].to_numpy()[j], "bits": bits[i, j].astype(np.int32)})
+
+    return deal(a, "i", m, "j", n).groupBy("i", "j").cogroup(deal(b, "j", n, "i", m).groupBy("i", "j")).applyInPandas(met, f"a {kind}, b {kind}, bits int")
 
 
 def violations(checks: dict[str, DataFrame]) -> DataFrame:

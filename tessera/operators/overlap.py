@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import plain_words, shingles
-from tessera.sources.tables import cut, written
+from tessera.sources.tables import cut, placed, written
 
 
 def with_words(df: DataFrame, text: str) -> DataFrame:
@@ -249,8 +251,10 @@ def hamming_links(codes: DataFrame, key: str, code: str, most: int, bits: int =
     return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(members.where("k <> class").select(F.col("k").alias("u"), F.col("class").alias("v")))
 
 
-#: Rows of a block of the nearest-neighbour search.
-BLOCK_ROWS = 2_048
+#: Rows of a block of the nearest-neighbour search, blocks of a side at most (beyond them blocks grow), and pivots that bound distances.
+BLOCK_ROWS, MOST_BLOCKS, PIVOTS = 2_048, 50_000, 16
+#: Rows that pivots are chosen from, and blocks that a block of probes meets before the others are bounded.
+_PIVOT_ROWS, _FIRST_BLOCKS = 1_024, 2
 
 
 def _codes_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,37 +267,118 @@ def _squares_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(far, 0), 9) + 0.0
 
 
+@dataclass(frozen=True)
+class _Metric:
+    """Distances of 64-bit codes (different bits) or of equally long vectors (squared), and the metric behind them, which obeys the triangle inequality."""
+
+    codes: bool
+
+    def matrix(self, cells: pd.Series) -> np.ndarray:
+        return cells.to_numpy(np.int64).view(np.uint64) if self.codes else np.stack(cells.to_numpy()).astype(np.float64)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (_codes_apart if self.codes else _squares_apart)(a, b)
+
+    def length(self, distance: np.ndarray) -> np.ndarray:
+        return distance if self.codes else np.sqrt(distance)
+
+
+def _chosen_pivots(base: DataFrame, metric: _Metric) -> np.ndarray:
+    """Of a bounded sample, rows that are far from one another, one after another."""
+    rows = metric.matrix(base.orderBy(F.xxhash64("key"), "key").limit(_PIVOT_ROWS).toPandas()["cell"])
+    nearest, places = np.full(len(rows), np.inf), [0]
+    while len(places) < min(PIVOTS, len(rows)):
+        nearest = np.minimum(nearest, metric.apart(rows[places[-1:]], rows)[0])
+        places.append(int(nearest.argmax()))
+    return rows[places]
+
+
+def _in_order(df: DataFrame, pivots: np.ndarray, metric: _Metric, rows: int) -> DataFrame:
+    """(key, cell, far, block): rows in order of their nearest pivot and their distance from it, cut into blocks; far: the distances from all pivots."""
+    @F.pandas_udf("array<double>")
+    def far(cells: pd.Series) -> pd.Series:
+        return pd.Series(list(metric.length(metric.apart(metric.matrix(cells), pivots))) if len(cells) else [], dtype=object)
+
+    known = df.select("key", "cell", F.explode(F.array(far("cell"))).alias("far"))
+    least = F.array_min("far")
+    found = placed(known, F.array_position("far", least), least, F.col("key"))
+    return written(found.select("key", "cell", "far", F.floor((F.col("place") - 1) / rows).cast("int").alias("block")))
+
+
+def _spans(blocks: DataFrame) -> DataFrame:
+    """(block, n, low, high): of each block the rows, and the smallest and largest distance from each pivot."""
+    ends = lambda f: F.array(*[f(F.get("far", F.lit(i))) for i in range(PIVOTS)])
+    return blocks.groupBy("block").agg(F.count("*").alias("n"), ends(F.min).alias("low"), ends(F.max).alias("high"))
+
+
+def _bounded(low: np.ndarray, high: np.ndarray, first: bool):
+    """Blocks (i, low, high, reach) of probes to pairs (i, j) with blocks of base: the first ones, or all others within reach."""
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, lo, hi, reach in batch[["i", "low", "high", "reach"]].itertuples(index=False):
+                lo, hi = np.asarray(lo, float), np.asarray(hi, float)
+                gap = np.nanmax(np.maximum(low - hi, lo - high), axis=1).clip(0)  # no row of the one is nearer to one of the other
+                middle = np.nanmax(np.abs(low + high - lo - hi), axis=1)
+                order = np.lexsort((middle, gap))
+                near = order[:_FIRST_BLOCKS] if first else order[_FIRST_BLOCKS:][gap[order[_FIRST_BLOCKS:]] <= reach]
+                out.append(pd.DataFrame({"i": np.full(len(near), i, np.int32), "j": near.astype(np.int32)}))
+            yield pd.concat(out) if out else pd.DataFrame({"i": np.zeros(0, np.int32), "j": np.zeros(0, np.int32)})
+
+    return of
+
+
 def nearest(probes: DataFrame, base: DataFrame, key: str, column: str, k: int, codes: bool = False) -> DataFrame:
     """(key, other, distance, n): of each probe the k rows of base of least distance, ties to the smaller key; never the probe's own key.
 
-    The distance is that of 64-bit codes (different bits) or of equally long vectors (squared, to nine digits). Both sides
-    are dealt in blocks of BLOCK_ROWS, however many that makes; each pair of blocks is one matrix and keeps k rows a probe
-    before they are merged. Rows with a null key, code or vector take no part.
+    The distance is that of 64-bit codes (different bits) or of equally long vectors (squared, to nine digits). Rows of both
+    sides are put in order of their nearest pivot and cut into blocks. Each block of probes meets the blocks of base that its
+    distances from the pivots bound least; the k-th distances found there bound the rest: by the triangle inequality a block
+    whose bound is beyond them holds none of the k, and is never sent. Where pivots can't tell rows apart, all blocks meet.
+    Rows with a null key, code or vector take no part. Keys must tell the rows of each side apart.
     """
-    kind = dict(probes.dtypes)[key]
+    kind, metric = dict(probes.dtypes)[key], _Metric(codes)
     known = lambda df: df.select(F.col(key).alias("key"), F.col(column).alias("cell")).where("key IS NOT NULL AND cell IS NOT NULL")
     probes, base = known(probes), known(base)
-    m, n = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (probes, base))
-
-    def deal(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return df.select("key", "cell", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
-
-    def matrix(cells: pd.Series) -> np.ndarray:
-        return cells.to_numpy(np.int64).view(np.uint64) if codes else np.stack(cells.to_numpy()).astype(np.float64)
+    m, n = probes.count(), base.count()
 
     def best(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(b):
-            return pd.DataFrame({"key": [], "other": [], "distance": []})
+            return pd.DataFrame({"i": [], "key": [], "other": [], "distance": []})
         b = b.sort_values("key")
-        far = (_codes_apart if codes else _squares_apart)(matrix(p["cell"]), matrix(b["cell"]))
-        keys, others = p["key"].to_numpy(), b["key"].to_numpy()
-        far[keys[:, None] == others[None, :]] = np.inf
-        near = np.argsort(far, axis=1, kind="stable")[:, :k]  # base rows stand in the order of keys
-        rows = np.repeat(np.arange(len(p)), near.shape[1])
-        out = pd.DataFrame({"key": keys[rows], "other": others[near.ravel()], "distance": far[rows, near.ravel()]})
+        cells, others, out = metric.matrix(b["cell"]), b["key"].to_numpy(), []
+        for lo in range(0, len(p), BLOCK_ROWS):
+            part = p.iloc[lo : lo + BLOCK_ROWS]
+            far, keys = metric.apart(metric.matrix(part["cell"]), cells), part["key"].to_numpy()
+            far[keys[:, None] == others[None, :]] = np.inf
+            near = np.argsort(far, axis=1, kind="stable")[:, :k]  # base rows stand in the order of keys
+            rows = np.repeat(np.arange(len(part)), near.shape[1])
+            out.append(pd.DataFrame({"i": part["i"].to_numpy()[rows], "key": keys[rows], "other": others[near.ravel()], "distance": far[rows, near.ravel()]}))
+        out = pd.concat(out)
         return out[np.isfinite(out["distance"])]
 
-    left, right = deal(probes, "i", m, "j", n).groupBy("i", "j"), deal(base, "j", n, "i", m).groupBy("i", "j")
-    part = left.cogroup(right).applyInPandas(best, f"key {kind}, other {kind}, distance double")
+    schema = f"i int, key {kind}, other {kind}, distance double"
     order = Window.partitionBy("key").orderBy("distance", "other")
-    return part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).withColumnRenamed("key", key)
+    merged = lambda df: df.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    if max(m, n) <= BLOCK_ROWS:  # a block of either side
+        one = lambda df: df.select("key", "cell", F.lit(0).alias("i"), F.lit(0).alias("j")).groupBy("i", "j")
+        return merged(one(probes).cogroup(one(base)).applyInPandas(best, schema)).select(F.col("key").alias(key), "other", "distance", "n")
+    pivots = _chosen_pivots(base, metric)
+    left, right = (_in_order(df, pivots, metric, max(BLOCK_ROWS, -(-size // MOST_BLOCKS))) for df, size in ((probes, m), (base, n)))
+    spans = _spans(right).orderBy("block").toPandas()  # MOST_BLOCKS rows, or few more
+    low, high = (np.array(spans[c].to_list(), float).reshape(len(spans), -1) for c in ("low", "high"))
+    own = cut(_spans(left).withColumnRenamed("block", "i"))
+
+    def met(pairs: DataFrame) -> DataFrame:
+        rows = lambda df, side: df.join(pairs, df["block"] == pairs[side]).select("key", "cell", F.col("i").alias("i"), F.col("j").alias("j")).groupBy("i", "j")  # noqa: E731  both sides have columns of their own
+        return rows(left, "i").cogroup(rows(right, "j")).applyInPandas(best, schema)
+
+    first = cut(own.withColumn("reach", F.lit(0.0)).mapInPandas(_bounded(low, high, True), "i int, j int"))
+    found = written(met(first))
+    kth = found.groupBy("i", "key").agg(F.get(F.sort_array(F.collect_list("distance")), F.lit(k - 1)).alias("kth"))  # of _FIRST_BLOCKS * k at most
+    reach = kth.groupBy(F.col("i").alias("own")).agg(F.count("kth").alias("sure"), F.max("kth").alias("kth"))
+    length = F.col("kth") if codes else F.sqrt(F.col("kth") + 1e-8) + 1e-6  # more than rounding may have taken off
+    within = F.when(F.col("sure") == F.col("n"), length).otherwise(float("inf"))
+    rest = own.join(reach, own["i"] == reach["own"], "left").withColumn("reach", F.coalesce(within, F.lit(float("inf")))).select("i", "low", "high", "reach")
+    rest = cut(rest.mapInPandas(_bounded(low, high, False), "i int, j int"))
+    return merged(found.unionByName(met(rest))).select(F.col("key").alias(key), "other", "distance", "n")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import short_list
-from tessera.operators import reports
+from tessera.operators import constraints, joins, reports
+from tessera.operators.overlap import text_classes
 from tessera.plans.registry import Registry
 from tessera.sources.tables import placed, read
 
@@ -78,23 +79,23 @@ def J01_J08_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_mktsegment", "n_name")
 
 
-@query("""WITH p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id AND a.source <> b.source)
-SELECT a, b FROM p WHERE a IN (SELECT doc_id FROM labels) AND b IN (SELECT doc_id FROM labels)""")
+@query("""WITH k AS (SELECT doc_id, source, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), g AS (SELECT text, min(doc_id) AS class FROM k GROUP BY 1 HAVING count(DISTINCT source) > 1)
+SELECT class, doc_id, source FROM k JOIN g USING (text)""")
 def J04_linked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labelled = read(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha")), read(spark, sf_dir, "labels").select("doc_id").distinct()
-    known = docs.join(labelled, "doc_id", "left_semi")
-    other = known.select(F.col("doc_id").alias("b"), F.col("source").alias("s2"), "sha")
-    return known.join(other, "sha").where((F.col("doc_id") < F.col("b")) & (F.col("source") != F.col("s2"))).select(F.col("doc_id").alias("a"), "b")
+    """Labelled documents of equal texts from several sources: a row a document with its class, not a row a pair."""
+    known = joins.only(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ["doc_id"])
+    members = text_classes(known, "doc_id", "source")
+    several = members.groupBy("class").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").select("class")
+    return members.join(several, "class").select("class", F.col("k").alias("doc_id"), F.col("g").alias("source"))
 
 
-@query("""WITH a AS (SELECT doc_id AS q, source AS g, lang FROM documents WHERE doc_id % 6 <> 0), b AS (SELECT doc_id AS q, CASE WHEN doc_id % 25 = 0 THEN 'other' ELSE source END AS g, lang FROM documents WHERE doc_id % 10 <> 0)
-SELECT q, CASE WHEN b.g IS NULL THEN 'only in the first' WHEN a.g IS NULL THEN 'only in the second' ELSE 'another group' END AS problem FROM a FULL JOIN b USING (q) WHERE b.g IS NULL OR a.g IS NULL OR a.g <> b.g""")
+@query("""WITH a AS (SELECT doc_id AS q, source AS g, lang FROM documents WHERE doc_id % 6 <> 0), b AS (SELECT doc_id AS q, CASE WHEN doc_id % 25 = 0 THEN 'other' ELSE source END AS g, lang FROM documents WHERE doc_id % 10 <> 0 AND lang <> 'fr')
+SELECT q::VARCHAR AS item, CASE WHEN b.g IS NULL THEN 'only in the first' WHEN a.g IS NULL THEN 'only in the second' ELSE 'another group' END AS problem FROM a FULL JOIN b USING (q) WHERE b.g IS NULL OR a.g IS NULL OR a.g <> b.g
+UNION ALL SELECT lang, 'the answer option is only in the first' FROM (SELECT DISTINCT lang FROM a) ANTI JOIN b USING (lang)""")
 def J18_view_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, i = read(spark, sf_dir, "documents"), F.col("doc_id")
-    a = docs.where(i % 6 != 0).select(i.alias("q"), F.col("source").alias("g"))
-    b = docs.where(i % 10 != 0).select(i.alias("q"), F.when(i % 25 == 0, "other").otherwise(F.col("source")).alias("g2"))
-    problem = F.when(F.col("g2").isNull(), "only in the first").when(F.col("g").isNull(), "only in the second").when(F.col("g") != F.col("g2"), "another group")
-    return a.join(b, "q", "full_outer").select("q", problem.alias("problem")).where("problem IS NOT NULL")
+    docs, i = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "q"), F.col("q")
+    b = docs.where((i % 10 != 0) & (F.col("lang") != "fr")).withColumn("source", F.when(i % 25 == 0, "other").otherwise(F.col("source")))
+    return constraints.view_problems(docs.where(i % 6 != 0), b, "q", "source", "lang")
 
 
 @query("SELECT source, lang, n_chars, count(*) AS runs, min(doc_id) AS first FROM documents GROUP BY ALL HAVING count(*) > 1")

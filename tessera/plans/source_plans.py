@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import markup, passages
+from tessera.operators import constraints, graph, joins, markup, passages, splits
+from tessera.operators.steps import Step, Steps
 from tessera.plans.registry import Registry
 from tessera.sources.json_array import read_json_array, write_json_array
 from tessera.sources.published import publish, read_published
@@ -76,3 +77,53 @@ def N06_N11_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = markup.section_texts(read(spark, sf_dir, "pages"), ["page_id"])
     found = passages.library(sections, read(spark, sf_dir, "benchmark"), "page_id", [F.asc("page_id")], section="section")
     return found.select("page_id", "section", "number", "passage_id", "words", "sha")
+
+
+FILES = """f AS (SELECT doc_id AS line, CASE WHEN doc_id % 50 = 0 THEN 'dev' WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, lang AS label, sha256(text) AS sha, doc_id FROM documents),
+t AS (SELECT line, split, CASE WHEN doc_id % 41 = 0 THEN '../' || doc_id || '.jpg' ELSE split || '/' || label || '/' || doc_id // 3 || CASE WHEN doc_id % 43 = 0 THEN '.txt' ELSE '.jpg' END END AS path, CASE WHEN doc_id % 37 = 0 THEN upper(sha) ELSE sha END AS sha256 FROM f)"""
+
+
+@query(f"""WITH {FILES}, k AS (SELECT 'path' AS what, path AS value, line FROM t UNION ALL SELECT 'content', sha256, line FROM t), m AS (SELECT what, value, min(line) AS first FROM k GROUP BY ALL HAVING count(*) > 1)
+SELECT line, 'the split is not known' AS problem FROM t WHERE split = 'dev' UNION ALL SELECT line, 'the path is not split/label/file' FROM t WHERE starts_with(path, '../')
+UNION ALL SELECT line, 'the file has another ending' FROM t WHERE ends_with(path, '.txt') UNION ALL SELECT line, 'the sha256 is not 64 hexadecimal characters' FROM t WHERE sha256 <> lower(sha256)
+UNION ALL SELECT line, 'the same ' || what || ' is also on line ' || first FROM k JOIN m USING (what, value) WHERE line > first""")
+def S23_table_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of files made from the documents by rules on ids, some of which break its rules."""
+    docs, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    docs = docs.select(i.alias("line"), "doc_id", F.when(i % 50 == 0, "dev").when(i % 2 == 0, "train").otherwise("test").alias("split"), F.col("lang").alias("label"), F.sha2("text", 256).alias("sha256"))
+    name = F.concat(F.floor(i / 3).cast("string"), F.when(i % 43 == 0, ".txt").otherwise(".jpg"))
+    path = F.when(i % 41 == 0, F.concat(F.lit("../"), i.cast("string"), F.lit(".jpg"))).otherwise(F.concat_ws("/", "split", "label", name))
+    return constraints.table_problems(docs.select("line", "split", "label", path.alias("path"), F.when(i % 37 == 0, F.upper("sha256")).otherwise(F.col("sha256")).alias("sha256")))
+
+
+@query("""SELECT c_custkey, '1. Age: ' || abs(c_acctbal)::INTEGER % 121 || chr(10) || '2. Site: ' || lower(c_mktsegment) || chr(10) || '3. Debt: ' || CASE WHEN c_custkey % 7 = 0 THEN 'unknown' WHEN c_acctbal < 0 THEN 'yes' ELSE 'no' END AS record FROM customer""")
+def P10_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = read(spark, sf_dir, "customer")
+    age = (F.bround(F.abs("c_acctbal"), 0).cast("int") % 121).cast("string")
+    debt = F.when(F.col("c_custkey") % 7 == 0, "not recorded").when(F.col("c_acctbal") < 0, "TRUE").otherwise("FALSE")
+    rows = customers.select("c_custkey", age.alias("age"), F.col("c_mktsegment").alias("site"), debt.alias("debt"))
+    fields = [constraints.Field("Age", "age", "age"), constraints.Field("Site", "site", "site"), constraints.Field("Debt", "debt", "yes_no")]
+    return constraints.with_record(rows, "c_custkey", fields).select("c_custkey", "record")
+
+
+def preparation(seed: str) -> Steps:
+    """Steps of a dataset: what has text, the first of equal texts, what the labels say, and folds by source."""
+    return Steps(
+        Step("worded", ("documents",), lambda docs: docs.where(F.length(F.btrim("text")) > 0)),
+        Step("deduped", ("worded",), lambda docs: graph.first_of_each(docs.withColumn("sha", F.sha2("text", 256)), ["sha"], [F.asc("doc_id")]).drop("text")),
+        Step("labelled", ("deduped", "labels"), lambda docs, labels: joins.matched(docs, labels, ["doc_id"], "labelled")),
+        Step("split", ("labelled",), lambda docs, seed: docs.withColumn("fold", splits.hash_fold(F.col("source"), seed, 5)), {"seed": seed}),
+    )
+
+
+@query("""WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE length(trim(text)) > 0) WHERE n = 1)
+SELECT d.doc_id, source, quality, labels.doc_id IS NOT NULL AS labelled, (('0x' || substr(sha256('7:fold:' || source), 1, 8))::BIGINT % 5)::INTEGER AS fold FROM d LEFT JOIN labels ON labels.doc_id = d.doc_id""")
+def O02_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preparation made with one seed, then with another: of the second run only the last step is made."""
+    given = {t: read(spark, sf_dir, t) for t in ("documents", "labels")}
+    folder, known = scratch(spark, "steps"), {t: f"{sf_dir}/{t}" for t in ("documents", "labels")}
+    preparation("1").run(spark, folder, given, ["split"], known)
+    again = preparation("7").run(spark, folder, given, ["split"], known)
+    if again.made != ("split",):
+        raise RuntimeError(f"made again: {again.made}")
+    return again.tables["split"].select("doc_id", "source", "quality", "labelled", "fold")

@@ -58,7 +58,7 @@ def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
-#: Paths that written() made in this process, for intermediates() to delete.
+#: Paths that new_path() gave in this process, for intermediates() to delete.
 _MADE: list[str] = []
 
 
@@ -81,24 +81,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder for a table in parquet that intermediates() deletes."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    _MADE.append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Like cut(), but as a compressed table of columns, which stays until intermediates() ends."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    _MADE.append(path)
+    path = new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def intermediates(spark: SparkSession) -> Iterator[None]:
-    """On leaving, deletes the tables that written() made inside: for drivers that run many operators and have saved their results by then."""
+    """On leaving, deletes the tables that written() and new_path() made inside: for drivers that run many operators and have saved their results by then."""
     before = len(_MADE)
     try:
         yield
     finally:
-        for path in _MADE[before:]:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        deleted(spark, *_MADE[before:])
         del _MADE[before:]
 
 

@@ -483,6 +483,29 @@ def test_nearest_against_all_pairs(spark, monkeypatch):
     assert {r.k: (r.other, r.distance) for r in overlap.nearest(codes, codes, "k", "c", 1, codes=True).collect()} == {1: (3, 3), 2: (3, 61), 3: (1, 3)}
 
 
+def test_blocks_beyond_reach_never_meet(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 16)
+    rng = random.Random(7)
+    centres = [[rng.uniform(-50, 50) for _ in range(5)] for _ in range(12)]
+    vectors = [(i, [c + rng.gauss(0, 0.01) for c in centres[i % 12]]) for i in range(400)]
+    df = spark.createDataFrame(vectors, "k long, v array<double>")
+    met = []
+    bounded = overlap._bounded
+    monkeypatch.setattr(overlap, "_bounded", lambda low, high, first: met.append((low, high, first)) or bounded(low, high, first))
+    got = {(r.k, r.n): r.other for r in overlap.nearest(df, df, "k", "v", 3).collect()}
+    m = np.array([v for _, v in vectors])
+    far = np.round(((m[:, None] - m[None]) ** 2).sum(2), 9)
+    np.fill_diagonal(far, np.inf)
+    assert got == {(i, n + 1): int(j) for i in range(400) for n, j in enumerate(np.lexsort((np.arange(400), far[i]))[:3])}
+    low, high, _ = met[0]
+    spans = pd.DataFrame({"i": range(len(low)), "low": list(low), "high": list(high), "reach": 0.2})
+    rest = sum(len(x) for x in bounded(low, high, False)(iter([spans])))
+    assert len(low) == 25 and rest < 25 * 25 / 4  # most pairs of blocks are never sent
+
+
 @pytest.mark.parametrize("at_once", [200_000, 3])
 def test_what_is_near_an_earlier_one_that_stays_goes(spark, monkeypatch, at_once):
     from tessera.operators import selection

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,113 @@ def test_passages_of_sections_never_join_two_of_them(spark):
     asked = spark.createDataFrame([(7, words("c", 13))], "item_id long, text string")
     found = passages.library(sections, asked, "page", [F.asc("page")], section="section").orderBy("page", "section").collect()
     assert [(r.page, r.section, r.passage_id) for r in found] == [(1, 1, "1-001"), (2, 1, "2-001")]
+
+
+def test_steps_are_made_once(spark, tmp_path):
+    from tessera.operators.steps import Step, Steps, content_fingerprint
+
+    calls = []
+
+    def step(name, needs, f, **params):
+        return Step(name, needs, lambda *dfs, **p: calls.append(name) or f(*dfs, **p), params)
+
+    def graph(add=1, version=1):
+        return Steps(step("plus", ("given",), lambda d, add: d.select((F.col("x") + add).alias("x")), add=add), step("twice", ("plus",), lambda d: d.unionByName(d)), step("other", ("given2",), lambda d: d), step("both", ("twice", "other"), lambda a, b: a.crossJoin(b)))
+
+    given = {"given": spark.createDataFrame([(1,), (2,), (2,)], "x long"), "given2": spark.createDataFrame([("a",)], "y string")}
+    folder = str(tmp_path)
+    first = graph().run(spark, folder, given, ["both"])
+    assert first.made == ("plus", "twice", "other", "both") and first.kept == () and first.tables["both"].count() == 6
+    again = graph().run(spark, folder, {k: d.repartition(3) for k, d in given.items()}, ["both"])
+    assert again.made == () and again.kept == first.made and calls == list(first.made)
+    assert graph(add=5).run(spark, folder, given, ["both"]).made == ("plus", "twice", "both")
+    assert graph().run(spark, folder, given | {"given2": spark.createDataFrame([("b",)], "y string")}, ["both"]).made == ("other", "both")
+    assert graph().run(spark, folder, given, ["twice"]).kept == ("plus", "twice")
+    os.remove(next(tmp_path / p / "_SUCCESS" for p in os.listdir(tmp_path) if p.startswith("twice-")))  # a write that was cut off
+    assert len(graph().run(spark, folder, given, ["twice"]).made) <= 1
+    with pytest.raises(ValueError, match="step plus needs given"):
+        graph().order(["both"], {"given2"})
+    with pytest.raises(ValueError, match="rests on itself"):
+        Steps(step("a", ("b",), None), step("b", ("c",), None), step("c", ("a",), None)).order(["a"], set())
+    with pytest.raises(ValueError, match="no step makes z"):
+        graph().order(["z"], set())
+    with pytest.raises(ValueError, match="one name"):
+        Steps(step("a", (), None), step("a", (), None))
+    one, two = spark.createDataFrame([(1,), (1,)], "x long"), spark.createDataFrame([(1,)], "x long")
+    assert content_fingerprint(one) != content_fingerprint(two) and content_fingerprint(one.where("false")) == content_fingerprint(two.where("false"))
+
+
+def test_files_of_a_tree(spark, tmp_path):
+    import hashlib
+    import io
+    import struct
+    import tarfile
+
+    from tessera.sources import files
+
+    png = bytes.fromhex("89504E470D0A1A0A") + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 300) + b"rest"
+    gif = b"GIF89a" + struct.pack("<HH", 513, 7) + b"rest"
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 6) + b"JFIF" + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 77, 1200) + b"rest"
+    made = {"a/p.png": png, "a/b/q.gif": gif, "r.jpg": jpeg, "cut.png": png[:12], "cut.jpg": jpeg[:8], "t.txt": "zwei Wörter".encode(), "empty.bin": b"", "b/t.txt": b"x"}
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.split(str(tmp_path) + "/")[1]: r for r in files.inventory(spark, str(tmp_path)).collect()}
+    assert {k: (r.size, r.sha256) for k, r in got.items()} == {k: (len(c), hashlib.sha256(c).hexdigest()) for k, c in made.items() if c}
+    assert {k: (r.media, r.width, r.height) for k, r in got.items() if r.media} == {"a/p.png": ("png", 640, 300), "a/b/q.gif": ("gif", 513, 7), "r.jpg": ("jpeg", 1200, 77), "cut.png": ("png", None, None), "cut.jpg": ("jpeg", None, None)}
+    assert files.find_one(spark, str(tmp_path), "p.png").endswith("/a/p.png")
+    for name, told in (("t.txt", "2 files"), ("no.txt", "no files")):
+        with pytest.raises(FileNotFoundError, match=told):
+            files.find_one(spark, str(tmp_path), name)
+    assert sorted((r.text, r.words) for r in files.texts(spark, str(tmp_path)).collect()) == [("x", 1), ("zwei Wörter", 2)]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.txt").write_bytes(b"\xff\xfe\xfd")
+    with pytest.raises(Exception, match="(?i)malformed|utf"):
+        files.texts(spark, str(tmp_path / "bad")).collect()
+
+    def archive(name, members, cut=None):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as t:
+            for m, c in members:
+                info = tarfile.TarInfo(m)
+                info.size = len(c)
+                t.addfile(info, io.BytesIO(c))
+        (tmp_path / name).write_bytes(out.getvalue()[:cut])
+
+    noise = random.Random(1).randbytes(200_000)
+    archive("one.tar.gz", [("x/1.xml", b"<a/>"), ("x/2.txt", b"no"), ("x/3.xml", b"")])
+    archive("two.tar.gz", [("1.xml", b"<b/>"), ("2.xml", noise)], 100_000)
+    (tmp_path / "three.tar.gz").write_bytes(b"not packed")
+    rows = files.archive_members(spark, str(tmp_path))
+    name = F.element_at(F.split("archive", "/"), -1).alias("archive")
+    assert sorted((r.archive, r.member, bytes(r.content)) for r in rows.where("member IS NOT NULL").select(name, "member", "content").collect()) == [("one.tar.gz", "x/1.xml", b"<a/>"), ("one.tar.gz", "x/3.xml", b""), ("two.tar.gz", "1.xml", b"<b/>")]
+    assert sorted(map(tuple, files.unreadable(rows).select(name, "read", "problems").collect())) == [("one.tar.gz", 2, 0), ("three.tar.gz", 0, 1), ("two.tar.gz", 1, 1)]
+
+
+def test_rules_of_tables_records_and_views(spark):
+    from tessera.operators import constraints
+
+    sha = lambda c: c * 64
+    rows = [(1, "train", "a", "train/a/1.jpg", sha("a"), "f", [("p/1.png", sha("1"))]), (2, "dev", "a", "dev/a/2.JPG", sha("b"), " ", []), (3, "test", "a", "test/b/3.jpg", sha("A"), "f", None), (4, "test", "a", "test/a/..", sha("c"), None, [("../x.png", sha("2"))]),
+            (5, "test", "a", "test/a/5.txt", sha("a"), "f", [("p/5.gif", "1")]), (6, "train", "a", "train/a/1.jpg", None, "f", [("p/1.png", sha("3"))]), (7, None, None, None, sha("d"), "f", [("p/7.png", sha("1"))])]
+    df = spark.createDataFrame(rows, "line int, split string, label string, path string, sha256 string, facts string, pics array<struct<path: string, sha256: string>>")
+    got = sorted(map(tuple, constraints.table_problems(df, constraints.TableRules(facts="facts", pictures="pics")).collect()))
+    shape, ending, digest, inside = "the path is not split/label/file", "the file has another ending", "the sha256 is not 64 hexadecimal characters", "a picture is not a picture file inside the folder"
+    assert got == sorted([(2, "the split is not known"), (2, "the facts are empty"), (2, "no picture is listed"), (3, shape), (3, digest), (3, "no picture is listed"), (4, shape), (4, ending), (4, "the facts are empty"), (4, inside), (5, ending), (5, inside),
+                          (5, "the sha256 of a picture is not 64 hexadecimal characters"), (5, "the same content is also on line 1"), (6, digest), (6, "the same path is also on line 1"), (6, "the same picture is also on line 1"), (7, "the split is not known"), (7, shape), (7, ending), (7, "the same picture is also on line 1")])
+    assert constraints.table_problems(df.where("line = 1")).count() == 0
+    fields = [constraints.Field("Age", "age", "age"), constraints.Field("Site", "site", "site"), constraints.Field("Bleeds", "bleeds", "yes_no")]
+    rows = [(1, "034", "ARM", "TRUE"), (2, "0", "Leg", "not recorded"), (3, "121", "x", "TRUE"), (4, "3.5", "not recorded", "maybe"), (5, None, None, None), (6, "-1", "x", "FALSE")]
+    df = spark.createDataFrame(rows, "k int, age string, site string, bleeds string")
+    broken = Counter(r.k for r in constraints.record_problems(df, "k", fields).collect())
+    assert broken == {3: 1, 4: 3, 5: 3, 6: 1}
+    assert [r.record for r in constraints.with_record(df.where("k < 3"), "k", fields).orderBy("k").collect()] == ["1. Age: 34\n2. Site: arm\n3. Bleeds: yes", "1. Age: 0\n2. Site: leg\n3. Bleeds: unknown"]
+    for k in (3, 4, 5, 6):
+        with pytest.raises(Exception, match=f"can't be printed: {k}"):
+            constraints.with_record(df.where(f"k = {k}"), "k", fields).count()
+    view = lambda *rows: spark.createDataFrame(rows, "q int, g string, label string")
+    a = view((1, "x", "m"), (2, "x", "n"), (3, "y", "m"))
+    told = lambda b, **more: sorted(map(tuple, constraints.view_problems(a, b, "q", "g", "label", **more).collect()))
+    assert told(a) == [] and told(view((1, "x", "m"), (2, "z", "n"), (3, "y", "m"), (3, "y", "m"))) == [("2", "another group"), ("3", "twice in the second")]
+    assert told(view((1, "x", "m"), (4, "y", "o"))) == [("2", "only in the first"), ("3", "only in the first"), ("4", "only in the second"), ("n", "the answer option is only in the first"), ("o", "the answer option is only in the second")]
+    assert told(view((1, "x", "m"), (2, "x", "n"), (3, "y", "m"), (9, "y", "n")), subset=True) == []
