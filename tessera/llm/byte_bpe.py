@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bucketed, nullable, slabs
+from tessera.llm.common import bucketed, nullable, slabs, unused
 from tessera.llm.pretokens import pretokens
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -147,7 +147,7 @@ def encode_texts(df: DataFrame, ranks_file: str, text: str = "text", ids: str =
     keep = [c for c in df.columns if c not in (text, ids, n_tokens, decoded)]
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.struct(F.lit(0).alias("__"), *keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.struct(F.lit(0).alias(unused(keep, "some")[0]), *keep).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row = nullable(rows.schema["row"].dataType)
     parts = T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType())]))
     schema = T.StructType([T.StructField("piece", T.LongType()), T.StructField("rows", T.ArrayType(row)), T.StructField("counts", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("parts", parts)])

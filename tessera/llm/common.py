@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.graph import connected_components
-from tessera.sources.tables import cut, read, shared_folder, written
+from tessera.sources.tables import cut, new_path, read, shared_folder, written
 
-__all__ = ["bucketed", "connected_components", "cut", "nullable", "read", "shared_folder", "slabs", "small_table", "written"]
+__all__ = ["bucketed", "connected_components", "cut", "nullable", "read", "shared_folder", "slabs", "small_table", "unused", "written"]
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    """`df` as a table in the warehouse, which all share, with the rows of a value of `column` in one of `buckets`: grouping by it needs no shuffle."""
-    name = f"bucketed_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(name)
-    return df.sparkSession.table(name)
+    """`df` as a table in the shared folder, with the rows of a value of `column` in one of `buckets`: grouping by it needs no shuffle.
+
+    The catalog forgets the table at once; its files stay until intermediates() ends.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", new_path(spark)).bucketBy(buckets, column).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -31,6 +36,17 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns that an operator adds for itself: each of `names`, lengthened until no column of the caller bears it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def nullable(kind: T.DataType) -> T.DataType:
     """The type with nulls allowed everywhere, as Arrow data that Python makes has it."""
     if isinstance(kind, T.StructType):

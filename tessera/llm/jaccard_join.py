@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, cut, slabs, written
+from tessera.llm.common import connected_components, cut, slabs, unused, written
 
 #: Bytes of the texts of a piece, unless one text is longer.
 PIECE_BYTES = 4_000_000
@@ -468,18 +468,19 @@ def first_of_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text",
     rows equal in key and text one stays, with the other columns of any of them. Rows without words (null or blank texts)
     are no near copies of anything and all stay. Columns and their order are those of `df`.
     """
-    marked = df.withColumn("__mark", F.unhex(F.md5(F.col(text).cast("binary"))))
-    classes = jaccard_classes(marked, key, text, "__mark", words, percent).where("tree IS NOT NULL")
+    mark, keep_key, keep_mark, row = unused(df.columns, "mark", "keep_key", "keep_mark", "row")
+    marked = df.withColumn(mark, F.unhex(F.md5(F.col(text).cast("binary"))))
+    classes = jaccard_classes(marked, key, text, mark, words, percent).where("tree IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     first = classes.groupBy("tree").agg(F.min(order).alias("f"))
     rows = classes.groupBy("tree", "doc_id", "mark").agg(F.count("*").alias("repeats"))
     kept = rows.join(first, "tree").where(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("mark") == F.col("f.mark")))
-    kept = cut(kept.select(F.col("doc_id").alias("__key"), F.col("mark").alias("__kept"), "repeats"))
+    kept = cut(kept.select(F.col("doc_id").alias(keep_key), F.col("mark").alias(keep_mark), F.col("repeats")))
     worded = F.coalesce(F.col(text).cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
 
     def chosen(which: DataFrame) -> DataFrame:
-        return marked.where(worded).join(which, (F.col("__mark") == F.col("__kept")) & F.col(key).cast("long").eqNullSafe(F.col("__key")), "left_semi")
+        return marked.where(worded).join(which.drop("repeats"), (F.col(mark) == F.col(keep_mark)) & F.col(key).cast("long").eqNullSafe(F.col(keep_key)), "left_semi")
 
     once = chosen(kept.where("repeats = 1")).select(*df.columns)
-    again = chosen(kept.where("repeats > 1")).groupBy(F.col(key).cast("long").alias("__key"), "__mark").agg(F.first(F.struct(*df.columns)).alias("row"))
-    return once.unionByName(again.select("row.*")).unionByName(df.where(~worded))
+    again = chosen(kept.where("repeats > 1")).groupBy(F.col(key).cast("long").alias(keep_key), mark).agg(F.first(F.struct(*df.columns)).alias(row))
+    return once.unionByName(again.select(f"{row}.*")).unionByName(df.where(~worded))

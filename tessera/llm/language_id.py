@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.chargrams import WordSums, gram_counts, text_slabs
-from tessera.llm.common import small_table, written
+from tessera.llm.common import small_table, unused, written
 from tessera.llm.linear import fit_linear, flattened
 
 #: Families of languages by ISO 639-1 code; a language that is not named is a family of its own.
@@ -187,5 +187,6 @@ def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     model = fit(docs.where(~held_out(F.col(key))), text, lang, key, max_texts, many_languages, most_languages)
     keep = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    out = docs.select(*keep, held_out(F.col(key)).alias("held_out"), predict(F.col(text), model).alias("__lang"))
-    return out.select(*keep, "held_out", "__lang.lang_pred", "__lang.score")
+    (own,) = unused([*keep, "held_out"], "told")
+    out = docs.select(*keep, held_out(F.col(key)).alias("held_out"), predict(F.col(text), model).alias(own))
+    return out.select(*keep, "held_out", f"{own}.lang_pred", f"{own}.score")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import unused
+
 #: Phrases and the labels they stand for.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Characteristic passages of well-known public licenses.
@@ -195,4 +197,5 @@ def scan_licenses(df: DataFrame, text: str = "text", phrases: dict[str, str] = P
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
     keep = [c for c in df.columns if c not in names]
-    return df.select(*keep, scanned(F.col(text)).alias("__scan")).select(*keep, *[f"__scan.{n}" for n in names])
+    (own,) = unused(keep, "scan")
+    return df.select(*keep, scanned(F.col(text)).alias(own)).select(*keep, *[f"{own}.{n}" for n in names])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small_table, written
+from tessera.llm.common import cut, small_table, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, slots of a shard.
@@ -35,11 +35,12 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: st
     `spread`: a column whose hash deals the rows into chunks; rows follow one another by chunk, then by `order`.
     """
     chunks = max(1, df.count() // _CHUNK)
-    df = df.withColumn("__chunk", F.pmod(F.xxhash64(spread, F.lit(7)), F.lit(chunks)))
-    before = F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
-    sums = df.groupBy(*keys, "__chunk").agg(F.sum(value).alias("__sum")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__sum")
-    within = F.sum(value).over(Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("__within", F.coalesce(within, F.lit(0))).join(sums, [*keys, "__chunk"]).withColumn(out, F.col("__within") + F.col("__before")).drop("__within", "__before", "__chunk")
+    chunk, part, ahead, inside = unused(df.columns, "chunk", "part", "ahead", "inside")
+    df = df.withColumn(chunk, F.pmod(F.xxhash64(spread, F.lit(7)), F.lit(chunks)))
+    before = F.sum(part).over(Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    sums = df.groupBy(*keys, chunk).agg(F.sum(value).alias(part)).withColumn(ahead, F.coalesce(before, F.lit(0))).drop(part)
+    within = F.sum(value).over(Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn(inside, F.coalesce(within, F.lit(0))).join(sums, [*keys, chunk]).withColumn(out, F.col(inside) + F.col(ahead)).drop(inside, ahead, chunk)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
@@ -160,7 +161,8 @@ def mix_sources(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     rows = df.select(*keep, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     narrow = cut(rows.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")))
     sources = cut(targets(narrow))
-    numbered = rows.join(F.broadcast(sources.select(F.col("source").alias("__s"), "source_size", "target", "number")), F.col(source).eqNullSafe(F.col("__s"))).drop("__s")  # a row for each source
+    (own,) = unused([*keep, *ADDED], "of")
+    numbered = rows.join(F.broadcast(sources.select(F.col("source").alias(own), "source_size", "target", "number")), F.col(source).eqNullSafe(F.col(own))).drop(own)  # a row for each source
     spread = F.xxhash64(key, text)
     placed = running_total(numbered, ["number"], [F.col(key), F.col("size"), spread], "size", "place", spread)
     slots = plan(sources, seed, block_words)
@@ -198,8 +200,10 @@ def _cut_words():
 
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """The mix as documents with the columns of `df`: of each row and each pass over its source, the text that is taken in it."""
-    apart = {c: f"__own_{c}" for c in df.columns if c in ADDED}
+    clashing = [c for c in df.columns if c in ADDED]
+    apart = dict(zip(clashing, unused(df.columns, *[f"own_{c}" for c in clashing]), strict=True))
+    (runs,) = unused([*df.columns, *ADDED, "turn", *apart.values()], "runs")
     placed, spans = mix_sources(df.withColumnsRenamed(apart), key, text, source, seed)
-    taken = spans.groupBy("number", "place", "turn").agg(F.collect_list(F.struct("first", "words")).alias("__runs"))
-    mixed = placed.where("size > 0").join(taken, ["number", "place"]).withColumn(text, _cut_words()(F.col(text), "__runs"))
+    taken = spans.groupBy("number", "place", "turn").agg(F.collect_list(F.struct("first", "words")).alias(runs))
+    mixed = placed.where("size > 0").join(taken.drop("turn"), ["number", "place"]).withColumn(text, _cut_words()(F.col(text), runs))
     return mixed.select(*[F.col(apart.get(c, c)).alias(c) for c in df.columns])

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, unused
 
 MODEL = "piece_bpe_32k.model"
 SPACES = (" ", "▁")
@@ -80,7 +80,7 @@ def count_tokens(df: DataFrame, model_file: str, text: str = "text", out: str =
     """Add the number of tokens (long) that the sentencepiece model has for each whole text; null counts as empty: 0.
 
     `huge`: characters beyond which a text is cut into chunks of step + overlap characters. Equal huge texts are encoded
-    once. A column `out` that `df` has already is replaced.
+    once, also where a row is repeated. A column `out` that `df` has already is replaced. An empty table gives no rows.
     """
     assert step > 2 * overlap, "cuts must follow one another"
     keep = [c for c in df.columns if c != out]
@@ -95,8 +95,9 @@ def count_tokens(df: DataFrame, model_file: str, text: str = "text", out: str =
         again = cut(_huge(texts.join(left, "sha", "left_semi"), model_file, step, overlap))
         found = found.where("n_tokens is not null").unionByName(again)
         left = again.where("n_tokens is null").select("sha")
-    found = found.where("n_tokens is not null").select(F.col("sha").alias("__sha"), F.col("n_tokens").alias("__n"))
-    big = big.withColumn("__sha", F.sha2(F.col(text), 256)).join(found, "__sha", "left").select(*keep, F.col("__n").alias(out))
+    sha, n = unused(df.columns, "sha", "n")
+    found = found.where("n_tokens is not null").select(F.col("sha").alias(sha), F.col("n_tokens").alias(n))
+    big = big.withColumn(sha, F.sha2(F.col(text), 256)).join(found, sha, "left").select(*keep, F.col(n).alias(out))
     return usual.unionByName(big)
 
 

@@ -8,6 +8,7 @@ for its start and one for each literal byte, packed side by side into 64-bit wor
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slabs
+from tessera.llm.common import slabs, unused
 
 
 @dataclass(frozen=True)
@@ -109,20 +110,22 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES,
     ranked = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))
 
     @F.pandas_udf("rule string, action string, glob string")
-    def judged(urls: pd.Series) -> pd.DataFrame:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = Automaton(globs)
-        texts = [u.encode("utf-8", "surrogatepass") for u in urls]
-        out = []
-        for lo, hi in slabs([len(t) for t in texts], 16 << 20):
-            hits = automaton.run(texts[lo:hi])
-            for row in hits:
-                rule = next((rules[i] for i in ranked if row[2 * i] or row[2 * i + 1]), None)
-                glob = next((g for g, hit in zip(block_globs, row[2 * len(rules) :], strict=True) if hit), None)
-                out.append((rule and rule.name, rule and rule.action, glob))
-        return pd.DataFrame(out, columns=["rule", "action", "glob"], dtype=object)
+        for urls in batches:
+            texts = [u.encode("utf-8", "surrogatepass") for u in urls]
+            out = []
+            for lo, hi in slabs([len(t) for t in texts], 16 << 20):
+                hits = automaton.run(texts[lo:hi])
+                for row in hits:
+                    rule = next((rules[i] for i in ranked if row[2 * i] or row[2 * i + 1]), None)
+                    glob = next((g for g, hit in zip(block_globs, row[2 * len(rules) :], strict=True) if hit), None)
+                    out.append((rule and rule.name, rule and rule.action, glob))
+            yield pd.DataFrame(out, columns=["rule", "action", "glob"], dtype=object)
 
     host, path = host_and_path(F.col(url))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "glob", "verdict")]
-    out = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("__judged", judged(F.concat("host", "path")))
-    verdict = F.coalesce("__judged.action", F.when(F.col("__judged.glob").isNotNull(), "block").otherwise("allow"))
-    return out.select(*kept, "host", "path", "__judged.rule", "__judged.glob", verdict.alias("verdict"))
+    (own,) = unused([*kept, "host", "path"], "judged")
+    out = df.select(*kept, host.alias("host"), path.alias("path")).withColumn(own, judged(F.concat("host", "path")))
+    verdict = F.coalesce(f"{own}.action", F.when(F.col(f"{own}.glob").isNotNull(), "block").otherwise("allow"))
+    return out.select(*kept, "host", "path", f"{own}.rule", f"{own}.glob", verdict.alias("verdict"))

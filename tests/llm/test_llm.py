@@ -435,6 +435,28 @@ def test_pipeline_runs_on_what_each_stage_kept(spark):
     assert all(r.round_trip for r in last) and len(last) == len(kept[3])
 
 
+OWN_NAMES = ["judged", "some", "scan", "told", "of", "chunk", "part", "ahead", "inside", "runs", "sha", "n", "mark", "keep_key", "keep_mark", "row", "turn", "number", "place", "size", "own_size", "first_of_near_copies", "__", "__s", "__scan", "__n", "__mark", "__judged", "__lang"]
+
+
+@here
+@pytest.mark.parametrize("operator", [
+    lambda df: url_filter.judge_urls(df.withColumn("url", F.lit("http://a.com/en/"))),
+    lambda df: byte_bpe.encode_texts(df, byte_bpe.default_ranks(), decoded="decoded"),
+    lambda df: license_scan.scan_licenses(df),
+    lambda df: token_count.count_tokens(df, token_count.default_model(), huge=20, step=12, overlap=4).withColumnRenamed("n_tokens", "tokens"),
+    lambda df: language_id.identify_languages(df),
+    lambda df: source_mix.mixed_documents(df),
+    lambda df: jaccard_join.first_of_near_copies(df),
+])
+def test_columns_that_bear_the_names_of_inner_ones_stay(spark, operator):
+    df = documents(spark, [(i, f"das ist ein {i} langer satz mit worten {i}", "de", "a", 9) for i in range(12)])
+    for name in OWN_NAMES:
+        df = df.withColumn(name, F.lit(f"of {name}"))
+    got = operator(df).collect()
+    assert len(got) >= 10 and all(r[name] == f"of {name}" for r in got for name in OWN_NAMES)
+    assert {r.doc_id for r in got} <= set(range(12)) and len({r.doc_id for r in got}) >= 4
+
+
 @here
 def test_registered_queries_return_what_their_contracts_name(spark):
     columns = {
