@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, jaccard_join, language_id, source_mix, toxicity
-from tessera.llm.common import read, shared_folder
+from tessera.llm.common import read
+from tessera.sources.tables import deleted, intermediates, new_path
 
 #: Texts whose language is judged with less than this go.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -75,12 +74,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        out = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(out)
+    """All stages over documents, each written and read again; what a stage wrote for itself goes with its end, and its result when the next one is there."""
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        out = new_path(spark)
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            deleted(spark, before)
+        before = out
     return docs
 
 
