@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import running
+
 INVALID = "(invalid)"
 #: Resamples of a bootstrap, from which 2.5 and 97.5 percentiles are taken.
 RESAMPLES = 2_000
@@ -118,6 +120,13 @@ def interval(values: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.select(*by, F.when(F.col("__gaps") == 0, F.col("__ends")[0]).alias("lo"), F.when(F.col("__gaps") == 0, F.col("__ends")[1]).alias("hi"))
 
 
+def _numbered(sums: DataFrame) -> DataFrame:
+    """sums (truth, grp, ...) with j, the group's number in its class by name (from 0), and the class's number of groups; a class of many groups is numbered by ranges, in many tasks."""
+    places = running(sums.withColumn("__one", F.lit(1)), ["truth"], ["grp"], "__one", "__place")
+    groups = places.groupBy("truth").agg(F.count("*").alias("groups"))
+    return places.withColumn("j", F.col("__place").cast("int") - 1).drop("__one", "__place").join(groups.withColumnRenamed("truth", "__truth"), F.col("truth").eqNullSafe(F.col("__truth"))).drop("__truth")
+
+
 def bootstrap(answers: DataFrame, resamples: int = RESAMPLES, seed: str = "0") -> DataFrame:
     """answers (truth, grp, answer) -> (resample, balanced_accuracy): within each true class as many groups are drawn, with repeats, as it has.
 
@@ -125,8 +134,7 @@ def bootstrap(answers: DataFrame, resamples: int = RESAMPLES, seed: str = "0") -
     whose number (in order of name) is a hash of seed, resample, class and j, so the draws are the same on any cluster.
     """
     sums = answers.groupBy("truth", "grp").agg(F.count("*").alias("n"), F.count_if(F.col("truth") == F.col("answer")).alias("hit"))
-    order = Window.partitionBy("truth").orderBy("grp")
-    units = sums.withColumn("j", F.row_number().over(order) - 1).withColumn("groups", F.count("*").over(Window.partitionBy("truth")))
+    units = _numbered(sums)
     draws = units.select("truth", "j", "groups", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
     name = F.concat_ws(":", F.lit(seed), "resample", "truth", "j")
     picked = (F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long") % F.col("groups")).cast("int")
@@ -149,7 +157,7 @@ def bootstrap_scores(answers: DataFrame, labels: list[str], resamples: int = RES
     counted = {"n": F.lit(True), "tp": right, "top": F.array_contains("ranked", F.col("truth")), "covered": covered, "wrong": covered & ~right}
     counted |= {f"answered{i}": F.col("answer") == x for i, x in enumerate(labels)}
     sums = answers.groupBy(truth.alias("truth"), "grp").agg(*[F.count_if(test).alias(c) for c, test in counted.items()])
-    units = sums.withColumn("j", F.row_number().over(Window.partitionBy("truth").orderBy("grp")) - 1).withColumn("groups", F.count("*").over(Window.partitionBy("truth")))
+    units = _numbered(sums)
     draws = units.select("truth", "j", "groups", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample")).repartition("resample")
     name = F.concat_ws(":", F.lit(seed), "resample", "truth", "j")
     picked = (F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long") % F.col("groups")).cast("int")

@@ -104,20 +104,25 @@ def T09_T11_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "judged.class", F.array_join("judged.named", "; ").alias("named"), F.array_join("judged.marks", "; ").alias("marks"), "judged.full_names", "judged.short_names")
 
 
-@query()
+@query(f"""SELECT doc_id, len(list_filter({WORDS}, lambda w: w IN ('license', 'licenses', 'mit', 'mits') OR starts_with(w, 'copyright'))) > 0 OR regexp_matches(text, '\\bGNUs?\\b') AS says FROM documents""")
 def T13_T14_T16_says(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = rules.names_class(read(spark, sf_dir, "documents").select("doc_id", "text"), terms(spark), "license", ["MIT"], cues=["copyright"])
     return named.select("doc_id", rules.says(F.col("names"), F.col("text"), F.array(F.lit("GNU"))).alias("says"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ApL' ELSE 'GNUL' END AS short_forms FROM documents WHERE doc_id % 3 <> 2")
 def T15_short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, t = F.col("doc_id"), F.left("text", F.lit(60))
+    """The documents, each with a sentence that defines a short form of the class, or of something else."""
+    i, t = F.col("doc_id"), F.concat("text", F.lit(" . "))
     text = F.concat(t, F.when(i % 3 == 0, " the Apache License (ApL), used").when(i % 3 == 1, " GNULs (the license)").otherwise(" XYZ (other)"))
-    return rules.defined_short_forms(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", terms(spark), "license")
+    found = rules.defined_short_forms(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", terms(spark), "license")
+    return found.select("doc_id", F.array_join("short_forms", "; ").alias("short_forms"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, list_transform({WORDS}, lambda x: CASE WHEN x IN ('alls', 'rights', 'reserveds', 'generals', 'publics', 'licenses') THEN left(x, -1) ELSE x END) AS w FROM documents),
+f AS (SELECT doc_id, len(list_filter(range(1, len(w) - 1), lambda i: list_sort(w[i : i + 2]) = ['all', 'reserved', 'right'])) > 0 AS rights,
+    len(list_filter(range(1, len(w)), lambda i: list_sort(w[i : i + 1]) = ['license', 'public'] AND list_sort(w[greatest(i - 1, 1) : i + 1]) <> ['general', 'license', 'public'] AND list_sort(w[i : i + 2]) <> ['general', 'license', 'public'])) > 0 AS public FROM w)
+SELECT doc_id, concat_ws('; ', CASE WHEN rights THEN 'all rights reserved' END, CASE WHEN public THEN 'public license' END) AS conditions FROM f""")
 def T30_other_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.other_conditions(read(spark, sf_dir, "documents").select("doc_id", "text"), terms(spark))
     return found.select("doc_id", F.array_join("conditions", "; ").alias("conditions"))
