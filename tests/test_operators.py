@@ -280,6 +280,7 @@ def test_splits(spark, monkeypatch):
         n = Counter(capped[g] for g, c in rows if c == y)
         assert n["test"] <= 40 and n["val"] <= 15
     monkeypatch.setattr(splits, "BLOCK_GROUPS", 7)  # several blocks
+    monkeypatch.setattr(splits, "ROUND_GROUPS", 9)  # several rounds
     assert placed == {r.grp: r.split for r in splits.greedy_split(df, "g", "y", "7").collect()} == plain_greedy(rows, "7")
     assert capped == {r.grp: r.split for r in splits.capped_split(df, "g", "y", "7", (0.6, 40), (0.2, 15)).collect()} == plain_capped(rows, "7")
     odd = spark.createDataFrame([*rows, (None, "a"), (None, None), ("g1", None)], "g string, y string")

@@ -35,8 +35,7 @@ def read_in_blocks(spark, read, size):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 7, 50])
-@pytest.mark.parametrize("style", [{}, {"indent": 2}, {"ensure_ascii": False, "separators": (",", ":")}])
+@pytest.mark.parametrize(("blocks", "style"), [(1, {}), (2, {"ensure_ascii": False, "separators": (",", ":")}), (7, {"indent": 2}), (50, {"ensure_ascii": False})])
 def test_json_array_in_blocks(spark, tmp_path, blocks, style):
     rows = objects(150, blocks)
     path = tmp_path / "one.json"
