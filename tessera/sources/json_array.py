@@ -22,7 +22,9 @@ from tessera.sources.tables import written
 #: Blocks of all files, each a row on the driver: 25 TB in blocks of 128 MB.
 MOST_BLOCKS = 200_000
 _END = b"}"
-_CHANGE = np.zeros(256, np.int64)
+_CHANGE = np.zeros(256, np.int8)
+#: Bytes that are scanned at once; a longer piece is scanned alone.
+SLAB = 1 << 20
 _CHANGE[[ord("["), ord("{")]], _CHANGE[[ord("]"), ord("}")]] = 1, -1
 
 
@@ -37,7 +39,7 @@ def _scanned(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         first = np.maximum.accumulate(np.where(begins, place, 0))
         after = slashes[(place - first) % 2 == 0] + 1
         marks[after[after < len(chars)]] = False
-    return chars, np.cumsum(marks)
+    return chars, np.cumsum(marks, dtype=np.int32)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[bytes]]]:
@@ -60,8 +62,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int]
             yield key, held[1] + _END, False
         elif held:
             yield held[0], held[1], True
-        if len(pieces) > 1:
-            yield key, _END.join(pieces[:-1]) + _END, False
+        lo = size = 0
+        for i, piece in enumerate(pieces[:-1]):
+            size += len(piece) + 1
+            if size > SLAB or i == len(pieces) - 2:
+                yield key, _END.join(pieces[lo : i + 1]) + _END, False
+                lo, size = i + 1, 0
         held = key, pieces[-1]
     if held:
         yield held[0], held[1], True
@@ -73,8 +79,8 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for key, text, last in _joined(batches):
         chars, marks = _scanned(text)
         total, change = (int(marks[-1]) if len(marks) else 0), _CHANGE[chars]
-        even = int(change[marks % 2 == 0].sum())
-        both = even, int(change.sum()) - even
+        even = int(change[marks % 2 == 0].sum(dtype=np.int64))
+        both = even, int(change.sum(dtype=np.int64)) - even
         state = [((s + total) % 2, d + both[s]) for s, d in state]
         if last:
             (s0, d0), (s1, d1) = state
@@ -96,7 +102,7 @@ def _parts(starts: dict[tuple[str, int], tuple[int, int, bool]]):
             chars, marks = _scanned(text)
             outside = (marks + string) % 2 == 0
             change = np.where(outside, _CHANGE[chars], 0)
-            level = depth + np.cumsum(change)
+            level = np.cumsum(change, dtype=np.int32) + np.int32(depth)
             at_top = outside & (np.minimum(level, level - change) < 1)
             if np.isin(chars[at_top], list(b" \t\r\n[]"), invert=True).any() or (level < 0).any():
                 raise ValueError(f"{key[0]}: text outside the array")
@@ -183,11 +189,8 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0).to_pylist()
         if texts:
-            if before is not None:
-                yield pa.RecordBatch.from_pydict({"value": [before + ","]})
-            else:
-                yield pa.RecordBatch.from_pydict({"value": ["["]})
-            before = ",\n".join(texts)
+            yield pa.RecordBatch.from_pydict({"value": ["[" if before is None else before + ",", *[t + "," for t in texts[:-1]]]})
+            before = texts[-1]
     yield pa.RecordBatch.from_pydict({"value": [*(["["] if before is None else [before]), "]"]})
 
 

@@ -5,11 +5,12 @@ import os
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import markup, passages
-from tessera.sources import published
+from tessera.sources import json_array, published
 from tessera.sources.json_array import json_elements, read_json_array, write_json_array
 
 SCHEMA = "id long, text string, tags array<string>, more struct<a: long, b: string>"
@@ -47,6 +48,21 @@ def test_json_array_in_blocks(spark, tmp_path, blocks, style):
     assert [json.loads(r.element)["id"] for r in order] == list(range(150))
 
 
+@pytest.mark.parametrize("slab", [1, 64, 1 << 20])
+def test_blocks_are_scanned_in_slabs(monkeypatch, slab):
+    monkeypatch.setattr(json_array, "SLAB", slab)
+    text = json.dumps(objects(60, 9), ensure_ascii=False).encode()
+    pieces = text.split(b"}")
+    for each in (3, 10, len(pieces)):
+        batch = lambda lo, hi, each=each: pa.RecordBatch.from_pydict({"value": pa.array(pieces[lo:hi], pa.binary()), "file": ["f"] * (hi - lo), "block": [i // each for i in range(lo, hi)]})
+        batches = lambda batch=batch: iter([batch(lo, min(lo + 7, len(pieces))) for lo in range(0, len(pieces), 7)])
+        maps = [r for b in json_array._maps(batches()) for r in b.to_pylist()]
+        parts = [r for b in json_array._parts(json_array._starts(maps, "f"))(batches()) for r in b.to_pylist()]
+        assert "".join(r["text"] + r["end"] for r in parts).encode() == text
+        assert [r["number"] for r in parts if r["block"] == 0] == list(range(sum(r["block"] == 0 for r in parts)))
+        assert sum(r["end"] == "," for r in parts) == 59
+
+
 def test_json_array_of_other_values_and_wrong_files(spark, tmp_path):
     def read(text, size=1 << 20):
         path = tmp_path / f"{random.random()}.json"
