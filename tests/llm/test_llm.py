@@ -464,6 +464,7 @@ def test_registered_queries_return_what_their_contracts_name(spark):
         "op4": ["doc_id", "size", "source_size", "target", "taken"], "op5": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
         "op6": ["doc_id", "held_out", "lang_pred", "score"], "op7": ["vec_id", "n_links", "component_id", "kept"], "op8": ["doc_id", "n_shingles", "component_id"],
         "op9": ["query_id", "rank", "vec_id", "score"], "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"], "op12": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"], "op13": ["item_id", "rank", "doc_id", "score"],
     }
     assert {n.split("_")[0] for n in QUERIES} == set(columns)
     got = QUERIES["op3_byte_bpe"](spark, SF)
