@@ -296,3 +296,8 @@ def test_rules_of_tables_records_and_views(spark):
     assert told(a) == [] and told(view((1, "x", "m"), (2, "z", "n"), (3, "y", "m"), (3, "y", "m"))) == [("2", "another group"), ("3", "twice in the second")]
     assert told(view((1, "x", "m"), (4, "y", "o"))) == [("2", "only in the first"), ("3", "only in the first"), ("4", "only in the second"), ("n", "the answer option is only in the first"), ("o", "the answer option is only in the second")]
     assert told(view((1, "x", "m"), (2, "x", "n"), (3, "y", "m"), (9, "y", "n")), subset=True) == []
+
+
+def test_references_without_a_semicolon_are_text_in_paragraphs(spark):
+    df = spark.createDataFrame([("k", "<h1>a&amp;&amp; b&amp</h1><p>x &lt;&#x27;&#65; &notit; &ampc; &lt d &eacute;</p>")], "k string, html string")
+    assert [tuple(r) for r in markup.paragraphs(df, ["k"]).collect()] == [("k", 1, "a&& b&amp", 1, "x <'A &notit; &ampc; &lt d é")]
