@@ -301,3 +301,9 @@ def test_rules_of_tables_records_and_views(spark):
 def test_references_without_a_semicolon_are_text_in_paragraphs(spark):
     df = spark.createDataFrame([("k", "<h1>a&amp;&amp; b&amp</h1><p>x &lt;&#x27;&#65; &notit; &ampc; &lt d &eacute;</p>")], "k string, html string")
     assert [tuple(r) for r in markup.paragraphs(df, ["k"]).collect()] == [("k", 1, "a&& b&amp", 1, "x <'A &notit; &ampc; &lt d é")]
+
+
+def test_references_without_a_semicolon_are_text_in_records(spark):
+    df = spark.createDataFrame([("k", "<head><title>a&amp;&amp</title></head><body><h1>b</h1><p>c&amp;</p></body>"), ("l", "<title>&#x27;&quot</title>")], "k string, html string")
+    got = {r.k: r.record for r in markup.records(df).collect()}
+    assert (got["k"].title, got["k"].sections[0].paragraphs, got["l"].title) == ("a&&amp", ["c&"], "'&quot")
