@@ -11,6 +11,7 @@ SPELLING = (("naev", "nev"), ("haem", "hem"), ("oedem", "edem"), ("seborrhoe", "
 IRREGULAR = {"nevi": "nevus", "lentigines": "lentigo"}
 #: Short forms after which a full stop ends no sentence.
 ABBREVIATIONS = ("e.g.", "i.e.", "dr.", "mr.", "mrs.", "ms.", "vs.", "approx.", "fig.", "figs.", "no.", "al.", "st.", "ca.")
+_LONGEST = max(map(len, ABBREVIATIONS))
 
 
 def plain_words(text: Column) -> Column:
@@ -53,11 +54,10 @@ def shingles(words: Column, n: int) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences, cut after . ! ? before white space and a capital, digit, bracket or quote, unless the stop ends a short form."""
     parts = F.split(text, r"(?<=[.!?])(?U:\s+)(?=[A-Z0-9(\[\"'“])")
-    ends_short = lambda s: F.lower(F.regexp_extract(s, r"([^\s(\[\"'“]*)$", 1)).isin(*ABBREVIATIONS)
-    joined = lambda done, s: F.when(
-        (F.size(done) > 0) & ends_short(F.element_at(done, -1)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit(" "), s)))
-    ).otherwise(F.concat(done, F.array(s)))
-    return F.aggregate(parts, F.array().cast("array<string>"), joined)
+    ends_short = lambda s: F.lower(F.regexp_extract(F.right(s, F.lit(_LONGEST + 1)), r"([^\s(\[\"'“]*)$", 1)).isin(*ABBREVIATIONS)
+    # Joined by a blank after a short form and else by a line end, then cut again: a list that grows sentence by sentence would be copied for each.
+    marked = F.array_join(F.transform(parts, lambda s: F.concat(s, F.when(ends_short(s), " ").otherwise("\n"))), "")
+    return F.split(F.regexp_replace(marked, r"[ \n]\z", ""), r"(?<=[.!?])\n(?=[A-Z0-9(\[\"'“])")
 
 
 def word_count(text: Column) -> Column:

@@ -21,15 +21,14 @@ def prefix_cut(df: DataFrame, key: str, text: str, reveals, starts) -> DataFrame
 
     `reveals` and `starts`: columns of a sentence. Keys must tell rows apart; a null text gives an empty question.
     """
-    rows = sentence_rows(df.withColumn(text, F.coalesce(text, F.lit(""))), [key], text).select(key, "pos", "sentence", reveals(F.col("sentence")).alias("r"), starts(F.col("sentence")).alias("s"))
-    marks = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sentence", "r", "s"))).alias("all"))
-    start = F.coalesce(F.try_element_at(F.filter("all", lambda x: x["s"]), F.lit(1))["pos"], F.lit(0))
-    marks = marks.withColumn("start", start)
-    first = F.when(F.exists(F.slice("all", 1, F.col("start")), lambda x: x["r"]), F.col("start")).otherwise(0)
-    marks = marks.withColumn("first", first)
-    end = F.coalesce(F.try_element_at(F.filter("all", lambda x: x["r"] & (x["pos"] >= F.col("first"))), F.lit(1))["pos"], F.size("all"))
-    kept = F.transform(F.slice("all", F.col("first") + 1, F.greatest(F.lit(0), end - F.col("first"))), lambda x: x["sentence"])
-    return marks.select(key, F.array_join(kept, " ").alias("question"))
+    one = lambda name, column: F.explode(F.array(column)).alias(name)  # noqa: E731  computed once, however often it is used
+    cut = df.select(key, one("__s", sentences(F.coalesce(F.col(text), F.lit("")))))
+    marks = cut.select(key, "__s", one("__r", F.transform("__s", reveals)), one("__start", F.greatest(F.array_position(F.transform("__s", starts), True) - 1, F.lit(0))))
+    early = F.array_position("__r", True)
+    marks = marks.withColumn("__first", F.when((early > 0) & (early <= F.col("__start")), F.col("__start")).otherwise(0).cast("int"))
+    shown = F.array_position(F.slice("__r", F.col("__first") + 1, F.size("__r")), True).cast("int")
+    n = F.when(shown > 0, shown - 1).otherwise(F.size("__s"))
+    return marks.select(key, F.array_join(F.slice("__s", F.col("__first") + 1, n), " ").alias("question"))
 
 
 def window_confirms(rows: DataFrame, key: str, cue: Column, names: Column, ahead: int = 2) -> DataFrame:
