@@ -37,12 +37,11 @@ def J20_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH c AS (SELECT min(doc_id) AS doc_id, min(source) AS s1, max(source) AS s2 FROM documents GROUP BY text),
 d AS (SELECT * FROM ({runs("documents", "doc_id")}) JOIN c USING (doc_id)), n AS (SELECT doc_id, count(*) AS size FROM d GROUP BY 1),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, min(x.run) AS first_run FROM d x JOIN d y ON x.run = y.run AND x.doc_id < y.doc_id AND (x.s1 <> x.s2 OR y.s1 <> y.s2 OR x.s1 <> y.s1) GROUP BY ALL)
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, min(x.run) AS first_run FROM d x JOIN d y ON x.run = y.run AND x.doc_id <= y.doc_id AND (x.s1 <> x.s2 OR y.s1 <> y.s2 OR x.s1 <> y.s1) GROUP BY ALL)
 SELECT a, b, shared, round(shared / least(m.size, n.size), 6) AS ratio, first_run FROM p JOIN n m ON m.doc_id = a JOIN n ON n.doc_id = b WHERE shared / least(m.size, n.size) >= 0.1""")
 def J21_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of classes of equal texts, each by its smallest doc_id; J21_classes has the members."""
-    pairs, _ = overlap.containment_classes(read(spark, sf_dir, "documents"), "doc_id", "source")
-    return pairs.withColumn("ratio", F.round("ratio", 6))
+    """Pairs of classes of equal texts, each by its smallest doc_id, and of a class with itself where its members are of several sources; J21_classes has the members."""
+    return overlap.linked_classes(read(spark, sf_dir, "documents"), "doc_id", "source").withColumn("ratio", F.round("ratio", 6))
 
 
 @query("SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS class FROM documents")
