@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import short_list
 from tessera.operators import constraints, joins, reports
-from tessera.operators.overlap import text_classes
+from tessera.operators.overlap import linked_members
 from tessera.plans.registry import Registry
 from tessera.sources.tables import placed, read
 
@@ -79,14 +79,13 @@ def J01_J08_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_mktsegment", "n_name")
 
 
-@query("""WITH k AS (SELECT doc_id, source, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), g AS (SELECT text, min(doc_id) AS class FROM k GROUP BY 1 HAVING count(DISTINCT source) > 1)
-SELECT class, doc_id, source FROM k JOIN g USING (text)""")
+@query("""WITH k AS (SELECT doc_id, source, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT doc_id, source, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS class,
+    CASE WHEN text IS NULL OR source IS NULL THEN 0 ELSE count(source) OVER (PARTITION BY text) - count(source) OVER (PARTITION BY text, source) END AS n_links FROM k""")
 def J04_linked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents of equal texts from several sources: a row a document with its class, not a row a pair."""
+    """Every labelled document with its class of equal texts and the number of its links, which are to members of other sources: a row a document, not a row a pair."""
     known = joins.only(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ["doc_id"])
-    members = text_classes(known, "doc_id", "source")
-    several = members.groupBy("class").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").select("class")
-    return members.join(several, "class").select("class", F.col("k").alias("doc_id"), F.col("g").alias("source"))
+    return linked_members(known, "doc_id", "source").select(F.col("k").alias("doc_id"), F.col("g").alias("source"), "class", "n_links")
 
 
 @query("""WITH a AS (SELECT doc_id AS q, source AS g, lang FROM documents WHERE doc_id % 6 <> 0), b AS (SELECT doc_id AS q, CASE WHEN doc_id % 25 = 0 THEN 'other' ELSE source END AS g, lang FROM documents WHERE doc_id % 10 <> 0 AND lang <> 'fr')
