@@ -9,11 +9,13 @@ for each piece, and what moves is packed and compressed, so the shuffles stay be
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import tiktoken
 import xxhash
@@ -29,6 +31,8 @@ from tessera.llm.pretokens import pretokens
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a piece, unless one text is longer.
 PIECE_CHARS = 8_000_000
+#: Tokens of a chunk of a piece's results, unless one text has more.
+CHUNK_TOKENS = 250_000
 _END = b"\xff"  # no byte of UTF-8
 
 
@@ -56,24 +60,29 @@ def _grown(b: bytes) -> np.ndarray:
 def _packer(buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
+        pa.default_memory_pool().release_unused()  # what the worker's earlier stages left
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for lo, hi in slabs([len(t) for t in texts], PIECE_CHARS):
+            column = batch["text"]
+            for lo, hi in slabs(pc.utf8_length(column).to_pylist(), PIECE_CHARS):
                 known: dict[str, int] = {}
-                codes = [[known.setdefault(w, len(known)) for w in pretokens(t)] for t in texts[lo:hi]]
+                codes, counts = array("I"), []  # four bytes a pre-token, and one slab of texts as Python's at a time
+                for i in range(lo, hi):
+                    before = len(codes)
+                    codes.extend(known.setdefault(w, len(known)) for w in pretokens(column[i].as_py()))
+                    counts.append(len(codes) - before)
                 words = [w.encode() for w in known]
                 bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
                 order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
                 place = np.empty(len(words), np.uint32)
                 place[order] = np.arange(len(words), dtype=np.uint32)
-                flat = np.fromiter((c for d in codes for c in d), np.uint32, sum(map(len, codes)))
+                flat = place[np.frombuffer(codes, np.uint32)] if codes else np.zeros(0, np.uint32)
                 parts, at = [], np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
                 for b in range(buckets):
                     if at[b] < at[b + 1]:
                         parts.append({"bucket": b, "words": zstandard.compress(_END.join(words[i] for i in order[at[b] : at[b + 1]]), 3)})
                 yield pa.RecordBatch.from_pydict({
-                    "piece": pa.array([number], pa.int64()), "rows": pa.array([batch["row"].slice(lo, hi - lo).to_pylist()], pa.list_(batch["row"].type)),
-                    "counts": pa.array([_shrunk(np.array([len(d) for d in codes]))], pa.binary()), "codes": pa.array([_shrunk(place[flat])], pa.binary()),
+                    "piece": pa.array([number], pa.int64()), "rows": pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), pa.concat_arrays([batch["row"].slice(lo, hi - lo)])),
+                    "counts": pa.array([_shrunk(np.array(counts))], pa.binary()), "codes": pa.array([_shrunk(flat)], pa.binary()),
                     "parts": pa.array([parts], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))),
                 })
                 number += 1
@@ -123,15 +132,18 @@ def _assembler(ranks_file: str | None):
         words = words.sort_by("bucket")
         join = lambda column: np.concatenate([_grown(b) for b in words[column].to_pylist()] or [np.zeros(0, np.uint32)])
         sizes, ids, out = join("sizes"), join("ids"), []
+        pa.default_memory_pool().release_unused()  # what the worker's earlier stages left
         for i in range(pieces.num_rows):
             counts, codes = _grown(pieces["counts"][i].as_py()), _grown(pieces["codes"][i].as_py())
             flat, n = _taken(ids, sizes, codes)
             ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
             raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
             rows = pieces["rows"].chunk(0) if pieces["rows"].num_chunks == 1 else pieces["rows"].combine_chunks()
-            own = pa.array([raw[4 * a : 4 * b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.large_binary() if flat.nbytes > 2**30 else pa.binary())
-            table = {"row": rows[i].values, "ids": own.cast(pa.binary()), "n_tokens": pa.array(np.diff(ends).astype(np.int64))}
-            out.append(pa.table(table | ({"decoded": pa.array(map(_decoder(ranks_file), own.to_pylist()), pa.binary())} if ranks_file else {})))
+            values = rows[i].values
+            for lo, hi in slabs(np.diff(ends).tolist(), CHUNK_TOKENS):  # a chunk is a batch on its way to Spark
+                own = [raw[4 * a : 4 * b].tobytes() for a, b in zip(ends[lo:hi], ends[lo + 1 : hi + 1], strict=True)]
+                table = {"row": values.slice(lo, hi - lo), "ids": pa.array(own, pa.binary()), "n_tokens": pa.array(np.diff(ends[lo : hi + 1]).astype(np.int64))}
+                out.append(pa.table(table | ({"decoded": pa.array(map(_decoder(ranks_file), own), pa.binary())} if ranks_file else {})))
         return pa.concat_tables(out)
 
     return assemble
