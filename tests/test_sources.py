@@ -307,3 +307,15 @@ def test_references_without_a_semicolon_are_text_in_records(spark):
     df = spark.createDataFrame([("k", "<head><title>a&amp;&amp</title></head><body><h1>b</h1><p>c&amp;</p></body>"), ("l", "<title>&#x27;&quot</title>")], "k string, html string")
     got = {r.k: r.record for r in markup.records(df).collect()}
     assert (got["k"].title, got["k"].sections[0].paragraphs, got["l"].title) == ("a&&amp", ["c&"], "'&quot")
+
+
+def test_marked_up_texts_are_read_in_slabs(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([f"<h1>t{i}</h1>" + "<p>x</p>" * i if i % 3 else None for i in range(40)])
+    whole, built = markup._records(markup.Roles())(texts), []
+    monkeypatch.setattr(markup, "SLAB_CHARS", 100)
+    made = pa.array
+    monkeypatch.setattr(pa, "array", lambda rows, kind: built.append(len(rows)) or made(rows, kind))
+    assert markup._records(markup.Roles())(texts).equals(whole) and len(whole) == 40
+    assert len(built) > 5 and sum(built) == 40
