@@ -17,7 +17,7 @@ LINKS_AT_ONCE = 500_000
 SALTS = 16
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def local_stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of links, every id that is not the smallest of its component, with the smallest."""
     ids, number = np.unique(np.concatenate((u, v)), return_inverse=True)
     a, b = number[: len(u)], number[len(u) :]
@@ -50,7 +50,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stars_of(held: list[pa.RecordBatch], schema: pa.Schema) -> pa.RecordBatch:
     table = pa.Table.from_batches(held)
-    u, v = _stars(table["u"].to_numpy(), table["v"].to_numpy())
+    u, v = local_stars(table["u"].to_numpy(), table["v"].to_numpy())
     return pa.RecordBatch.from_arrays([pa.array(u, schema.field("u").type), pa.array(v, schema.field("v").type)], names=["u", "v"])
 
 

@@ -339,6 +339,26 @@ def test_embedding_dedup(spark):
     assert len(links) > 40
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_dedup_sends_vectors_by_parts(spark, monkeypatch, kind):
+    """Vectors nearly at right angles, which pivots tell little of: no table holds a vector for each cell that it may reach, and parts find all links."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(400, 64))
+    vectors[300:] = vectors[:100] + rng.normal(size=(100, 64)) * rng.choice([0.02, 0.15, 0.3], size=(100, 1))
+    vectors = vectors.astype(np.float32 if kind == "float" else float)
+    df = spark.createDataFrame([(i, v.tolist(), int(i == 7)) for i, v in enumerate(vectors)], f"vec_id long, embedding array<{kind}>, label int")
+    for name, value in {"ROWS_PER_PIVOT": 8, "BLOCK": 16, "PART_BYTES": 20_000, "SIDES": 4, "MOST_BYTES": 15_000}.items():
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    made, written = [], embedding_dedup.written
+    monkeypatch.setattr(embedding_dedup, "written", lambda df: made.append(written(df)) or made[-1])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    units = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    links = [(i, j) for i, j in np.argwhere(units @ units.T >= 0.98).tolist() if i < j and 7 not in (i, j)]
+    n, comp = Counter(x for pair in links for x in pair), plain_components(list(range(400)), links)
+    assert got == {i: (n[i], comp[i]) for i in range(400)} and 30 < len(links) < 100
+    assert max(m.count() for m in made) <= 400
+
+
 def test_topk_search(spark):
     rng = np.random.default_rng(5)
     rows = [(i, np.round(rng.normal(size=24), 1).tolist()) for i in range(300)] + [(300, None), (301, [1.0, math.inf]), (302, [0.1, -0.2]), (320, [3.0, 4.0]), (340, [1e12] * 24), (0, None)]
